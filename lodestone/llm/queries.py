@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import mixing, tokens
+from lodestone.llm import mixing, tokens, truncation
 from lodestone.session import load
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_cut(load(spark, d, "reader_responses")).where("cut").select("response_id").distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(truncation.find_cut(load(spark, d, "reader_responses")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(load(spark, d, "documents"))
 
@@ -34,4 +42,4 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(solved, mixing.copies(sizes, solved))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
