@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import mixing, tokens, truncation
+from lodestone.llm import mixing, qa_pairs, tokens, truncation
 from lodestone.session import load
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return qa_pairs.find_defects(load(spark, d, "selective_answers")).select("answer_id", "side", "defect").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.find_cut(load(spark, d, "reader_responses")).where("cut").select("response_id").distinct()
 
@@ -42,4 +46,4 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(solved, mixing.copies(sizes, solved))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
