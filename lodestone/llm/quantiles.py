@@ -234,11 +234,12 @@ def daily_sketches(runs: DataFrame) -> DataFrame:
 
 
 def rollup(daily: DataFrame) -> DataFrame:
-    """Percentiles by category, arm, day and their pairs, all merged from the daily sketches: ``scope, arm, category, day, metric, n, p50...``."""
+    """Percentiles by category, arm, day, their pairs and all three, merged from the daily sketches: ``scope, arm, category, day, metric, n, p, value``."""
     nothing = {"arm": F.lit(None).cast("string"), "category": F.lit(None).cast("string"), "day": F.lit(None).cast("date")}
-    scopes = {"all": (), "category": ("category",), "arm": ("arm",), "day": ("day",), "arm_category": ("arm", "category"), "category_day": ("category", "day"), "arm_day": ("arm", "day")}
+    scopes = {"all": (), "category": ("category",), "arm": ("arm",), "day": ("day",), "arm_category": ("arm", "category"), "category_day": ("category", "day"), "arm_day": ("arm", "day"), "arm_category_day": ("arm", "category", "day")}
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), *[(F.col(c) if c in kept else e).alias(c) for c, e in nothing.items()]) for s, kept in scopes.items()])).alias("s")
     wide = daily.select(each, "metric", "level", "state", "section", "sections", "items").select("s.*", "metric", "level", "state", "section", "sections", "items")
     keys = ["scope", "arm", "category", "day", "metric"]
     found = percentiles(merge(wide, keys), keys, PERCENTILES)
-    return found.select(*keys, "n", *[F.col("percentiles")[i].alias(f"p{100 * p:g}".replace(".", "_")) for i, p in enumerate(PERCENTILES)])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col("percentiles")[i].alias("value")) for i, p in enumerate(PERCENTILES)])).alias("q")
+    return found.select(*keys, "n", each).select(*keys, "n", "q.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import mixing, qa_pairs, quantiles, tokens, truncation
+from lodestone.llm import mixing, names, qa_pairs, quantiles, tokens, truncation
 from lodestone.session import load
 
 
@@ -20,6 +20,11 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.find_cut(load(spark, d, "reader_responses")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    spelt = names.table_names(load(spark, d, "openie_results"), load(spark, d, "raw_triples"))
+    return names.variants(names.entities(spelt))
+
+
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.rollup(quantiles.daily_sketches(load(spark, d, "arm_runs")))
 
@@ -50,4 +55,4 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(solved, mixing.copies(sizes, solved))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p5_percentiles, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p4_found, p5_percentiles, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
