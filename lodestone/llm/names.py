@@ -27,7 +27,7 @@ CORE = 5
 TITLES = "dr prof mr mrs ms miss sir dame lord lady rev hon capt gen sen mme mlle herr frau sra sr don".split()
 EMPTY = "the of at for and in an de du la le der die das el company co ltd limited inc incorporated corp corporation plc gmbh llc".split()
 # What a name is, said beside it.
-KIND = r"\(\s*(?:film|movie|novel|book|play|song|album|painting|town|city|village|person|company|disambiguation)\s*\)|^\s*(?:the )?(?:town|city|village) of "
+KIND = r"\(\s*(?:film|movie|novel|book|play|song|album|painting|town|city|village|person|company|disambiguation)\s*\)|^\s*(?:the\s+)?(?:town|city|village)\s+of\s"
 # Short forms that are no beginnings of their words.
 SHORT = {
     "st": "saint", "mt": "mount", "mnt": "mount", "pt": "port", "ft": "fort", "dept": "department", "rly": "railway", "mfg": "manufacturing", "intl": "international", "assn": "association", "govt": "government", "bros": "brothers", "natl": "national", "acad": "academy", "univ": "university", "inst": "institute", "lab": "laboratory", "soc": "society", "assoc": "association", "shipg": "shipping", "prtg": "printing", "brwg": "brewing", "tmbr": "timber",
@@ -91,7 +91,7 @@ def parse(names: DataFrame) -> DataFrame:
     tokens = F.transform(
         parts,
         lambda p: F.struct(
-            F.coalesce(F.element_at(table, F.rtrim(p, F.lit("."))), F.rtrim(p, F.lit("."))).alias("w"), p.endswith(".").alias("dot")
+            F.coalesce(F.element_at(table, F.rtrim(p, F.lit("."))), F.rtrim(p, F.lit("."))).alias("w"), (p.endswith(".") & (F.length(p) <= 7)).alias("dot")
         ),
     )
     return names.select("name", "n", tokens.alias("tokens"))
@@ -168,7 +168,7 @@ def entities(names: DataFrame) -> DataFrame:
     options = (
         short.select("name", "pos", F.col("w").alias("short")).join(cores, "name").join(beside.withColumnRenamed("w", "long"), "core")
         .join(F.broadcast(several.select("nick", F.col("long").alias("given"))), (F.col("short") == F.col("nick")) & (F.col("long") == F.col("given")), "left")
-        .where((F.col("long").startswith(F.col("short")) & (F.length("long") > F.length("short") + 1)) | F.col("nick").isNotNull())
+        .where((F.col("long").startswith(F.col("short")) & (F.length("long") > F.length("short") + 1) & ~F.col("long").isin([n for n, f in _nicknames().items() if len(f) > 1])) | F.col("nick").isNotNull())
         .groupBy("name", "pos", "core").agg(F.collect_set("long").alias("longs")).groupBy("name", "pos").agg(F.min_by("longs", F.size("longs")).alias("longs"))
     )
     out = spelt.join(options, ["name", "pos"], "left").groupBy("name").agg(

@@ -4,9 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import mixing, names, qa_pairs, quantiles, tokens, truncation
+from lodestone.llm import mixing, names, neighbours, qa_pairs, quantiles, tokens, truncation
 from lodestone.session import load
 
+#: Parts that a vector visits: few find what is very similar, many what is similar at all.
+P1_PROBES, P1_WIDE_PROBES = 4, 64
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbours.similar(load(spark, d, "chunks"), "vec_id", "embedding", 64, k=10, least=0.85, probes=P1_PROBES)
+    pairs = neighbours.similar_pairs(found)
+    return pairs.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar chunks of every chunk whose id is divisible by 100, however weak the similarity."""
+    found = neighbours.similar(load(spark, d, "chunks"), "vec_id", "embedding", 64, k=10, probes=P1_WIDE_PROBES, queries=F.col("vec_id") % 100 == 0)
+    return found.select("id", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return qa_pairs.find_defects(load(spark, d, "selective_answers")).select("answer_id", "side", "defect").distinct()
@@ -55,4 +70,4 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(solved, mixing.copies(sizes, solved))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p4_found, p5_percentiles, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_rates, p4_found, p5_percentiles, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
