@@ -49,10 +49,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The ids of the k most similar other vectors of each vector of the sample."""
     found = []
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 128):  # small blocks, as this runs on the driver
+        s = x[a : a + 128] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        found.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k])
+        found.append(np.argpartition(s, -min(k, s.shape[1] - 1), axis=1)[:, -k:].astype(np.int32))
     return np.concatenate(found)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import mixing, names, neighbours, qa_pairs, quantiles, tokens, truncation
+from lodestone.llm import mixing, names, neighbours, qa_pairs, quantiles, sentences, tokens, truncation
 from lodestone.session import load
 
 #: Parts that a vector visits: few find what is very similar, many what is similar at all.
@@ -70,4 +70,8 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(solved, mixing.copies(sizes, solved))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_rates, p4_found, p5_percentiles, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_rates, p4_found, p5_percentiles, p6_ids, p6_decoded, p7_found, p7_mix, p7_shares, p8_found)}
