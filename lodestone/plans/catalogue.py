@@ -1,5 +1,458 @@
 """The registered queries of the core and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from lodestone.functions import text as T
+from lodestone.functions.vectors import cosine
+from lodestone.operators import arbitration as A, evidence as E, graph as G, index as I, ingest as N, metrics as M, ranking as R, search as S
+from lodestone.plans import pipelines as P
+from lodestone.session import load
+from lodestone.sources.loaders import record_text
+from lodestone.streaming.upserts import stream_latest, windowed_counts
+
+FLAGSHIP = "answer_batch"
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "answer_batch"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _tokens(x: str) -> str:
+    return rf"list_filter(string_split(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[!-/:-@\[-`{{-~]', '', 'g'), '[ \t\r\n]+', ' ', 'g'), ' '), lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))"
+
+
+def _norm(x: str) -> str:
+    return f"array_to_string({_tokens(x)}, ' ')"
+
+
+def _key(x: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _in(x: str, values: list[str]) -> str:
+    return f"lower(trim(coalesce({x}, ''))) IN ({', '.join(repr(v) if chr(39) not in v else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in values)})"
+
+
+#: The answers without repeated rows, and F1 of two token lists, as SQL.
+ONCE = "SELECT DISTINCT answer_id, qid, question, gold, pred, em, f1, v3bu_pred, dec_pred, decision, soft_em FROM selective_answers"
+COMMON = "coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda y: y = t))))), 0)"
+F1 = f"CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = len(g))::DOUBLE WHEN {COMMON} = 0 THEN 0.0 ELSE 2.0 * {COMMON} / (len(p) + len(g)) END"
+SHARED = "len(list_intersect(list_distinct(p), list_distinct(g)))"
+SET_F1 = f"CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = len(g))::DOUBLE WHEN {SHARED} = 0 THEN 0.0 ELSE 2.0 * {SHARED} / (len(list_distinct(p)) + len(list_distinct(g))) END"
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    return P.answers_once(load(spark, d, "selective_answers"))
+
+
+# answers and their scores
+
+
+@query(f"SELECT answer_id, {_norm('pred')} AS pred_norm, {_norm('gold')} AS gold_norm FROM ({ONCE})")
+def normalized_answers(spark, d):
+    return _answers(spark, d).select("answer_id", T.normalize_answer(F.col("pred")).alias("pred_norm"), T.normalize_answer(F.col("gold")).alias("gold_norm"))
+
+
+@query(f"""WITH t AS (SELECT answer_id, {_tokens('pred')} AS p, {_tokens('gold')} AS g FROM ({ONCE}))
+SELECT answer_id, (array_to_string(p, ' ') = array_to_string(g, ' '))::DOUBLE AS exact, round({F1}, 6) AS f1, round({SET_F1}, 6) AS set_f1 FROM t""")
+def answer_scores(spark, d):
+    p, g = F.col("pred"), F.col("gold")
+    return _answers(spark, d).select("answer_id", T.exact_match(p, g).alias("exact"), F.round(T.token_f1(p, g), 6).alias("f1"), F.round(T.set_f1(p, g), 6).alias("set_f1"))
+
+
+@query(f"""WITH t AS (SELECT answer_id, {_tokens('pred')} AS p, unnest([gold, v3bu_pred]) AS alias FROM ({ONCE})), s AS (SELECT answer_id, p, {_tokens('alias')} AS g FROM t)
+SELECT answer_id, max((array_to_string(p, ' ') = array_to_string(g, ' '))::DOUBLE) AS best_exact, max(round({F1}, 6)) AS best_f1 FROM s GROUP BY answer_id""")
+def best_over_aliases(spark, d):
+    p = F.col("pred")
+    return _answers(spark, d).select("answer_id", *[F.greatest(*[F.round(f(p, F.col(a)), 6) for a in ("gold", "v3bu_pred")]).alias(n) for n, f in (("best_exact", T.exact_match), ("best_f1", T.token_f1))])
+
+
+@query(f"""SELECT answer_id, {_in('pred', T.ABSTAIN)} AS abstains, {_in('pred', T.UNCERTAIN)} AS uncertain,
+length(lower(trim(coalesce(pred, '')))) >= 3 AND NOT ({' OR '.join(f"contains(lower(trim(coalesce(pred, ''))), '{x.replace(chr(39), chr(39) * 2)}')" for x in T.NO_SUBSTANCE)}) AS substantial FROM ({ONCE})""")
+def answer_predicates(spark, d):
+    a = F.col("pred")
+    return _answers(spark, d).select("answer_id", T.is_abstention(a).alias("abstains"), T.is_uncertain(a).alias("uncertain"), T.has_substance(a).alias("substantial"))
+
+
+@query(f"""WITH t AS (SELECT answer_id, v3bu_pred AS a, dec_pred AS b, {_tokens('v3bu_pred')} AS p, {_tokens('dec_pred')} AS g FROM ({ONCE})),
+s AS (SELECT *, {F1} AS f, {_in('a', T.UNCERTAIN)} AS u1, {_in('b', T.UNCERTAIN)} AS u2, array_to_string(p, ' ') = array_to_string(g, ' ') AS same FROM t)
+SELECT answer_id, CASE WHEN u1 AND NOT u2 THEN b WHEN u2 THEN a WHEN same THEN a WHEN f >= 0.5 AND length(b) > length(a) THEN b ELSE a END AS answer,
+CASE WHEN u1 AND u2 THEN 'both-uncertain' WHEN u1 THEN 'first-uncertain' WHEN u2 THEN 'second-uncertain' WHEN same THEN 'agree' WHEN f >= 0.5 THEN 'longer' ELSE 'first' END AS reason FROM s""")
+def selective_rule(spark, d):
+    a, b = F.col("v3bu_pred"), F.col("dec_pred")
+    answer, reason = A.selective(a, b, T.token_f1(a, b))
+    return _answers(spark, d).select("answer_id", answer.alias("answer"), reason.alias("reason"))
+
+
+@query(f"""SELECT decision, count(*) AS n, round(avg(em), 6) AS mean_em, round(avg(f1), 6) AS mean_f1, round(avg(coalesce(soft_em, em)), 6) AS mean_soft,
+round(avg(coalesce(soft_em, em)) - avg(em), 6) AS gain, sum(({_in('pred', T.UNCERTAIN)})::INT)::BIGINT AS n_uncertain FROM ({ONCE}) GROUP BY decision""")
+def decision_report(spark, d):
+    soft = F.coalesce("soft_em", "em")
+    return _answers(spark, d).groupBy("decision").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("em"), 6).alias("mean_em"), F.round(F.avg("f1"), 6).alias("mean_f1"), F.round(F.avg(soft), 6).alias("mean_soft"),
+        F.round(F.avg(soft) - F.avg("em"), 6).alias("gain"), F.sum(T.is_uncertain(F.col("pred")).cast("int")).alias("n_uncertain"),
+    )
+
+
+# arbitration
+
+ARM_SQL = f"""arms AS (SELECT answer_id, arm, answer, {_tokens('answer')} AS p, {_tokens('gold')} AS g, w, coalesce(soft_em, 1.0) AS faith FROM (
+SELECT answer_id, soft_em, gold, unnest([{{'arm': 'pred', 'answer': pred, 'w': 0.9::DOUBLE}}, {{'arm': 'v3bu_pred', 'answer': v3bu_pred, 'w': 0.8::DOUBLE}}, {{'arm': 'dec_pred', 'answer': dec_pred, 'w': 0.7::DOUBLE}}], recursive := true) FROM ({ONCE}))),
+signals AS (SELECT answer_id, arm, answer, round({F1}, 6) AS gamma, faith, w FROM arms)"""
+AGREE_SQL = f"""pairs AS (SELECT a.answer_id, a.arm, a.p, b.p AS g FROM arms a JOIN arms b ON a.answer_id = b.answer_id AND a.arm <> b.arm WHERE len(a.p) > 0 AND len(b.p) > 0),
+agreed AS (SELECT answer_id, arm, avg((({SET_F1}) >= 0.7)::INT) AS share FROM pairs GROUP BY ALL),
+agree AS (SELECT a.answer_id, a.arm, coalesce(share, 0.0) AS agree FROM arms a LEFT JOIN agreed USING (answer_id, arm))"""
+
+
+@query(f"WITH {ARM_SQL}, {AGREE_SQL} SELECT answer_id, arm, round(agree, 6) AS agree FROM agree")
+def arm_agreement(spark, d):
+    return A.agreement(P.arm_table(_answers(spark, d)), "answer_id").select("answer_id", "arm", F.round("agree", 6).alias("agree"))
+
+
+ARBITRATED = f"""WITH {ARM_SQL}, {AGREE_SQL}, rated AS (SELECT answer_id, arm, answer, round(CASE WHEN {_in('answer', T.UNCERTAIN)} THEN 0.0 ELSE w * (0.0 + 1.0 * gamma + 0.5 * agree + 0.3 * faith) END, 6) AS score FROM signals JOIN agree USING (answer_id, arm)),
+chosen AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY score DESC, CASE WHEN score = 0 THEN length(coalesce(answer, '')) ELSE 0 END DESC, arm) = 1)"""
+
+
+@query(f"{ARBITRATED} SELECT answer_id, arm, answer, score FROM chosen")
+def arbitrated_answers(spark, d):
+    arms = P.arm_table(_answers(spark, d))
+    return A.arbitrate(A.agreement(arms, "answer_id"), "answer_id")
+
+
+@query(f"""WITH {ARM_SQL}, pooled AS (SELECT answer_id, {_norm('answer')} AS a, count(*) AS votes, round(sum(w), 6) AS weight FROM arms WHERE NOT {_in('answer', T.UNCERTAIN)} GROUP BY ALL)
+SELECT answer_id, a AS answer, votes, weight FROM pooled QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY weight DESC, a) = 1""")
+def weighted_vote(spark, d):
+    return A.weighted_vote(P.arm_table(_answers(spark, d)), "answer_id")
+
+
+@query(f"""WITH {ARM_SQL}, banded AS (SELECT *, CASE WHEN gamma >= 0.66 THEN 2 WHEN gamma >= 0.33 THEN 1 ELSE 0 END AS band FROM signals),
+best AS (SELECT * FROM banded QUALIFY band = max(band) OVER (PARTITION BY answer_id)),
+pooled AS (SELECT answer_id, band, {_norm('answer')} AS a, round(sum(gamma), 6) AS total, count(*) AS n, round(avg(gamma), 6) AS gamma FROM best GROUP BY ALL)
+SELECT answer_id, a AS answer, band, gamma FROM pooled QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY total DESC, n DESC, a DESC) = 1""")
+def gamma_pool(spark, d):
+    return A.gamma_pool(P.arm_table(_answers(spark, d)), "answer_id")
+
+
+@query(f"""WITH v AS (SELECT qid, {_norm('pred')} AS answer, count(*) AS votes FROM ({ONCE}) WHERE {_norm('pred')} <> '' GROUP BY ALL)
+SELECT qid, answer, votes FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, answer) = 1""")
+def majority_answers(spark, d):
+    votes = _answers(spark, d).groupBy("qid", T.normalize_answer(F.col("pred")).alias("answer")).agg(F.count(F.lit(1)).alias("votes")).where("answer <> ''")
+    order = F.struct(-F.col("votes"), "answer")
+    return votes.groupBy("qid").agg(F.min(order.alias("o")).alias("o")).select("qid", F.col("o.answer").alias("answer"), (-F.col("o.col1")).alias("votes"))
+
+
+@query(f"""SELECT answer_id, coalesce(CASE WHEN NOT {_in('pred', T.UNCERTAIN)} THEN pred END, CASE WHEN NOT {_in('dec_pred', T.UNCERTAIN)} THEN dec_pred END, CASE WHEN NOT {_in('v3bu_pred', T.UNCERTAIN)} THEN v3bu_pred END, pred, '') AS answer,
+CASE WHEN NOT {_in('pred', T.UNCERTAIN)} THEN 0 WHEN NOT {_in('dec_pred', T.UNCERTAIN)} THEN 1 WHEN NOT {_in('v3bu_pred', T.UNCERTAIN)} THEN 2 ELSE -1 END AS step FROM ({ONCE})""")
+def retry_cascade(spark, d):
+    answer, step = A.retry(F.col("pred"), F.col("dec_pred"), F.col("v3bu_pred"))
+    return _answers(spark, d).select("answer_id", answer.alias("answer"), step.alias("step"))
+
+
+# questions
+
+_HEADS = ", ".join(f"'{h}'" for h in T.QUESTION_HEADS)
+FEATURES = rf"""features AS (SELECT answer_id, len(regexp_extract_all(lower(coalesce(question, '')), '[a-z0-9]+')) AS n_tokens,
+len(list_filter(list_distinct(regexp_extract_all(coalesce(question, ''), '[A-Z][a-z]+(?: [A-Z][a-z]*[.]?)*')), lambda x: x NOT IN ({_HEADS}))) AS n_entities,
+len(regexp_extract_all(lower(coalesce(question, '')), '(?:^| )of ')) AS n_of,
+len(list_distinct(regexp_extract_all(lower(coalesce(question, '')), 'spouse|cousin|born|founded|directed|located|known for|older|opposed|translated|inherited|rebuilt'))) AS n_relations,
+regexp_matches(lower(coalesce(question, '')), '[a-z]''s ') AS has_possessive, regexp_matches(lower(coalesce(question, '')), '^(are|is|was|were|did|do|does) ') AS is_polar,
+regexp_matches(lower(coalesce(question, '')), '(older|younger|larger|earlier|later|which).* or ') AS is_comparison FROM ({ONCE}))"""
+
+
+@query(f"WITH {FEATURES} SELECT * FROM features")
+def question_features(spark, d):
+    return _answers(spark, d).select("answer_id", *[c.alias(n) for n, c in T.question_features(F.col("question")).items()])
+
+
+@query(f"""WITH {FEATURES} SELECT answer_id, CASE WHEN n_of >= 3 OR n_relations >= 3 THEN 'chain_deep'
+WHEN n_tokens < 15 AND (n_of >= 2 OR (n_relations >= 2 AND n_tokens >= 8) OR (n_relations >= 1 AND n_entities >= 2)) THEN 'bridge_entity' ELSE 'semantic_rich' END AS cohort FROM features""")
+def question_cohorts(spark, d):
+    return _answers(spark, d).select("answer_id", T.question_class(T.question_features(F.col("question"))).alias("cohort"))
+
+
+# vector search, by queries whose id is divisible by 100, against all rows
+
+
+def _vectors(spark, d):
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+_SIM = "list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))"
+
+
+def _dense_sql(extra: str = "") -> str:
+    return f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 5) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id {extra}
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_SIM}, 9) DESC, e.vec_id) <= 10"""
+
+
+@query(_dense_sql())
+def dense_top_k(spark, d):
+    v = _vectors(spark, d)
+    return S.exact_top_k(v.where("id % 100 = 0"), v, 10, 64).select("query_id", "id", F.round("similarity", 5).alias("similarity"))
+
+
+@query(_dense_sql("AND q.label = e.label"))
+def dense_top_k_filtered(spark, d):
+    v = _vectors(spark, d)
+    return S.exact_top_k(v.where("id % 100 = 0"), v, 10, 64, "label").select("query_id", "id", F.round("similarity", 5).alias("similarity"))
+
+
+@query(f"""WITH ranked AS (SELECT q.vec_id AS query_id, (q.label = e.label) AS relevant, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_SIM}, 9) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id),
+sizes AS (SELECT q.vec_id AS query_id, count(*) - 1 AS total FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, round(sum(relevant::INT) / any_value(total), 6) AS recall, round(sum(relevant::INT) / 10, 6) AS precision,
+round(sum(CASE WHEN relevant THEN 1 / log2(rank + 1.0) ELSE 0 END) / any_value(list_sum(list_transform(range(1, least(total, 10) + 1), lambda i: 1 / log2(i + 1.0)))), 6) AS ndcg
+FROM ranked JOIN sizes USING (query_id) WHERE rank <= 10 GROUP BY query_id""")
+def retrieval_metrics(spark, d):
+    v = _vectors(spark, d)
+    labels = v.select("id", "label")
+    sizes = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    found = S.exact_top_k(v.where("id % 100 = 0"), v, 10, 64)
+    own = labels.select(F.col("id").alias("query_id"), F.col("label").alias("own")).join(sizes.withColumnRenamed("label", "own"), "own")
+    return M.ranked_metrics(found.join(labels, "id").join(own, "query_id").withColumn("relevant", F.col("label") == F.col("own")), "query_id", 10)
+
+
+_CENTROIDS = """parts AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), means AS (SELECT label, pos, avg(x) AS m FROM parts GROUP BY ALL),
+lens AS (SELECT label, sqrt(sum(m * m)) AS l FROM means GROUP BY label), centroids AS (SELECT label, pos, round(m / l, 6) AS value FROM means JOIN lens USING (label))"""
+
+
+@query(f"WITH {_CENTROIDS} SELECT label, pos::INT AS pos, round(value, 4) AS value FROM centroids")
+def anchor_centroids(spark, d):
+    return N.centroids(load(spark, d, "embeddings"), "label", "embedding").select("label", "pos", F.round("value", 4).alias("value"))
+
+
+@query(f"""WITH {_CENTROIDS}, vecs AS (SELECT label, list(value ORDER BY pos) AS c FROM centroids GROUP BY label)
+SELECT e.vec_id, v.label AS anchor FROM embeddings e CROSS JOIN vecs v QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], v.c), 7) DESC, v.label) <= 3""")
+def anchor_top3(spark, d):
+    """Each vector's three nearest anchors. Anchors are the labels, few by their meaning; they travel as one array."""
+    e = load(spark, d, "embeddings")
+    c = N.centroids(e, "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v")).select("label", F.transform("v", lambda x: x["value"]).alias("v"))
+    all_of = c.agg(F.collect_list(F.struct("label", "v")).alias("a")).select("a").scalar()
+    near = F.array_sort(F.transform("a", lambda x: F.struct((-F.round(F.aggregate(F.zip_with("embedding", x["v"], lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, t: s + t), 7)).alias("s"), x["label"].alias("label"))))
+    return e.withColumn("a", all_of).select("vec_id", F.explode(F.transform(F.slice(near, 1, 3), lambda x: x["label"])).alias("anchor"))
+
+
+_TERMS = "unnest(list_filter(string_split({}, ' '), lambda t: t <> ''))"
+
+
+@query(f"""WITH docs AS (SELECT DISTINCT doc_id AS doc, text FROM documents), terms AS (SELECT doc, {_TERMS.format(_key('text'))} AS term FROM docs), tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL),
+lens AS (SELECT doc, count(*) AS len FROM terms GROUP BY doc), st AS (SELECT count(*) AS n, avg(len) AS mean FROM lens), df AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term HAVING idf > 0),
+asked AS (SELECT DISTINCT answer_id AS query_id, {_TERMS.format(_key('question'))} AS term FROM ({ONCE}) WHERE answer_id % 100 = 0),
+scored AS (SELECT query_id, doc, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS score FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN lens USING (doc), st GROUP BY ALL)
+SELECT query_id, doc, round(score, 5) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) <= 10""")
+def bm25_top_k(spark, d):
+    asked = _answers(spark, d).where("answer_id % 100 = 0").select(F.col("answer_id").alias("id"), F.col("question").alias("text"))
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").distinct()
+    return S.bm25(asked, docs, 10).select("query_id", "doc", F.round("score", 5).alias("score"))
+
+
+# ranked lists
+
+_RESP = "SELECT DISTINCT response_id, qid, n_input_tokens, n_output_tokens FROM reader_responses WHERE qid IS NOT NULL AND n_input_tokens IS NOT NULL AND n_output_tokens IS NOT NULL"
+
+
+@query(f"""WITH r AS ({_RESP}), p AS (SELECT *, (rank() OVER (PARTITION BY qid ORDER BY n_output_tokens) + (count(*) OVER (PARTITION BY qid, n_output_tokens) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY qid) AS a,
+(rank() OVER (PARTITION BY qid ORDER BY n_input_tokens) + (count(*) OVER (PARTITION BY qid, n_input_tokens) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY qid) AS b FROM r)
+SELECT response_id, round(a, 6) AS pit, round(0.9 * a + 0.1 * b, 6) AS fused FROM p""")
+def pit_fusion(spark, d):
+    r = load(spark, d, "reader_responses").select("response_id", "qid", "n_input_tokens", "n_output_tokens").distinct().na.drop(subset=["qid", "n_input_tokens", "n_output_tokens"])
+    both = R.pit(R.pit(r, ["qid"], "n_output_tokens", "a"), ["qid"], "n_input_tokens", "b")
+    return both.select("response_id", F.round("a", 6).alias("pit"), F.round(R.fuse(F.col("a"), F.col("b")), 6).alias("fused"))
+
+
+_LISTS = f"""own AS (SELECT DISTINCT response_id, qid, coalesce(provider, '') AS provider, {_key('text')} AS item FROM reader_responses WHERE qid IS NOT NULL),
+lists AS (SELECT qid, provider, item, row_number() OVER (PARTITION BY qid, provider ORDER BY response_id) AS rank FROM own WHERE item <> '')"""
+
+
+@query(f"""WITH {_LISTS}, f AS (SELECT qid, item, min((rank, provider)) AS at FROM lists GROUP BY ALL)
+SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY at, item) AS position FROM f QUALIFY position <= 10""")
+def round_robin_union(spark, d):
+    return R.round_robin(P.provider_lists(load(spark, d, "reader_responses")), "qid", "provider", "rank", "item", 10)
+
+
+@query(f"""WITH {_LISTS}, f AS (SELECT qid, item, min((provider, rank)) AS at FROM lists GROUP BY ALL)
+SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY at, item) AS position FROM f QUALIFY position <= 15""")
+def ordered_union(spark, d):
+    return R.ordered_union(P.provider_lists(load(spark, d, "reader_responses")), "qid", "provider", "rank", "item", 15)
+
+
+# graph and evidence
+
+_EDGES = f"""raw AS (SELECT {_key('subject')} AS subject, {_key('predicate')} AS predicate, {_key('object')} AS object, source_chunk_id AS chunk, CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0.7 ELSE confidence END AS confidence FROM raw_triples),
+edges AS (SELECT subject, predicate, object, chunk, max(confidence) AS confidence FROM raw WHERE subject <> '' AND object <> '' AND subject <> object GROUP BY ALL)"""
+
+
+def _edges(spark, d):
+    return G.edges(load(spark, d, "raw_triples"))
+
+
+@query(f"WITH {_EDGES} SELECT least(subject, object) AS a, greatest(subject, object) AS b, predicate, count(*) AS n, max(confidence) AS confidence FROM edges GROUP BY ALL")
+def graph_edges(spark, d):
+    return G.symmetric(_edges(spark, d))
+
+
+@query(f"WITH {_EDGES}, both AS (SELECT subject AS node, object AS other FROM edges UNION SELECT object, subject FROM edges) SELECT node, count(*) AS degree FROM both GROUP BY node")
+def graph_degrees(spark, d):
+    return G.degrees(_edges(spark, d))
+
+
+@query(f"""WITH {_EDGES} SELECT a.chunk, concat_ws(' > ', a.subject, a.predicate, a.object, b.predicate, b.object) AS path, round(a.confidence * b.confidence, 6) AS confidence
+FROM edges a JOIN edges b ON a.chunk = b.chunk AND a.object = b.subject WHERE a.subject <> b.object""")
+def graph_paths(spark, d):
+    return G.chunk_paths(_edges(spark, d))
+
+
+@query(f"""WITH {_EDGES}, ids AS (SELECT DISTINCT chunk, concat_ws('|', least(subject, object), predicate, greatest(subject, object)) AS id FROM edges)
+SELECT chunk, count(*)::INT AS n_edges, sha1(string_agg(id || chr(10), '' ORDER BY id)) AS traversal FROM ids GROUP BY chunk""")
+def traversal_hashes(spark, d):
+    return G.traversal_hash(_edges(spark, d))
+
+
+@query()
+def personalised_pagerank(spark, d):
+    e = _edges(spark, d)
+    nodes = e.select(F.col("subject").alias("entity")).union(e.select("object")).distinct()
+    seeds = E.link_entities(_answers(spark, d), "answer_id", "question", nodes).select(F.col("entity").alias("node"))
+    return G.pagerank(e, seeds).select("node", F.round("score", 9).alias("score"))
+
+
+_SETS = "list_distinct(string_split({}, ' '))"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT triple_id, subject, object, source_chunk_id FROM raw_triples), c AS (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY chunk_id),
+j AS (SELECT triple_id, {_key('subject')} AS s, {_key('object')} AS o, text, list_has_all({_SETS.format(_key('text'))}, {_SETS.format(_key('subject'))}) AS hs, list_has_all({_SETS.format(_key('text'))}, {_SETS.format(_key('object'))}) AS ho FROM t LEFT JOIN c ON chunk_id = source_chunk_id)
+SELECT DISTINCT triple_id, CASE WHEN s = '' OR o = '' OR text IS NULL THEN 'refuse' WHEN hs AND ho THEN 'valid' WHEN hs OR ho THEN 'partial' ELSE 'invalid' END AS status FROM j""")
+def triple_support(spark, d):
+    return E.support(load(spark, d, "raw_triples"), load(spark, d, "chunks"))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT chunk_id, unnest(entities) AS name FROM openie_results) SELECT {_key('name')} AS entity, count(DISTINCT chunk_id) AS n_chunks FROM e WHERE {_key('name')} <> '' GROUP BY 1""")
+def entity_index(spark, d):
+    e = load(spark, d, "openie_results").select("chunk_id", F.explode("entities").alias("name")).select("chunk_id", T.lookup_key(F.col("name")).alias("entity"))
+    return e.where("entity <> ''").distinct().groupBy("entity").agg(F.count("chunk_id").alias("n_chunks"))
+
+
+_GRAMS = " UNION ".join(f"SELECT answer_id, array_to_string(w[i:i + {n - 1}], ' ') AS entity FROM (SELECT answer_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w WHERE len(w) >= {n})" for n in range(1, E.NAME_WORDS + 1))
+
+
+@query(f"""WITH {_EDGES}, names AS (SELECT subject AS entity FROM edges UNION SELECT object FROM edges), w AS (SELECT answer_id, list_filter(string_split({_key('question')}, ' '), lambda x: x <> '') AS w FROM ({ONCE})), grams AS ({_GRAMS})
+SELECT answer_id, entity, row_number() OVER (PARTITION BY answer_id ORDER BY length(entity) DESC, entity) AS position FROM grams JOIN names USING (entity) WHERE length(entity) >= 3 QUALIFY position <= 8""")
+def entity_links(spark, d):
+    e = _edges(spark, d)
+    nodes = e.select(F.col("subject").alias("entity")).union(e.select("object")).distinct()
+    return E.link_entities(_answers(spark, d), "answer_id", "question", nodes)
+
+
+# ingestion and index
+
+
+@query()
+def sentence_chunks(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "text").distinct()
+    return N.chunks(docs, "doc_id", N.pack_sentences(F.col("text"), 40, 5))
+
+
+@query()
+def paragraph_chunks(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "text").distinct()
+    return N.chunks(docs, "doc_id", N.pack_paragraphs(F.col("text")))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_TERMS.format(_key('text'))} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)), c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS bucket, count(*) AS c FROM w GROUP BY ALL)
+SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""")
+def hash_embeddings(spark, d):
+    return N.hash_embedding(load(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text")
+
+
+_FIELDS = ", ".join(f"nullif(trim(json_extract_string(props, '$.{k}')), '')" for k in ("text", "content", "body", "passage", "answer"))
+
+
+@query(f"SELECT event_id, coalesce({_FIELDS}, props) AS text FROM events")
+def json_records(spark, d):
+    return load(spark, d, "events").select("event_id", record_text(F.col("props")).alias("text"))
+
+
+@query("SELECT vec_id, chunk_id, doc_id, pos, text FROM chunks QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY ingested_at DESC) = 1")
+def upserted_chunks(spark, d):
+    """The chunks as an index into which every ingestion was upserted."""
+    return I.latest(load(spark, d, "chunks").select("vec_id", "chunk_id", "doc_id", "pos", "text", "ingested_at"), "vec_id", "ingested_at").select("vec_id", "chunk_id", "doc_id", "pos", "text")
+
+
+@query("""WITH last AS (SELECT chunk_id, doc_id, text FROM chunks QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY ingested_at DESC) = 1), stale AS (SELECT DISTINCT doc_id FROM documents WHERE text IS NULL OR length(trim(text)) = 0)
+SELECT chunk_id, doc_id, text FROM last WHERE doc_id NOT IN (SELECT doc_id FROM stale)""")
+def deleted_documents(spark, d):
+    """The index without the chunks of documents that have no text any more."""
+    stale = load(spark, d, "documents").where(F.col("text").isNull() | (F.length(F.trim("text")) == 0)).select("doc_id")
+    return I.delete(upserted_chunks(spark, d), stale, "doc_id").select("chunk_id", "doc_id", "text")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def streamed_latest_events(spark, d):
+    return stream_latest(spark, d, "user_id", "ts", "events.parquet").select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return windowed_counts(load(spark, d, "events"), "ts", "event_type", "1 hour", "10 minutes")
+
+
+# runs
+
+_RUNS = "SELECT DISTINCT run_id, arm, query_id, category, recall_at_5, recall_at_10, ndcg_at_5, latency_ms, tokens_in, tokens_out, cost_cents FROM arm_runs"
+
+
+def _runs(spark, d):
+    return load(spark, d, "arm_runs").select("run_id", "arm", "query_id", "category", "recall_at_5", "recall_at_10", "ndcg_at_5", "latency_ms", "tokens_in", "tokens_out", "cost_cents").distinct()
+
+
+@query(f"""SELECT arm, category, grouping(category)::INT AS all_categories, count(*) AS n, round(avg(recall_at_5), 6) AS recall_at_5, round(avg(recall_at_10), 6) AS recall_at_10, round(avg(ndcg_at_5), 6) AS ndcg_at_5, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out,
+round(sum(cost_cents), 2) AS cost_cents FROM ({_RUNS}) GROUP BY GROUPING SETS ((arm, category), (arm))""")
+def arm_summary(spark, d):
+    return (
+        _runs(spark, d).groupingSets([["arm", "category"], ["arm"]], "arm", "category")
+        .agg(F.grouping("category").cast("int").alias("all_categories"), F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall_at_5", "recall_at_10", "ndcg_at_5")],
+             *[F.sum(c).alias(c) for c in ("tokens_in", "tokens_out")], F.round(F.sum("cost_cents"), 2).alias("cost_cents"))
+    )
+
+
+_MEASURED = f"SELECT arm, latency_ms FROM ({_RUNS}) WHERE latency_ms >= 0 AND NOT isnan(latency_ms)"
+
+
+@query(f"""WITH r AS (SELECT arm, latency_ms, row_number() OVER (PARTITION BY arm ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY arm) AS n FROM ({_MEASURED}))
+SELECT arm, p, n, latency_ms FROM r, (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS p) WHERE i = floor(p * (n - 1))""")
+def latency_percentiles(spark, d):
+    r = _runs(spark, d).where("latency_ms >= 0 AND NOT isnan(latency_ms)")
+    return M.exact_percentiles(r, ["arm"], "latency_ms", [0.5, 0.95, 0.99])
+
+
+@query(f"""WITH c AS (SELECT arm, sum((recall_at_5 > 0)::INT) AS k, count(*) AS n FROM ({_RUNS}) WHERE recall_at_5 IS NOT NULL GROUP BY arm), s AS (SELECT arm, n, k / n AS p FROM c)
+SELECT arm, n, round(p, 6) AS share, round(greatest((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 0), 6) AS low, round(least((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 1), 6) AS high FROM s""")
+def hit_intervals(spark, d):
+    c = _runs(spark, d).where("recall_at_5 IS NOT NULL").groupBy("arm").agg(F.sum((F.col("recall_at_5") > 0).cast("int")).alias("k"), F.count(F.lit(1)).alias("n"))
+    low, high = M.wilson(F.col("k"), F.col("n"))
+    return c.select("arm", "n", F.round(F.col("k") / F.col("n"), 6).alias("share"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query(f"""WITH m AS (SELECT query_id, arm, avg(latency_ms) AS l FROM ({_RUNS}) WHERE latency_ms > 0 AND NOT isnan(latency_ms) GROUP BY ALL)
+SELECT a.query_id, round(greatest(a.l, b.l), 3) AS parallel_ms, round(a.l + b.l, 3) AS sequential_ms FROM m a JOIN m b ON a.query_id = b.query_id AND a.arm = 'arm-a-plain-top20' AND b.arm = 'arm-c-adaptive-rag'""")
+def ensemble_latency(spark, d):
+    """Two arms on the same question, side by side and one after the other; means first, so that a hot question joins as one row."""
+    m = _runs(spark, d).where("latency_ms > 0 AND NOT isnan(latency_ms)").groupBy("query_id", "arm").agg(F.avg("latency_ms").alias("l"))
+    a, b = (m.where(F.col("arm") == x).select("query_id", F.col("l").alias(n)) for x, n in (("arm-a-plain-top20", "a"), ("arm-c-adaptive-rag", "b")))
+    return a.join(b, "query_id").select("query_id", F.round(F.greatest("a", "b"), 3).alias("parallel_ms"), F.round(F.col("a") + F.col("b"), 3).alias("sequential_ms"))
+
+
+@query(f"""{ARBITRATED}, {_EDGES}, facts AS (SELECT subject AS entity, count(*) AS facts FROM edges GROUP BY 1), w AS (SELECT answer_id, list_filter(string_split({_key('question')}, ' '), lambda x: x <> '') AS w FROM ({ONCE})), grams AS ({_GRAMS}),
+linked AS (SELECT answer_id, facts FROM grams JOIN facts USING (entity) WHERE length(entity) >= 3 QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY length(entity) DESC, entity) <= 8), n AS (SELECT answer_id, count(*) AS n_entities, sum(facts)::BIGINT AS n_facts FROM linked GROUP BY 1)
+SELECT answer_id, arm, answer, score, coalesce(n_entities, 0) AS n_entities, coalesce(n_facts, 0) AS n_facts FROM chosen LEFT JOIN n USING (answer_id)""")
+def answer_batch(spark, d):
+    return P.answer_batch(load(spark, d, "selective_answers"), load(spark, d, "raw_triples"))
