@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -31,10 +30,20 @@ EPOCHS, RATE, DECAY = 60, 0.5, 1e-5
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """``__id, __v`` (unit length, 32-bit) of vectors of the right length without null, NaN or infinite values, not all zero; one row per id."""
+    """``__id, __cls, __v`` (unit length, 32-bit, packed) of vectors of the right length without null, NaN or infinite
+    values, not all zero. Equal vectors have one class, a 64-bit hash of their bytes (two different vectors among a
+    billion share one with a probability of 3 %, among a hundred million of 0.03 %)."""
     v = F.col(vector)
     sound = v.isNotNull() & (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(sound & F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.min(vector).alias("__v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                packed = pa.array([r.tobytes() for r in _matrix(batch.column(1), dims)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["__id", "__v"])
+
+    own = vectors.where(sound & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("__id"), v.alias("__v"))
+    return own.mapInArrow(pack, "__id bigint, __v binary").select("__id", F.xxhash64("__v").alias("__cls"), "__v")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -162,7 +171,7 @@ def _search(k: int, least: float, dims: int):
                 s = x[a : a + 1024] @ y.T
                 s[own[a : a + 1024, None] == ids[None, :]] = -2
                 if least > -1:
-                    i, j = np.nonzero(s >= least - 1e-3)
+                    i, j = np.nonzero(s >= least)
                 else:
                     top = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
                     i, j = np.repeat(np.arange(len(s)), top.shape[1]), top.ravel()
@@ -174,7 +183,7 @@ def _search(k: int, least: float, dims: int):
                     i, j, v = i[order], j[order], v[order]
                     first = np.r_[0, np.flatnonzero(np.diff(i)) + 1]
                     rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-                    i, j, v = i[rank < 2 * k], j[rank < 2 * k], v[rank < 2 * k]
+                    i, j, v = i[rank < k], j[rank < k], v[rank < k]
                 out[0].append(own[a + i])
                 out[1].append(ids[j])
                 out[2].append(v.astype(np.float64))
@@ -184,11 +193,6 @@ def _search(k: int, least: float, dims: int):
     return run
 
 
-def classes(vectors: DataFrame) -> DataFrame:
-    """``__id, __cls``: equal vectors have one class, the least id among them."""
-    return vectors.select("__id", F.min("__id").over(Window.partitionBy("__v")).alias("__cls"))
-
-
 def similar(
     vectors: DataFrame, key: str, vector: str, dims: int, k: int = 10, least: float = -1.0, probes: int = 8, queries: Column | None = None
 ) -> DataFrame:
@@ -198,50 +202,46 @@ def similar(
     of another length, all zero or with NaN take no part; an id that comes several times counts once. Equal vectors
     count each: they are the first neighbours of one another. An empty table gives no rows.
     """
-    sound = keep(usable(vectors, key, vector, dims))
-    member = sound.groupBy("__v").agg(F.min("__id").alias("__cls"), F.count(F.lit(1)).alias("size"))
-    member = keep(member)
+    sound = usable(vectors, key, vector, dims)
+    ids = keep(sound.select("__id", "__cls").distinct())
+    member = keep(sound.groupBy("__cls").agg(F.min("__v").alias("__v")))
     n = member.count()
     model = fit(member, dims, max(n, 1))
     asked = member
     if queries is not None:
-        wanted = sound.withColumnRenamed("__id", key).where(queries).select("__v").distinct()
-        asked = member.join(wanted, "__v", "left_semi")
-    # a stored row goes to one part and, within it, to one block; a query visits all blocks of its parts
-    stored = keep(route(member, model, dims, 1).select("__cls", "__v", "part"))
-    blocks = stored.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # at most MOST_PARTS rows
-    data = stored.join(blocks, "part").select("__cls", "__v", "part", F.pmod(F.xxhash64("__cls"), F.col("blocks")).cast("int").alias("block"))
-    # queries of a crowded part are dealt over several tasks
-    asking = route(asked, model, dims, probes).join(blocks, "part").select("__cls", "__v", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
-    lanes = asking.withColumn("lane", F.pmod(F.xxhash64("__cls", F.lit(3)), F.col("blocks")).cast("int"))
-    copies = data.join(blocks, "part").select("__cls", "__v", "part", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lane"))
+        asked = member.join(ids.withColumnRenamed("__id", key).where(queries).select("__cls").distinct(), "__cls", "left_semi")
+    # a stored row goes to one part and, within it, to one block; a query visits all blocks of its parts, and the
+    # queries of a crowded part are dealt over as many lanes
+    stored = route(member, model, dims, 1).select("__cls", "__v", "part")
+    crowded = stored.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).collect()  # MOST_PARTS rows at most
+    blocks = F.element_at(F.array(*[F.lit(b) for b in _by_part(crowded, model[0].shape[1])]), F.col("part") + 1)
+    hashed = lambda salt: F.pmod(F.xxhash64("__cls", F.lit(salt)), blocks).cast("int")
+    every = lambda: F.explode(F.sequence(F.lit(0), blocks - 1))
+    asking = route(asked, model, dims, probes).select("__cls", "__v", "part", every().alias("block"), hashed(3).alias("lane"))
+    data = stored.select("__cls", "__v", "part", every().alias("lane"), hashed(5).alias("block"))
     at = ["part", "block", "lane"]
-    found = lanes.groupBy(*at).cogroup(copies.groupBy(*at)).applyInArrow(_search(k, least, dims), "a bigint, b bigint, s double")
+    found = asking.groupBy(*at).cogroup(data.groupBy(*at)).applyInArrow(_search(k, least, dims), "a bigint, b bigint, s double")
+    # two classes may meet only once, as a stored row is in one part; k classes are as good as all
     best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * k).select("a", "b", "s")
-    return _expand(sound, member, keep(top), key, k, least, queries)
-
-
-def _cosine(x: Column, y: Column) -> Column:
-    dot = F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda z: F.sqrt(F.aggregate(z, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return dot / norm(x) / norm(y)
-
-
-def _expand(sound: DataFrame, member: DataFrame, top: DataFrame, key: str, k: int, least: float, queries: Column | None) -> DataFrame:
-    """From neighbouring classes to neighbouring ids: similarities are computed again in double precision, and of each
-    class the k + 1 least ids are as good as all."""
-    vector = member.select("__cls", "__v")
-    exact = (
-        top.join(vector.select(F.col("__cls").alias("a"), F.col("__v").alias("va")), "a").join(vector.select(F.col("__cls").alias("b"), F.col("__v").alias("vb")), "b")
-        .select("a", "b", _cosine(F.col("va"), F.col("vb")).alias("s")).where(F.col("s") >= least)
-    )
-    ids = sound.join(member, "__v").select("__id", "__cls", "size")
-    crowd = ids.where("size > 1").withColumn("i", F.row_number().over(Window.partitionBy("__cls").orderBy("__id"))).where(F.col("i") <= k + 1)
-    first = ids.where("size = 1").select("__id", "__cls").unionByName(crowd.select("__id", "__cls"))
-    own = member.where("size > 1").select(F.col("__cls").alias("a"), F.col("__cls").alias("b"), F.lit(1.0).alias("s"))
-    near = exact.unionByName(own).join(first.select(F.col("__cls").alias("b"), F.col("__id").alias("neighbour")), "b").select("a", "neighbour", "s")
+    top = keep(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", "s"))
+    return _expand(ids, top, key, k, queries)
+
+
+def _by_part(counted: list, parts: int) -> list[int]:
+    found = {r.part: r.blocks for r in counted}
+    return [found.get(p, 1) for p in range(parts)]
+
+
+def _expand(ids: DataFrame, top: DataFrame, key: str, k: int, queries: Column | None) -> DataFrame:
+    """From neighbouring classes to neighbouring ids; of each class the k + 1 least ids are as good as all."""
+    size = ids.groupBy("__cls").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    single = ids.join(size, "__cls", "left_anti")
+    # the least ids of a large class are found in two steps, so that no task sorts all of it
+    several = ids.join(size, "__cls").withColumn("lane", F.pmod(F.xxhash64("__id"), F.ceil(F.col("size") / 10_000)))
+    some = several.withColumn("i", F.row_number().over(Window.partitionBy("__cls", "lane").orderBy("__id"))).where(F.col("i") <= k + 1)
+    first = some.withColumn("i", F.row_number().over(Window.partitionBy("__cls").orderBy("__id"))).where(F.col("i") <= k + 1).select("__id", "__cls")
+    own = size.select(F.col("__cls").alias("a"), F.col("__cls").alias("b"), F.lit(1.0).alias("s"))
+    near = top.unionByName(own).join(single.unionByName(first).select(F.col("__cls").alias("b"), F.col("__id").alias("neighbour")), "b").select("a", "neighbour", "s")
     asked = ids if queries is None else ids.withColumnRenamed("__id", key).where(queries).withColumnRenamed(key, "__id")
     rows = near.join(asked.select(F.col("__cls").alias("a"), F.col("__id").alias("id")), "a").where(F.col("id") != F.col("neighbour"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "neighbour"))

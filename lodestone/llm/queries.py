@@ -8,7 +8,7 @@ from lodestone.llm import mixing, names, neighbours, qa_pairs, quantiles, senten
 from lodestone.session import load
 
 #: Parts that a vector visits: few find what is very similar, many what is similar at all.
-P1_PROBES, P1_WIDE_PROBES = 4, 64
+P1_PROBES, P1_WIDE_PROBES = 3, 64
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
