@@ -15,6 +15,15 @@ NO_SUBSTANCE = ["not in passages", "i don't know", "cannot answer", "no answer",
 QUESTION_HEADS = ["Who", "What", "When", "Where", "Why", "Which", "How", "Is", "Are", "Was", "Were", "Did", "Do", "Does", "Describe", "Explain", "In", "The"]
 
 
+#: White space that surrounds answers, blanks without a line break included.
+EDGES = r"^[ \t\r\n\x{00A0}]+|[ \t\r\n\x{00A0}]+$"
+
+
+def strip(text: Column) -> Column:
+    """Lower case without surrounding white space; null is empty."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), EDGES, "")
+
+
 def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
@@ -53,15 +62,15 @@ def set_f1(pred: Column, gold: Column) -> Column:
 
 
 def is_abstention(answer: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(answer, F.lit("")))).isin(ABSTAIN)
+    return strip(answer).isin(ABSTAIN)
 
 
 def is_uncertain(answer: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(answer, F.lit("")))).isin(UNCERTAIN)
+    return strip(answer).isin(UNCERTAIN)
 
 
 def has_substance(answer: Column) -> Column:
-    low = F.lower(F.trim(F.coalesce(answer, F.lit(""))))
+    low = strip(answer)
     found = F.lit(False)
     for phrase in NO_SUBSTANCE:
         found = found | F.contains(low, F.lit(phrase))

@@ -31,7 +31,7 @@ def arbitrate(arms: DataFrame, key: str) -> DataFrame:
     s = {"gamma": 1.0, "agree": 0.0, "faith": 1.0, "p": 1.0}
     v = {c: F.coalesce(F.col(c).cast("double"), F.lit(d)) for c, d in s.items()}
     score = F.when(is_uncertain(F.col("answer")), 0.0).otherwise(v["p"] * sum((w * v[c] for c, w in WEIGHTS.items()), F.lit(0.0)))
-    rated = arms.withColumn("score", F.round(score, 6))
+    rated = arms.withColumn("score", F.round(score + 1e-9, 6))
     nothing = F.length(F.coalesce("answer", F.lit("")))
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc(F.when(F.col("score") == 0, nothing).otherwise(0)), "arm")
     return rated.withColumn("r", F.row_number().over(order)).where("r = 1").select(key, "arm", "answer", "score")

@@ -13,7 +13,11 @@ NAME_WORDS, MOST_ENTITIES = 4, 8
 def n_grams(text: Column, most: int = NAME_WORDS) -> Column:
     """All runs of up to ``most`` words of a text, as lookup keys."""
     w = F.filter(F.split(lookup_key(text), " "), lambda x: x != "")
-    runs = [F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i, n=n: F.array_join(F.slice(w, i, F.lit(n)), " ")) for n in range(1, most + 1)]
+
+    def run(n: int):
+        return lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")
+
+    runs = [F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), run(n)) for n in range(1, most + 1)]
     safe = [F.when(F.size(w) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]
     return F.array_distinct(F.concat(*safe))
 

@@ -21,25 +21,26 @@ def exact_top_k(queries: DataFrame, data: DataFrame, k: int, dims: int, group: s
     """
     sound = F.col("vector").isNotNull() & (F.size("vector") == dims) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
     keep = ["id", "vector"] + ([group] if group else [])
-    q, d = queries.where(sound).select(*keep), data.where(sound).select(*keep)
+    # own names for the queries: they may come from the same table as the data
+    q, d = queries.where(sound).select(*[F.col(c).alias(f"q_{c}") for c in keep]), data.where(sound).select(*keep)
     n_q, n_d = (int(np.ceil(x.count() / b)) or 1 for x, b in ((q, QUERY_BLOCK), (d, DATA_BLOCK)))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n_q)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
     d = d.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(n_d)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_d, out_s = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([])]
         if left.num_rows and right.num_rows:
-            x, y = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, dims) for t in (left, right))
+            x, y = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, dims) for t, c in ((left, "q_vector"), (right, "vector")))
             x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-            ids, order = right.column("id").to_numpy(), None
+            ids = right.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, y = ids[order], y[order]
-            mine = left.column("id").to_numpy()
+            mine = left.column("q_id").to_numpy()
             for a in range(0, len(x), 256):
                 s = x[a : a + 256] @ y.T
                 s[mine[a : a + 256, None] == ids[None, :]] = -2
                 if group:
-                    g, h = left.column(group).to_numpy(zero_copy_only=False), right.column(group).to_numpy(zero_copy_only=False)[order]
+                    g, h = left.column(f"q_{group}").to_numpy(zero_copy_only=False), right.column(group).to_numpy(zero_copy_only=False)[order]
                     s[g[a : a + 256, None] != h[None, :]] = -2
                 top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
                 v = np.take_along_axis(s, top, axis=1)

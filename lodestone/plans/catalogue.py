@@ -39,8 +39,12 @@ def _key(x: str) -> str:
     return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
 
 
+def _strip(x: str) -> str:
+    return rf"regexp_replace(lower(coalesce({x}, '')), '{T.EDGES}', '', 'g')"
+
+
 def _in(x: str, values: list[str]) -> str:
-    return f"lower(trim(coalesce({x}, ''))) IN ({', '.join(repr(v) if chr(39) not in v else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in values)})"
+    return f"{_strip(x)} IN ({', '.join(repr(v) if chr(39) not in v else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in values)})"
 
 
 #: The answers without repeated rows, and F1 of two token lists, as SQL.
@@ -78,7 +82,7 @@ def best_over_aliases(spark, d):
 
 
 @query(f"""SELECT answer_id, {_in('pred', T.ABSTAIN)} AS abstains, {_in('pred', T.UNCERTAIN)} AS uncertain,
-length(lower(trim(coalesce(pred, '')))) >= 3 AND NOT ({' OR '.join(f"contains(lower(trim(coalesce(pred, ''))), '{x.replace(chr(39), chr(39) * 2)}')" for x in T.NO_SUBSTANCE)}) AS substantial FROM ({ONCE})""")
+length({_strip('pred')}) >= 3 AND NOT ({' OR '.join(f"contains({_strip('pred')}, '{x.replace(chr(39), chr(39) * 2)}')" for x in T.NO_SUBSTANCE)}) AS substantial FROM ({ONCE})""")
 def answer_predicates(spark, d):
     a = F.col("pred")
     return _answers(spark, d).select("answer_id", T.is_abstention(a).alias("abstains"), T.is_uncertain(a).alias("uncertain"), T.has_substance(a).alias("substantial"))
@@ -119,7 +123,7 @@ def arm_agreement(spark, d):
     return A.agreement(P.arm_table(_answers(spark, d)), "answer_id").select("answer_id", "arm", F.round("agree", 6).alias("agree"))
 
 
-ARBITRATED = f"""WITH {ARM_SQL}, {AGREE_SQL}, rated AS (SELECT answer_id, arm, answer, round(CASE WHEN {_in('answer', T.UNCERTAIN)} THEN 0.0 ELSE w * (0.0 + 1.0 * gamma + 0.5 * agree + 0.3 * faith) END, 6) AS score FROM signals JOIN agree USING (answer_id, arm)),
+ARBITRATED = f"""WITH {ARM_SQL}, {AGREE_SQL}, rated AS (SELECT answer_id, arm, answer, round(CASE WHEN {_in('answer', T.UNCERTAIN)} THEN 0.0 ELSE w * (0.0 + 1.0 * gamma + 0.5 * agree + 0.3 * faith) END + 1e-9, 6) AS score FROM signals JOIN agree USING (answer_id, arm)),
 chosen AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY score DESC, CASE WHEN score = 0 THEN length(coalesce(answer, '')) ELSE 0 END DESC, arm) = 1)"""
 
 
@@ -225,9 +229,9 @@ _CENTROIDS = """parts AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate
 lens AS (SELECT label, sqrt(sum(m * m)) AS l FROM means GROUP BY label), centroids AS (SELECT label, pos, round(m / l, 6) AS value FROM means JOIN lens USING (label))"""
 
 
-@query(f"WITH {_CENTROIDS} SELECT label, pos::INT AS pos, round(value, 4) AS value FROM centroids")
+@query(f"WITH {_CENTROIDS} SELECT label, pos::INT AS pos, round(value + 1e-9, 4) AS value FROM centroids")
 def anchor_centroids(spark, d):
-    return N.centroids(load(spark, d, "embeddings"), "label", "embedding").select("label", "pos", F.round("value", 4).alias("value"))
+    return N.centroids(load(spark, d, "embeddings"), "label", "embedding").select("label", "pos", F.round(F.col("value") + 1e-9, 4).alias("value"))
 
 
 @query(f"""WITH {_CENTROIDS}, vecs AS (SELECT label, list(value ORDER BY pos) AS c FROM centroids GROUP BY label)
@@ -273,14 +277,14 @@ _LISTS = f"""own AS (SELECT DISTINCT response_id, qid, coalesce(provider, '') AS
 lists AS (SELECT qid, provider, item, row_number() OVER (PARTITION BY qid, provider ORDER BY response_id) AS rank FROM own WHERE item <> '')"""
 
 
-@query(f"""WITH {_LISTS}, f AS (SELECT qid, item, min((rank, provider)) AS at FROM lists GROUP BY ALL)
-SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY at, item) AS position FROM f QUALIFY position <= 10""")
+@query(f"""WITH {_LISTS}, f AS (SELECT qid, item, min((rank, provider)) AS first FROM lists GROUP BY ALL)
+SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY first, item) AS position FROM f QUALIFY position <= 10""")
 def round_robin_union(spark, d):
     return R.round_robin(P.provider_lists(load(spark, d, "reader_responses")), "qid", "provider", "rank", "item", 10)
 
 
-@query(f"""WITH {_LISTS}, f AS (SELECT qid, item, min((provider, rank)) AS at FROM lists GROUP BY ALL)
-SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY at, item) AS position FROM f QUALIFY position <= 15""")
+@query(f"""WITH {_LISTS}, f AS (SELECT qid, item, min((provider, rank)) AS first FROM lists GROUP BY ALL)
+SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY first, item) AS position FROM f QUALIFY position <= 15""")
 def ordered_union(spark, d):
     return R.ordered_union(P.provider_lists(load(spark, d, "reader_responses")), "qid", "provider", "rank", "item", 15)
 
@@ -300,7 +304,7 @@ def graph_edges(spark, d):
     return G.symmetric(_edges(spark, d))
 
 
-@query(f"WITH {_EDGES}, both AS (SELECT subject AS node, object AS other FROM edges UNION SELECT object, subject FROM edges) SELECT node, count(*) AS degree FROM both GROUP BY node")
+@query(f"WITH {_EDGES}, ends AS (SELECT subject AS node, object AS other FROM edges UNION SELECT object, subject FROM edges) SELECT node, count(*) AS degree FROM ends GROUP BY node")
 def graph_degrees(spark, d):
     return G.degrees(_edges(spark, d))
 
@@ -443,12 +447,12 @@ def hit_intervals(spark, d):
 
 
 @query(f"""WITH m AS (SELECT query_id, arm, avg(latency_ms) AS l FROM ({_RUNS}) WHERE latency_ms > 0 AND NOT isnan(latency_ms) GROUP BY ALL)
-SELECT a.query_id, round(greatest(a.l, b.l), 3) AS parallel_ms, round(a.l + b.l, 3) AS sequential_ms FROM m a JOIN m b ON a.query_id = b.query_id AND a.arm = 'arm-a-plain-top20' AND b.arm = 'arm-c-adaptive-rag'""")
+SELECT a.query_id, round(greatest(a.l, b.l) + 1e-6, 3) AS parallel_ms, round(a.l + b.l + 1e-6, 3) AS sequential_ms FROM m a JOIN m b ON a.query_id = b.query_id AND a.arm = 'arm-a-plain-top20' AND b.arm = 'arm-c-adaptive-rag'""")
 def ensemble_latency(spark, d):
     """Two arms on the same question, side by side and one after the other; means first, so that a hot question joins as one row."""
     m = _runs(spark, d).where("latency_ms > 0 AND NOT isnan(latency_ms)").groupBy("query_id", "arm").agg(F.avg("latency_ms").alias("l"))
     a, b = (m.where(F.col("arm") == x).select("query_id", F.col("l").alias(n)) for x, n in (("arm-a-plain-top20", "a"), ("arm-c-adaptive-rag", "b")))
-    return a.join(b, "query_id").select("query_id", F.round(F.greatest("a", "b"), 3).alias("parallel_ms"), F.round(F.col("a") + F.col("b"), 3).alias("sequential_ms"))
+    return a.join(b, "query_id").select("query_id", F.round(F.greatest("a", "b") + 1e-6, 3).alias("parallel_ms"), F.round(F.col("a") + F.col("b") + 1e-6, 3).alias("sequential_ms"))
 
 
 @query(f"""{ARBITRATED}, {_EDGES}, facts AS (SELECT subject AS entity, count(*) AS facts FROM edges GROUP BY 1), w AS (SELECT answer_id, list_filter(string_split({_key('question')}, ' '), lambda x: x <> '') AS w FROM ({ONCE})), grams AS ({_GRAMS}),
