@@ -8,7 +8,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 TEXT_KEYS = ["text", "content", "body", "passage", "answer"]
 #: Elements without readable text.
@@ -54,7 +54,7 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(html: pd.Series) -> pd.Series:
     """The readable text of HTML, one line per text node."""
 
