@@ -9,6 +9,7 @@ possibility. Names whose tokens then agree, whatever their order, are one entity
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -38,13 +39,13 @@ NICKNAMES = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Lower case without accents."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold())
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, with the rows of the table as bits of an integer."""
 
@@ -76,7 +77,7 @@ def _nicknames() -> dict[str, list[str]]:
 
 
 def _map(d: dict[str, str]) -> Column:
-    return F.from_json(F.lit(__import__("json").dumps(d)), "map<string,string>")
+    return F.from_json(F.lit(json.dumps(d)), "map<string,string>")
 
 
 def parse(names: DataFrame) -> DataFrame:
