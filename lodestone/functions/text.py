@@ -15,6 +15,13 @@ NO_SUBSTANCE = ["not in passages", "i don't know", "cannot answer", "no answer",
 QUESTION_HEADS = ["Who", "What", "When", "Where", "Why", "Which", "How", "Is", "Are", "Was", "Were", "Did", "Do", "Does", "Describe", "Explain", "In", "The"]
 
 
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: what a lambda refers to is else computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 #: White space that surrounds answers, blanks without a line break included.
 EDGES = r"^[ \t\r\n\x{00A0}]+|[ \t\r\n\x{00A0}]+$"
 
@@ -47,18 +54,29 @@ def _f1(common: Column, p: Column, g: Column) -> Column:
     return F.when(~both, (p == g).cast("double")).when(common == 0, 0.0).otherwise(2.0 * common / (p + g))
 
 
+def _bags(pred: Column, gold: Column) -> Column:
+    return F.struct(tokens(pred).alias("p"), tokens(gold).alias("g"))
+
+
 def token_f1(pred: Column, gold: Column) -> Column:
     """F1 of the two bags of tokens; where one is empty, whether both are."""
-    p, g = tokens(pred), tokens(gold)
     count = lambda bag, t: F.size(F.filter(bag, lambda x: x == t))
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, t: s + F.least(count(p, t), count(g, t)))
-    return _f1(common, F.size(p), F.size(g))
+
+    def body(s: Column) -> Column:
+        common = F.aggregate(F.array_distinct(s["p"]), F.lit(0), lambda a, t: a + F.least(count(s["p"], t), count(s["g"], t)))
+        return let(common, lambda c: _f1(c, F.size(s["p"]), F.size(s["g"])))
+
+    return let(_bags(pred, gold), body)
+
+
+def overlap_f1(p: Column, g: Column) -> Column:
+    """F1 of two sets, as arrays without repeated elements."""
+    return _f1(F.size(F.array_intersect(p, g)), F.size(p), F.size(g))
 
 
 def set_f1(pred: Column, gold: Column) -> Column:
     """F1 of the two sets of tokens."""
-    p, g = F.array_distinct(tokens(pred)), F.array_distinct(tokens(gold))
-    return _f1(F.size(F.array_intersect(p, g)), F.size(p), F.size(g))
+    return let(_bags(pred, gold), lambda s: overlap_f1(F.array_distinct(s["p"]), F.array_distinct(s["g"])))
 
 
 def is_abstention(answer: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestone.functions.text import is_uncertain, normalize_answer, set_f1
+from lodestone.functions.text import is_uncertain, normalize_answer, overlap_f1, tokens
 
 #: Weights of the signals, and the similarity from which answers agree.
 WEIGHTS = {"gamma": 1.0, "agree": 0.5, "faith": 0.3}
@@ -16,13 +16,16 @@ def agreement(arms: DataFrame, key: str) -> DataFrame:
 
     The arms of a question are few, so they are compared inside one row, by higher-order functions.
     """
-    rows = arms.groupBy(key).agg(F.collect_list(F.struct("arm", "answer")).alias("all"))
-    other = lambda e, o: (o["arm"] != e["arm"]) & (F.length(normalize_answer(o["answer"])) > 0)
-    share = lambda e: F.try_divide(
-        F.size(F.filter("all", lambda o: other(e, o) & (set_f1(e["answer"], o["answer"]) >= AGREE_AT))), F.size(F.filter("all", lambda o: other(e, o)))
-    )
-    entry = F.explode(F.transform("all", lambda e: F.struct(e["arm"].alias("arm"), F.when(F.length(normalize_answer(e["answer"])) > 0, F.coalesce(share(e), F.lit(0.0))).otherwise(0.0).alias("agree")))).alias("e")
-    return arms.join(rows.select(key, entry).select(key, "e.*"), [key, "arm"])
+    bags = arms.select(key, "arm", F.array_distinct(tokens(F.col("answer"))).alias("bag"))
+    rows = bags.groupBy(key).agg(F.collect_list(F.struct("arm", "bag")).alias("all"))
+
+    def rate(e: Column) -> Column:
+        others = F.filter("all", lambda o: (o["arm"] != e["arm"]) & (F.size(o["bag"]) > 0))
+        agreeing = F.filter("all", lambda o: (o["arm"] != e["arm"]) & (F.size(o["bag"]) > 0) & (overlap_f1(e["bag"], o["bag"]) >= AGREE_AT))
+        share = F.when(F.size(e["bag"]) > 0, F.coalesce(F.try_divide(F.size(agreeing), F.size(others)), F.lit(0.0))).otherwise(0.0)
+        return F.struct(e["arm"].alias("arm"), share.alias("agree"))
+
+    return arms.join(rows.select(key, F.explode(F.transform("all", rate)).alias("e")).select(key, "e.*"), [key, "arm"])
 
 
 def arbitrate(arms: DataFrame, key: str) -> DataFrame:
