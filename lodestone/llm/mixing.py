@@ -18,6 +18,8 @@ MAX_STEPS = 40
 TOLERANCE = 1e-9
 #: Documents that are rounded together; more make more buckets.
 BUCKET_DOCS = 5000
+#: Solutions are broadcast up to so many (mix, source) rows.
+BROADCAST_ROWS = 10_000
 
 
 def document_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -93,6 +95,8 @@ def copies(sizes: DataFrame, solved: DataFrame) -> DataFrame:
     more buckets.
     """
     counted = sizes.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
+    if solved.count() <= BROADCAST_ROWS:  # else a shuffle by source
+        solved = F.broadcast(solved)
     each = counted.join(solved.where(F.col("want") > 0), "source").withColumn("rate", _rate(F.col("lam"), F.col("n_tokens") / F.col("mean")))
     bucket = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BUCKET_DOCS))
     along = Window.partitionBy("mix_id", "source", "target_share", "__bucket").orderBy("n_tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)

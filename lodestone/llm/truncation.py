@@ -154,9 +154,11 @@ def find_cut(df: DataFrame, key: str = "response_id", text: str = "text", source
     words = words.select(F.col("word").alias("__w"), F.col("n").alias("__wn"), F.col("ends").alias("__we"))
     pairs = pairs.select(F.col("pair").alias("__p"), F.col("n").alias("__pn"), F.col("ends").alias("__pe"))
 
-    # only open endings need the statistics; they are few words, counted once, and far fewer than the texts
-    slim = rows.drop("__tokens", "__text", *(f"__size_{c}" for c in sizes)).withColumn("__shape", _shape(F.col("__word")))
-    ended = slim.where(F.col("__open") & F.col("__word").isNotNull()).select("__shape", "__pair").distinct()
+    # only open endings need the statistics; the other rows, most of them without a last word, are not shuffled
+    slim = rows.withColumn("__hash", F.xxhash64("__text")).withColumn("__full", F.coalesce(F.length(F.trim("__text")) > 0, F.lit(False))).drop("__tokens", "__text")
+    asks = F.col("__full") & F.col("__open")
+    opened, others = slim.where(asks), slim.where(~asks)
+    ended = opened.where(F.col("__word").isNotNull()).select(_shape(F.col("__word")).alias("__shape"), "__pair").distinct()
     known = (
         ended.join(words, F.col("__shape") == F.col("__w"), "left").join(pairs, F.col("__pair") == F.col("__p"), "left").join(longer, F.col("__pair") == F.col("stem"), "left")
         .select(
@@ -166,16 +168,11 @@ def find_cut(df: DataFrame, key: str = "response_id", text: str = "text", source
             (F.coalesce("longer", F.lit(0)) > 3 * F.coalesce("__pn", F.lit(0))).alias("__stem"),
         )
     )
-    at_spike = full.select("__key", "__source", "__text", F.explode(F.create_map(*[x for k, v in measures.items() for x in (F.lit(k), v.cast("bigint"))])).alias("measure", "length"))
-    hit = (
-        at_spike.join(tops.select(F.col("source").alias("__s"), "measure", "length", F.lit(True).alias("__top")), (F.col("__source").eqNullSafe(F.col("__s"))) & (at_spike.measure == tops.measure) & (at_spike.length == tops.length))
-        .select(F.col("__key").alias("__hk"), F.xxhash64("__text").alias("__hh")).distinct()
-    )
-    rows = rows.withColumn("__hash", F.xxhash64("__text")).withColumn("__full", F.coalesce(F.length(F.trim("__text")) > 0, F.lit(False))).drop("__tokens", "__text")
-    joined = (
-        rows.join(hit, rows.__key.eqNullSafe(hit.__hk) & (rows.__hash == hit.__hh), "left")
-        .join(known, F.col("__pair") == F.col("__k"), "left")
-    )
+    at_spike = full.where(F.col("__open") & ~F.col("__phrase")).select("__key", "__source", F.xxhash64("__text").alias("__hh"), F.explode(F.create_map(*[x for k, v in measures.items() for x in (F.lit(k), v.cast("bigint"))])).alias("measure", "length"))
+    top = tops.select(F.col("source").alias("__s"), F.col("measure").alias("__m"), F.col("length").alias("__l"))
+    hit = at_spike.join(top, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("measure") == F.col("__m")) & (F.col("length") == F.col("__l"))).select(F.col("__key").alias("__hk"), "__hh").distinct()
+    joined = opened.join(hit, F.col("__key").eqNullSafe(F.col("__hk")) & (F.col("__hash") == F.col("__hh")), "left").join(known, F.col("__pair") == F.col("__k"), "left")
+    joined = joined.unionByName(others, allowMissingColumns=True)
     unseen = F.coalesce((F.col("__seen") == 0) | (F.col("__stem") & (F.col("__rate") < 0.5)), F.lit(False))
     lower = F.coalesce(F.col("__word").rlike(r"^\p{Ll}"), F.lit(False))
     no_end = F.when(F.col("__word").isNull(), ~F.col("__base").rlike(f"[{CLOSERS}]$")).otherwise(F.coalesce("__rate", F.lit(0.0)) < NO_END)
@@ -183,7 +180,7 @@ def find_cut(df: DataFrame, key: str = "response_id", text: str = "text", source
         F.when(~F.col("__full"), None)
         .when(F.col("__broken") & ~F.col("__phrase"), "structure")
         .when(F.col("__phrase") & ~(lower & (F.col("__words") > 1) & ~F.col("__base").rlike(r"^\p{N}")), None)
-        .when(F.col("__open") & F.col("__hk").isNotNull(), "spike")
+        .when(F.col("__open") & F.col("__hh").isNotNull(), "spike")
         .when(F.col("__open") & unseen, "word")
         .when(F.col("__open") & no_end & ~F.col("__phrase"), "sentence")
     )
