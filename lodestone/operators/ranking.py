@@ -30,3 +30,11 @@ def ordered_union(lists: DataFrame, by: str, source: str, rank: str, item: str,
     first = lists.groupBy(by, item).agg(F.min(F.struct(source, rank)).alias("at"))
     order = Window.partitionBy(by).orderBy("at", item)
     return first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= cap).select(by, item, "position")
+
+
+def repeats(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """``by, value, first, length``: runs of equal values in the order of ``order``; a run of two is a converged answer."""
+    along = Window.partitionBy(by).orderBy(order)
+    change = F.when(F.lag(value).over(along).eqNullSafe(F.col(value)), 0).otherwise(1)
+    runs = df.withColumn("__c", change).withColumn("__run", F.sum("__c").over(along))
+    return runs.groupBy(by, value, "__run").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("length")).drop("__run")

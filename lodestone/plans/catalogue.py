@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.vectors import cosine
-from lodestone.operators import arbitration as A, evidence as E, graph as G, index as I, ingest as N, metrics as M, ranking as R, search as S
+from lodestone.operators import arbitration as A, evidence as E, extract as X, graph as G, index as I, ingest as N, metrics as M, ranking as R, search as S
 from lodestone.plans import pipelines as P
 from lodestone.session import load
 from lodestone.sources.loaders import record_text
@@ -356,6 +356,86 @@ def entity_links(spark, d):
     return E.link_entities(_answers(spark, d), "answer_id", "question", nodes)
 
 
+_DOCS = "(SELECT DISTINCT doc_id, text FROM documents)"
+
+
+def _clean(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '<!--.*?-->', '', 'g'), '{X.LINK}', '\1', 'g'), '[ \t]+', ' ', 'g'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '{X.ROW}', 1) AS k, regexp_extract_all(text, '{X.ROW}', 2) AS v FROM {_DOCS} WHERE contains(text, '{{{{Infobox')),
+r AS (SELECT doc_id, {_clean("v[list_position(k, 'name')]")} AS subject, unnest(k) AS attribute, {_clean('unnest(v)')} AS value FROM d)
+SELECT DISTINCT doc_id, subject, attribute, value FROM r WHERE attribute <> 'name' AND length(value) BETWEEN 1 AND {X.MOST_LENGTH} AND length(subject) > 0""")
+def infobox_facts(spark, d):
+    return X.infobox_triples(load(spark, d, "documents").select("doc_id", "text").distinct())
+
+
+def _statement_sql() -> str:
+    parts = []
+    for relation, words in X.STATEMENTS.items():
+        pattern = f"({X.NAME}){'' if words.startswith(',') else ' '}{words} ({X.NAME if relation != 'known_for' else '[a-z-]+ [a-z-]+'})"
+        parts.append(f"SELECT chunk_id, unnest(regexp_extract_all(text, '{pattern}', 1)) AS subject, '{relation}' AS relation, unnest(regexp_extract_all(text, '{pattern}', 2)) AS object FROM c")
+    return f"WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks) SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_statement_sql())
+def extracted_statements(spark, d):
+    return X.statements(load(spark, d, "chunks").select("chunk_id", "text").distinct(), "chunk_id", "text")
+
+
+@query(r"""WITH r AS (SELECT DISTINCT response_id, text FROM reader_responses WHERE text IS NOT NULL), p AS (SELECT response_id, regexp_extract(text, '"answer": *"([^"]*)"', 1) AS j, regexp_extract(text, '\*\*Answer: ([^*]+)\*\*', 1) AS m,
+regexp_replace(regexp_extract(regexp_replace(text, '[ \r\n]+$', ''), '([^\r\n]*)$', 1), '\.$', '') AS l FROM r) SELECT response_id, CASE WHEN j <> '' THEN j WHEN m <> '' THEN m ELSE l END AS answer FROM p""")
+def structured_answers(spark, d):
+    r = load(spark, d, "reader_responses").where("text IS NOT NULL").select("response_id", "text").distinct()
+    return r.select("response_id", X.structured_answer(F.col("text")).alias("answer"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT {_key('subject')} AS subject, {_key('predicate')} AS predicate, {_key('object')} AS value FROM raw_triples)
+SELECT subject, predicate, count(*) AS n_values, min(value) AS first_value FROM t WHERE subject <> '' AND value <> '' GROUP BY ALL""")
+def attribute_values(spark, d):
+    return X.multi_values(load(spark, d, "raw_triples"))
+
+
+@query(f"""WITH m AS (SELECT DISTINCT chunk_id, {_key('name')} AS entity FROM (SELECT chunk_id, unnest(entities) AS name FROM openie_results)), p AS (SELECT DISTINCT chunk_id, doc_id FROM chunks),
+j AS (SELECT doc_id, entity, count(*) AS m FROM m JOIN p USING (chunk_id) WHERE entity <> '' GROUP BY ALL) SELECT doc_id, count(*) AS n_members, sum(m)::BIGINT AS n_mentions FROM j GROUP BY doc_id HAVING count(*) >= 2""")
+def document_anchors(spark, d):
+    return X.document_anchors(load(spark, d, "openie_results"), load(spark, d, "chunks"))
+
+
+@query(f"""WITH a AS (SELECT qid, answer_id, {_norm('pred')} AS answer FROM ({ONCE})), c AS (SELECT *, CASE WHEN lag(answer) OVER w IS NOT DISTINCT FROM answer AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM a WINDOW w AS (PARTITION BY qid ORDER BY answer_id)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY qid ORDER BY answer_id) AS run FROM c) SELECT qid, answer, min(answer_id) AS first, count(*) AS length FROM r GROUP BY qid, answer, run""")
+def answer_runs(spark, d):
+    a = _answers(spark, d).select("qid", "answer_id", T.normalize_answer(F.col("pred")).alias("answer"))
+    return R.repeats(a, "qid", "answer_id", "answer")
+
+
+_WEIGHT = " + ".join(f"(u >= {c})::INT" for c in M.POISSON)
+
+
+@query(f"""WITH e AS (SELECT decision, f1, ('0x' || substr(md5(answer_id || ':' || draw), 1, 8))::BIGINT / 4294967296.0 AS u, draw FROM ({ONCE}), (SELECT unnest(range(1, 51)) AS draw) WHERE f1 IS NOT NULL),
+m AS (SELECT decision, draw, sum(({_WEIGHT}) * f1) / sum({_WEIGHT}) AS m FROM e GROUP BY ALL), o AS (SELECT decision, list_sort(list(m)) AS ms FROM m GROUP BY decision), t AS (SELECT decision, avg(f1) AS mean FROM ({ONCE}) GROUP BY decision)
+SELECT decision, round(mean, 6) AS mean, round(ms[2], 6) AS low, round(ms[49], 6) AS high FROM o JOIN t USING (decision)""")
+def bootstrap_intervals(spark, d):
+    return M.bootstrap(_answers(spark, d), "decision", "answer_id", "f1")
+
+
+@query(f"""WITH r AS (SELECT DISTINCT response_id, qid, text FROM reader_responses WHERE text IS NOT NULL), a AS (SELECT DISTINCT qid, gold FROM ({ONCE}) WHERE {_norm('gold')} <> ''),
+j AS (SELECT response_id, len(list_intersect(list_distinct({_tokens('gold')}), list_distinct({_tokens('text')}))) / len(list_distinct({_tokens('gold')})) AS share FROM r JOIN a USING (qid))
+SELECT response_id, round(max(share), 6) AS grounding FROM j GROUP BY response_id""")
+def response_grounding(spark, d):
+    """How much of a labelled answer stands in a response to its question, the best over the question's labels."""
+    r = load(spark, d, "reader_responses").where("text IS NOT NULL").select("response_id", "qid", "text").distinct().select("response_id", "qid", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
+    a = _answers(spark, d).where(T.normalize_answer(F.col("gold")) != "").select("qid", F.array_distinct(T.tokens(F.col("gold"))).alias("g")).distinct()
+    share = F.size(F.array_intersect("g", "t")) / F.size("g")
+    return r.join(a, "qid").groupBy("response_id").agg(F.round(F.max(share), 6).alias("grounding"))
+
+
+@query(f"SELECT {_key('predicate')} AS attribute, replace({_key('predicate')}, ' ', '_') AS slug, count(DISTINCT triple_id) AS n FROM raw_triples GROUP BY 1, 2")
+def attribute_slugs(spark, d):
+    t = load(spark, d, "raw_triples").select("triple_id", T.lookup_key(F.col("predicate")).alias("attribute")).distinct()
+    return t.groupBy("attribute").agg(F.count(F.lit(1)).alias("n")).select("attribute", F.replace("attribute", F.lit(" "), F.lit("_")).alias("slug"), "n")
+
+
 # ingestion and index
 
 
