@@ -64,3 +64,10 @@ def document_anchors(entities: DataFrame, chunks: DataFrame) -> DataFrame:
     mentions = entities.select("chunk_id", F.explode("entities").alias("name")).select("chunk_id", lookup_key(F.col("name")).alias("entity")).where("entity <> ''").distinct()
     places = chunks.select("chunk_id", "doc_id").distinct()
     return mentions.join(places, "chunk_id").groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("m")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_members"), F.sum("m").alias("n_mentions")).where("n_members >= 2")
+
+
+def cited_passages(responses: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, passage, position``: the numbers of the list ``passages`` in a JSON response, in their order; texts without one give none."""
+    listed = F.regexp_extract(F.col(text), r'"passages": *\[([0-9, ]*)\]', 1)
+    numbers = F.filter(F.split(F.regexp_replace(listed, " ", ""), ","), lambda x: x != "")
+    return responses.select(key, F.posexplode(numbers).alias("position", "p")).select(key, F.col("p").cast("bigint").alias("passage"), "position").distinct()

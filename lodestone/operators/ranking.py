@@ -38,3 +38,10 @@ def repeats(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     change = F.when(F.lag(value).over(along).eqNullSafe(F.col(value)), 0).otherwise(1)
     runs = df.withColumn("__c", change).withColumn("__run", F.sum("__c").over(along))
     return runs.groupBy(by, value, "__run").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("length")).drop("__run")
+
+
+def boost(ranked: DataFrame, supported: DataFrame, on: list[str], score: str, bonus: float, by: str, tie: str) -> DataFrame:
+    """``ranked`` with ``bonus`` added to the score of rows that ``supported`` names, and their new rank."""
+    named = supported.select(*on).distinct().withColumn("__hit", F.lit(1))
+    scored = ranked.join(named, on, "left").withColumn(score, F.col(score) + bonus * F.coalesce("__hit", F.lit(0))).drop("__hit")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round(score, 5)), tie)))

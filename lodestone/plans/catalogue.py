@@ -436,6 +436,26 @@ def attribute_slugs(spark, d):
     return t.groupBy("attribute").agg(F.count(F.lit(1)).alias("n")).select("attribute", F.replace("attribute", F.lit(" "), F.lit("_")).alias("slug"), "n")
 
 
+@query(f"""WITH b AS ({ORACLES['bm25_top_k']}), l AS ({ORACLES['entity_links']}), m AS (SELECT DISTINCT {_key('name')} AS entity, chunk_id FROM (SELECT chunk_id, unnest(entities) AS name FROM openie_results)), p AS (SELECT DISTINCT chunk_id, doc_id FROM chunks),
+s AS (SELECT DISTINCT query_id, doc FROM b JOIN l ON answer_id = query_id JOIN m USING (entity) JOIN p USING (chunk_id) WHERE doc_id = doc), r AS (SELECT query_id, doc, b.score + CASE WHEN s.doc IS NULL THEN 0 ELSE 2.0 END AS score FROM b LEFT JOIN s USING (query_id, doc))
+SELECT query_id, doc, round(score + 1e-7, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc) AS rank FROM r""")
+def boosted_rerank(spark, d):
+    """BM25 candidates whose document mentions an entity of the question move up. Only the candidates' documents are looked up."""
+    ranked = bm25_top_k(spark, d)
+    mentions = load(spark, d, "openie_results").select("chunk_id", F.explode("entities").alias("name")).select("chunk_id", T.lookup_key(F.col("name")).alias("entity")).distinct()
+    places = load(spark, d, "chunks").select("chunk_id", F.col("doc_id").alias("doc")).distinct()
+    of_candidates = ranked.select("query_id", "doc").join(places, "doc").join(mentions, "chunk_id").select("query_id", "doc", "entity").distinct()
+    links = entity_links(spark, d).select(F.col("answer_id").alias("query_id"), "entity")
+    found = R.boost(ranked, of_candidates.join(links, ["query_id", "entity"]), ["query_id", "doc"], "score", 2.0, "query_id", "doc")
+    return found.select("query_id", "doc", F.round(F.col("score") + 1e-7, 4).alias("score"), "rank")
+
+
+@query(r"""WITH r AS (SELECT DISTINCT response_id, string_split(replace(regexp_extract(text, '"passages": *\[([0-9, ]*)\]', 1), ' ', ''), ',') AS p FROM reader_responses WHERE text IS NOT NULL),
+e AS (SELECT response_id, list_filter(p, lambda x: x <> '') AS p FROM r) SELECT DISTINCT response_id, unnest(p)::BIGINT AS passage, (generate_subscripts(p, 1) - 1)::INT AS position FROM e""")
+def cited_passages(spark, d):
+    return X.cited_passages(load(spark, d, "reader_responses").where("text IS NOT NULL"), "response_id", "text")
+
+
 # ingestion and index
 
 
