@@ -107,12 +107,13 @@ def collect_names(*columns: Column | DataFrame) -> DataFrame:
     return every.where(F.col("name").rlike(r"\p{L}") & ~F.col("name").rlike(r"\p{N}")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def respell(words: DataFrame) -> DataFrame:
-    """``w, usual``: the usual form of misspelt tokens. ``words`` has ``w, spellings, n, partners`` of every token."""
+def respell(words: DataFrame, partners: DataFrame) -> DataFrame:
+    """``w, usual``: the usual form of misspelt tokens. ``words`` has ``w, spellings, n`` of every token, ``partners``
+    the distinct pairs ``w, p`` of tokens that stand in one name."""
     long = words.where((F.length("w") >= MISSPELT) & ~F.col("w").isin(TITLES + EMPTY))
     by_suffix = long.where(F.length("w") > SUFFIX).select("w", F.concat(F.lit("s"), F.substring("w", -SUFFIX, SUFFIX)).alias("key"))
     by_both = long.select("w", F.concat(F.lit("b"), F.substring("w", -2, 2), F.lit("|"), F.substring("w", 1, 1)).alias("key"))
-    partner = long.select("w", F.explode("partners").alias("p")).select("w", F.concat(F.lit("p"), F.col("p"), F.lit("|"), F.substring("w", 1, 1)).alias("key"))
+    partner = partners.where((F.length("w") >= MISSPELT) & ~F.col("w").isin(TITLES + EMPTY)).select("w", F.concat(F.lit("p"), F.col("p"), F.lit("|"), F.substring("w", 1, 1)).alias("key"))
     keys = by_suffix.unionByName(by_both).unionByName(partner)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     sized = keys.join(sizes, "key")
@@ -155,8 +156,8 @@ def entities(names: DataFrame) -> DataFrame:
     sets = tokens.where(F.length("w") >= 3).groupBy("name").agg(F.collect_set("w").alias("ws"), F.max("n").alias("n"))
     spread = sets.select("n", F.explode("ws").alias("w"), "ws")
     words = spread.groupBy("w").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
-    pairs = spread.select("w", F.explode("ws").alias("p")).where("w <> p").distinct().groupBy("w").agg(F.collect_set("p").alias("partners"))
-    usual = respell(words.join(pairs, "w", "left").withColumn("partners", F.coalesce("partners", F.array().cast("array<string>"))))
+    pairs = spread.select("w", F.explode("ws").alias("p")).where("w <> p").distinct()
+    usual = respell(words, pairs)
     spelt = keep(tokens.join(usual, "w", "left").select("name", "n", "pos", F.coalesce("usual", "w").alias("w"), "dot").where(~F.col("w").isin(TITLES + EMPTY)))
 
     # full forms: what the unabbreviated names with a token also contain
@@ -170,7 +171,8 @@ def entities(names: DataFrame) -> DataFrame:
         short.select("name", "pos", F.col("w").alias("short")).join(cores, "name").join(beside.withColumnRenamed("w", "long"), "core")
         .join(F.broadcast(several.select("nick", F.col("long").alias("given"))), (F.col("short") == F.col("nick")) & (F.col("long") == F.col("given")), "left")
         .where((F.col("long").startswith(F.col("short")) & (F.length("long") > F.length("short") + 1) & ~F.col("long").isin([n for n, f in _nicknames().items() if len(f) > 1])) | F.col("nick").isNotNull())
-        .groupBy("name", "pos", "core").agg(F.collect_set("long").alias("longs")).groupBy("name", "pos").agg(F.min_by("longs", F.size("longs")).alias("longs"))
+        .groupBy("name", "pos", "core").agg(F.count_distinct("long").alias("k"), F.min("long").alias("long"))
+        .groupBy("name", "pos").agg(F.min(F.struct("k", "long")).alias("o")).select("name", "pos", F.when(F.col("o.k") == 1, F.array("o.long")).alias("longs"))
     )
     out = spelt.join(options, ["name", "pos"], "left").groupBy("name").agg(
         F.array_sort(F.collect_list(F.struct("pos", "w", "dot", "longs"))).alias("ts"), F.max("n").alias("n")
@@ -194,13 +196,13 @@ def entities(names: DataFrame) -> DataFrame:
 
     # one token alone belongs to the only entity of two tokens that has it; letters in a row to the words they begin
     forms = keyed.where((F.size("bag") >= 2) & (F.aggregate("bag", F.lit(True), lambda s, w: s & (F.length(w) >= 3)))).groupBy("bag").agg(F.count(F.lit(1)).alias("k"))
-    single = forms.where(F.size("bag") == 2).select(F.explode("bag").alias("w"), "bag").groupBy("w").agg(F.collect_set("bag").alias("bags")).where(F.size("bags") == 1)
-    rows = keyed.join(single.select(F.col("w").alias("alone"), F.try_element_at("bags", F.lit(1)).alias("only")), (F.size("bag") == 1) & (F.try_element_at("bag", F.lit(1)) == F.col("alone")), "left")
+    single = forms.where(F.size("bag") == 2).select(F.explode("bag").alias("w"), "bag").groupBy("w").agg(F.count(F.lit(1)).alias("of"), F.min("bag").alias("only")).where("of = 1")
+    rows = keyed.join(single.select(F.col("w").alias("alone"), "only"), (F.size("bag") == 1) & (F.try_element_at("bag", F.lit(1)) == F.col("alone")), "left")
     initials = lambda b: F.array_join(F.array_sort(F.transform(b, lambda w: F.substring(w, 1, 1))), "")
-    acronyms = forms.where(F.size("bag") >= 3).select(F.explode("bag").alias("c"), "bag").select("c", initials(F.array_remove("bag", F.col("c"))).alias("acr"), "bag").groupBy("c", "acr").agg(F.collect_set("bag").alias("abags")).where(F.size("abags") == 1)
+    acronyms = forms.where(F.size("bag") >= 3).select(F.explode("bag").alias("c"), "bag").select("c", initials(F.array_remove("bag", F.col("c"))).alias("acr"), "bag").groupBy("c", "acr").agg(F.count(F.lit(1)).alias("of"), F.min("bag").alias("meant")).where("of = 1").drop("of")
     written = F.array_join(F.array_sort(F.filter(F.split("letters", ""), lambda c: (c != "") & (c != "o"))), "")
     rows = rows.join(acronyms, (F.length("letters") >= 3) & (F.col("core") == F.col("c")) & (written == F.col("acr")), "left")
-    final = F.coalesce(F.try_element_at("abags", F.lit(1)), F.col("only"), F.col("bag"))
+    final = F.coalesce("meant", "only", "bag")
     return rows.select("name", F.array_join(final, " ").alias("entity"))
 
 
