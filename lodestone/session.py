@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, unless they start where it can be imported."""
+    sc, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = root in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))
+    if sc.applicationId in _SHIPPED or (found and sc.master.startswith("local")):
+        return
+    _SHIPPED.add(sc.applicationId)
+    archive = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone")
+    sc.addPyFile(shutil.make_archive(archive, "zip", root, "lodestone"))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder (a file or a folder of part files)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
