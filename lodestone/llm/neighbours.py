@@ -3,9 +3,10 @@
 The index is fitted on a bounded sample: its neighbour graph is cut into balanced parts (recursive halving along the
 graph's second eigenvector, with a size constraint), and a small softmax classifier learns each vector's part from the
 parts of its neighbours. Every vector of the collection is stored in its most probable part and looks for neighbours in
-its several most probable parts; candidates are reranked by exact cosine. Equal vectors are one class, looked up once.
-A part with more rows than a block holds is split into blocks that every query of the part visits, so no part is too
-large for a task and none is cut short.
+its several most probable parts, more of them where there are more parts; candidates are reranked by exact cosine in
+double precision. Equal vectors are one class, looked up once. Parts that split late lie in one group, and a vector
+travels once to each group of its parts. A group with more rows than a block holds is split into blocks that every query
+of the group visits, so none is too large for a task and none is cut short.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lodestone.session import cut as keep
 
@@ -24,35 +25,49 @@ SAMPLE = 16_384
 GRAPH_K = 10
 #: Rows that a part should have, and parts at most (the sample has SAMPLE / MOST_PARTS vectors of each).
 PART_ROWS, MOST_PARTS = 1024, 512
-#: Rows of a block within a part.
-BLOCK = 8192
+#: Parts of a group, and rows of a block within a group.
+GROUP_PARTS, BLOCK = 16, 32_768
+#: Candidates are taken this far below the least cosine, as they are found in single precision.
+MARGIN = 1e-3
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-5
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """``__id, __cls, __v`` (unit length, 32-bit, packed) of vectors of the right length without null, NaN or infinite
+    """``__id, __cls, __v`` (packed in their own precision) of vectors of the right length without null, NaN or infinite
     values, not all zero. Equal vectors have one class, a 64-bit hash of their bytes (two different vectors among a
     billion share one with a probability of 3 %, among a hundred million of 0.03 %)."""
     v = F.col(vector)
+    own_type = np.float32 if vectors.schema[vector].dataType.elementType == T.FloatType() else np.float64
     sound = v.isNotNull() & (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                packed = pa.array([r.tobytes() for r in _matrix(batch.column(1), dims)], pa.binary())
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(own_type).reshape(batch.num_rows, dims) + own_type(0)
+                packed = pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["__id", "__v"])
 
     own = vectors.where(sound & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("__id"), v.alias("__v"))
     return own.mapInArrow(pack, "__id bigint, __v binary").select("__id", F.xxhash64("__v").alias("__cls"), "__v")
 
 
+def _units(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    """Unit vectors of a column of packed vectors, one per row, in double precision."""
+    packed = b"".join(column.to_pylist())
+    x = np.frombuffer(packed, dtype=np.float32 if len(packed) == 4 * dims * len(column) else np.float64).reshape(len(column), dims).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=0)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
-    """Unit vectors of a binary or list column, one per row."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(len(column), dims)
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    """Unit vectors in single precision."""
+    return _units(column, dims).astype(np.float32)
+
+
+def probed(probes: int, parts: int) -> int:
+    """The parts to visit of ``parts``: ``probes`` of 16 or fewer, and more by the square root of their number, as the
+    same share of the true neighbours lies in more parts when these are smaller."""
+    return min(parts, int(np.ceil(probes * max(1.0, parts / 16) ** 0.5)))
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -141,54 +156,72 @@ def fit(vectors: DataFrame, dims: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def route(vectors: DataFrame, model: tuple[np.ndarray, np.ndarray], dims: int, probes: int) -> DataFrame:
-    """``__cls, __v binary, part, rank``: the ``probes`` most probable parts of every vector, the best with rank 0."""
+    """``__cls, __v, grp, home, mask`` of ``vectors`` (``__cls, __v, asked``): one row per vector and group of parts that
+    it is stored in or asks. ``home`` is its own part within the group, -1 in other groups; the bits of ``mask`` are the
+    parts of the group that it asks, of its ``probes`` most probable ones."""
     held = vectors.sparkSession.sparkContext.broadcast(model)
     probes = min(probes, model[0].shape[1])
+    groups = group_count(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("__v"), dims)
-            z = x @ w + b
+            z = _matrix(batch.column("__v"), dims) @ w + b
+            n, best = np.arange(len(z)), z.argmax(axis=1)
             top = np.argpartition(-z, probes - 1, axis=1)[:, :probes] if probes < z.shape[1] else np.tile(np.arange(z.shape[1]), (len(z), 1))
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, axis=1), axis=1), axis=1)
-            packed = pa.array([r.tobytes() for r in x], pa.binary())
-            for r in range(probes):
-                yield pa.RecordBatch.from_arrays([batch.column("__cls"), packed, pa.array(top[:, r].astype(np.int32)), pa.array(np.full(len(x), r, dtype=np.int32))], names=["__cls", "__v", "part", "rank"])
+            mask = np.zeros((len(z), groups), dtype=np.int32)
+            np.add.at(mask, (n[:, None], top % groups), 1 << (top // groups).astype(np.int32))  # the low bits of a part are its first splits
+            mask[~batch.column("asked").to_numpy(zero_copy_only=False).astype(bool)] = 0
+            home = np.full((len(z), groups), -1, dtype=np.int32)
+            home[n, best % groups] = best // groups
+            i, g = np.nonzero((mask > 0) | (home >= 0))
+            yield pa.RecordBatch.from_arrays([batch.column("__cls").take(pa.array(i)), batch.column("__v").take(pa.array(i)), pa.array(g.astype(np.int32)), pa.array(home[i, g]), pa.array(mask[i, g])], names=["__cls", "__v", "grp", "home", "mask"])
+
+    return vectors.select("__cls", "__v", "asked").mapInArrow(run, "__cls bigint, __v binary, grp int, home int, mask int")
+
+
+def group_count(model: tuple[np.ndarray, np.ndarray]) -> int:
+    return max(1, model[0].shape[1] // GROUP_PARTS)
+
 
-    return vectors.select("__cls", "__v").mapInArrow(run, "__cls bigint, __v binary, part int, rank int")
+def _best(a: np.ndarray, b: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k pairs of each ``a`` with the highest ``v``."""
+    if not len(a):
+        return a, b, v
+    order = np.lexsort((b, -v, a))
+    a, b, v = a[order], b[order], v[order]
+    first = np.r_[0, np.flatnonzero(np.diff(a)) + 1]
+    keep_ = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < k
+    return a[keep_], b[keep_], v[keep_]
 
 
 def _search(k: int, least: float, dims: int):
-    def run(key, q: pa.Table, d: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if q.num_rows and d.num_rows:
-            ids, own = d.column("__cls").to_numpy(), q.column("__cls").to_numpy()
-            x, y = _matrix(q.column("__v"), dims), _matrix(d.column("__v"), dims)
-            for a in range(0, len(x), 1024):
-                s = x[a : a + 1024] @ y.T
-                s[own[a : a + 1024, None] == ids[None, :]] = -2
+    def run(t: pa.Table) -> pa.Table:
+        ids, home, mask = (t.column(c).to_numpy() for c in ("__cls", "home", "mask"))
+        exact = _units(t.column("__v"), dims)
+        x = exact.astype(np.float32)
+        found = [(np.array([], np.int64), np.array([], np.int64), np.array([]))]
+        for part in np.unique(home[home >= 0]):
+            data, asks = np.flatnonzero(home == part), np.flatnonzero(mask >> part & 1)
+            for a in range(0, len(asks), 1024):
+                q = asks[a : a + 1024]
+                s = x[q] @ x[data].T
+                s[ids[q][:, None] == ids[data][None, :]] = -2
                 if least > -1:
-                    i, j = np.nonzero(s >= least)
+                    i, j = np.nonzero(s >= least - MARGIN)
                 else:
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
+                    top = np.argpartition(-s, 2 * k - 1, axis=1)[:, : 2 * k] if s.shape[1] > 2 * k else np.tile(np.arange(s.shape[1]), (len(s), 1))
                     i, j = np.repeat(np.arange(len(s)), top.shape[1]), top.ravel()
                     ok = s[i, j] > -1.5
                     i, j = i[ok], j[ok]
-                v = s[i, j]
-                if least > -1 and len(v):  # keep the k best of each query
-                    order = np.lexsort((-v, i))
-                    i, j, v = i[order], j[order], v[order]
-                    first = np.r_[0, np.flatnonzero(np.diff(i)) + 1]
-                    rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-                    i, j, v = i[rank < k], j[rank < k], v[rank < k]
-                out[0].append(own[a + i])
-                out[1].append(ids[j])
-                out[2].append(v.astype(np.float64))
-        cat = [np.concatenate(o) if o else np.array([], dtype=t) for o, t in zip(out, (np.int64, np.int64, np.float64))]
-        return pa.table({"a": pa.array(cat[0], pa.int64()), "b": pa.array(cat[1], pa.int64()), "s": pa.array(cat[2], pa.float64())})
+                i, j, _ = _best(i, j, s[i, j], 2 * k)
+                v = np.einsum("ij,ij->i", exact[q[i]], exact[data[j]])
+                ok = v >= least if least > -1 else np.full(len(v), True)
+                found.append((ids[q[i[ok]]], ids[data[j[ok]]], v[ok]))
+        out = _best(*(np.concatenate(c) for c in zip(*found)), k)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "s": pa.array(out[2], pa.float64())})
 
     return run
 
@@ -207,29 +240,33 @@ def similar(
     member = keep(sound.groupBy("__cls").agg(F.min("__v").alias("__v")))
     n = member.count()
     model = fit(member, dims, max(n, 1))
-    asked = member
+    asked = member.withColumn("asked", F.lit(True))
     if queries is not None:
-        asked = member.join(ids.withColumnRenamed("__id", key).where(queries).select("__cls").distinct(), "__cls", "left_semi")
-    # a stored row goes to one part and, within it, to one block; a query visits all blocks of its parts, and the
-    # queries of a crowded part are dealt over as many lanes
-    stored = route(member, model, dims, 1).select("__cls", "__v", "part")
-    crowded = stored.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).collect()  # MOST_PARTS rows at most
-    blocks = F.element_at(F.array(*[F.lit(b) for b in _by_part(crowded, model[0].shape[1])]), F.col("part") + 1)
-    hashed = lambda salt: F.pmod(F.xxhash64("__cls", F.lit(salt)), blocks).cast("int")
-    every = lambda: F.explode(F.sequence(F.lit(0), blocks - 1))
-    asking = route(asked, model, dims, probes).select("__cls", "__v", "part", every().alias("block"), hashed(3).alias("lane"))
-    data = stored.select("__cls", "__v", "part", every().alias("lane"), hashed(5).alias("block"))
-    at = ["part", "block", "lane"]
-    found = asking.groupBy(*at).cogroup(data.groupBy(*at)).applyInArrow(_search(k, least, dims), "a bigint, b bigint, s double")
+        wanted = ids.withColumnRenamed("__id", key).where(queries).select("__cls").distinct().withColumn("asked", F.lit(True))
+        asked = member.join(wanted, "__cls", "left").withColumn("asked", F.col("asked").isNotNull())
+    # a row is stored in one block of a group and visits all blocks; the queries of a crowded group are dealt over as
+    # many lanes, each with all of the data
+    rows = route(asked, model, dims, probed(probes, model[0].shape[1]))
+    stored = route(member.withColumn("asked", F.lit(False)), model, dims, 1)
+    crowded = stored.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).collect()  # MOST_PARTS / GROUP_PARTS rows at most
+    blocks = F.element_at(F.array(*[F.lit(b) for b in _by_group(crowded, group_count(model))]), F.col("grp") + 1)
+    own = {c: F.pmod(F.xxhash64("__cls", F.lit(salt)), blocks).cast("int") for c, salt in (("block", 5), ("lane", 3))}
+    cells = F.transform(F.sequence(F.lit(0), blocks * blocks - 1), lambda c: F.struct(F.floor(c / blocks).cast("int").alias("block"), (c % blocks).cast("int").alias("lane")))
+    placed = rows.withColumns({"own_block": own["block"], "own_lane": own["lane"], "cell": F.explode(cells)}).select(
+        "__cls", "__v", "grp", "cell.block", "cell.lane",
+        F.when(F.col("cell.block") == F.col("own_block"), F.col("home")).otherwise(-1).alias("home"),
+        F.when(F.col("cell.lane") == F.col("own_lane"), F.col("mask")).otherwise(0).alias("mask"),
+    ).where("home >= 0 OR mask > 0")
+    found = placed.groupBy("grp", "block", "lane").applyInArrow(_search(k, least, dims), "a bigint, b bigint, s double")
     # two classes may meet only once, as a stored row is in one part; k classes are as good as all
     best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
     top = keep(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", "s"))
     return _expand(ids, top, key, k, queries)
 
 
-def _by_part(counted: list, parts: int) -> list[int]:
-    found = {r.part: r.blocks for r in counted}
-    return [found.get(p, 1) for p in range(parts)]
+def _by_group(counted: list, groups: int) -> list[int]:
+    found = {r.grp: r.blocks for r in counted}
+    return [found.get(g, 1) for g in range(groups)]
 
 
 def _expand(ids: DataFrame, top: DataFrame, key: str, k: int, queries: Column | None) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestone.llm import mixing, names, neighbours, qa_pairs, quantiles, sentences, tokens, truncation
 from lodestone.session import load
 
-#: Parts that a vector visits: few find what is very similar, many what is similar at all.
-P1_PROBES, P1_WIDE_PROBES = 3, 64
+#: Parts that a vector visits of 16 (see ``neighbours.probed``): few find what is very similar, many what is similar at all.
+P1_PROBES, P1_WIDE_PROBES = 4, 64
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -116,6 +116,47 @@ def test_neighbours_of_all_vectors(spark):
     assert neighbours.similar(df.where("vec_id = 1000"), "vec_id", "embedding", 16).count() == 0
 
 
+def test_least_cosine_is_tested_in_double_precision(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2, 64)).astype(np.float32)
+    x[:, 1] = x[:, 0] + 0.6 * x[:, 1]
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=2, keepdims=True)
+    exact = np.einsum("ij,ij->i", unit[:, 0], unit[:, 1])
+    single = np.einsum("ij,ij->i", unit[:, 0].astype(np.float32), unit[:, 1].astype(np.float32))
+    for i in np.argsort(single - exact)[:2]:  # single precision is below the exact cosine
+        least = float(exact[i] - 1e-12)
+        df = spark.createDataFrame([(n, [float(c) for c in x[i, n]]) for n in (0, 1)], "vec_id bigint, embedding array<float>")
+        got = neighbours.similar(df, "vec_id", "embedding", 64, least=least, probes=queries.P1_PROBES).collect()
+        assert sorted((r.id, r.neighbour) for r in got) == [(0, 1), (1, 0)] and got[0].similarity == pytest.approx(exact[i], abs=1e-12)
+
+
+def test_recall_holds_with_more_parts():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(1000, 32))
+    x = (np.repeat(centres, 8, axis=0) + 0.25 * rng.normal(size=(8000, 32))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = neighbours.neighbour_graph(x, 10)
+    true = ((x[:, None, :] * x[graph]).sum(axis=2) >= 0.85).ravel()
+    recall = {}
+    for parts in (16, 64, 128):
+        w, b = neighbours.train(x, graph, neighbours.balanced_parts(x, graph, parts), parts)
+        order = np.argsort(-(x @ w + b), axis=1)
+        at = np.take_along_axis(np.argsort(order, axis=1), order[graph, 0], axis=1).ravel()
+        recall[parts] = (at < neighbours.probed(queries.P1_PROBES, parts))[true].mean()
+    assert recall[16] > 0.97 and min(recall[64], recall[128]) >= recall[16]
+
+
+def test_crowded_groups_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 16))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK", 150)
+    got = {(r.id, r["rank"]): r.neighbour for r in neighbours.similar(df, "vec_id", "embedding", 16, k=5, queries=F.col("vec_id") % 10 == 0).collect()}
+    s = (u := x / np.linalg.norm(x, axis=1, keepdims=True)) @ u.T
+    np.fill_diagonal(s, -2)
+    assert got == {(i, r + 1): n for i in range(0, 500, 10) for r, n in enumerate(np.argsort(-s[i])[:5])}
+
+
 def test_learned_parts_are_balanced_and_found():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
