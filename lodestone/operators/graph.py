@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.functions.text import lookup_key
 from lodestone.session import cut
@@ -44,6 +44,48 @@ def traversal_hash(e: DataFrame) -> DataFrame:
     return ids.select("chunk", F.size("ids").alias("n_edges"), F.sha1(F.array_join(F.transform("ids", lambda i: F.concat(i, F.lit("\n"))), "")).alias("traversal"))
 
 
+def walk_edges(triples: DataFrame) -> DataFrame:
+    """``lo, hi, edge, confidence``: undirected edges of the whole graph, loops included, once per predicate and pair of
+    ends. Of equal edges the first triple counts; its confidence is clamped to [0, 1], 0.7 where unknown."""
+    s, o = lookup_key(F.col("subject")), lookup_key(F.col("object"))
+    own = triples.where(F.col("predicate") != "").select("triple_id", F.least(s, o).alias("lo"), "predicate", F.greatest(s, o).alias("hi"), F.coalesce(F.nanvl("confidence", F.lit(0.7)), F.lit(0.7)).alias("c"))
+    first = own.where("lo <> '' AND hi <> ''").groupBy("lo", "predicate", "hi").agg(F.min(F.struct("triple_id", "c")).alias("first"))
+    return first.select("lo", "hi", F.concat_ws("|", "lo", "predicate", "hi").alias("edge"), F.greatest(F.least(F.col("first.c"), F.lit(1.0)), F.lit(0.0)).alias("confidence"))
+
+
+def anchor_paths(walk: DataFrame, anchors: DataFrame, depth: int = 2, k: int = 8) -> DataFrame:
+    """``anchor, rank, edges, path, finish, confidence``: the k best walks of 1 to ``depth`` edges from every anchor
+    (``anchor``) over the whole graph in both directions, no edge twice; ``path`` is the edge ids in order.
+
+    Walks rank by the product of confidences, then by path. A walk is no better than its own beginning, so the k best
+    after each hop hold all beginnings that count, and the k best unused edges of a node all continuations: both cuts are
+    exact. Nodes then have k + depth - 1 edges at most, dealt over salts against hubs that many walks reach.
+    """
+    ends = walk.select(F.col("lo").alias("node"), F.col("hi").alias("other"), "edge", "confidence").unionByName(walk.where("lo <> hi").select(F.col("hi").alias("node"), F.col("lo").alias("other"), "edge", "confidence"))
+    strongest = Window.partitionBy("node").orderBy(F.desc("confidence"), "edge")
+    near = ends.withColumn("r", F.row_number().over(strongest)).where(F.col("r") <= k + depth - 1).select("node", "other", "edge", F.col("confidence").alias("c"))
+    near = cut(near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    best = Window.partitionBy("anchor").orderBy(F.desc("confidence"), "path")
+    empty = F.array().cast("array<string>")
+    kept = anchors.select("anchor").distinct().select("anchor", empty.alias("edges"), F.lit("").alias("path"), F.col("anchor").alias("finish"), F.lit(1.0).alias("confidence"))
+    for hop in range(depth):
+        last = kept.where(F.size("edges") == hop).withColumn("salt", F.pmod(F.xxhash64("anchor", "path"), F.lit(SALTS)).cast("int"))
+        longer = last.join(near, (last.finish == near.node) & (last.salt == near.salt)).where(~F.array_contains("edges", F.col("edge"))).select(
+            "anchor", F.array_append("edges", F.col("edge")).alias("edges"), F.concat_ws("->", F.array_append("edges", F.col("edge"))).alias("path"),
+            F.col("other").alias("finish"), (F.col("confidence") * F.col("c")).alias("confidence"),
+        )
+        every = longer if hop == 0 else kept.unionByName(longer)
+        kept = cut(every.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"))
+    return kept.withColumn("rank", F.row_number().over(best))
+
+
+def path_hashes(paths: DataFrame, key: str) -> DataFrame:
+    """``key, n_edges, traversal``: SHA-1 of the sorted edge ids of the paths of a key, repeated ones too, each ended by a
+    NUL. A key has the k best paths, so its list is short."""
+    ids = paths.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("edges"))).alias("ids"))
+    return ids.select(key, F.size("ids").alias("n_edges"), F.sha1(F.array_join(F.transform("ids", lambda i: F.concat(i, F.lit("\0"))), "")).alias("traversal"))
+
+
 def pagerank(e: DataFrame, seeds: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
     """``node, score`` of personalised PageRank from ``seeds`` (``node``). Shares are summed before the shuffle; a hot
     node's outgoing edges are salted. Lineage is cut in the shared checkpoint folder each round."""

@@ -8,7 +8,7 @@ from lodestone.functions import text as T
 from lodestone.functions.vectors import cosine
 from lodestone.operators import arbitration as A, evidence as E, extract as X, graph as G, index as I, ingest as N, metrics as M, ranking as R, search as S
 from lodestone.plans import pipelines as P
-from lodestone.session import load
+from lodestone.session import cut, load
 from lodestone.sources.loaders import record_text
 from lodestone.streaming.upserts import stream_latest, windowed_counts
 
@@ -321,6 +321,25 @@ def traversal_hashes(spark, d):
     return G.traversal_hash(_edges(spark, d))
 
 
+def _question_anchors(spark, d, walk):
+    nodes = walk.select(F.col("lo").alias("entity")).union(walk.select("hi")).distinct()
+    return E.link_entities(_answers(spark, d), "answer_id", "question", nodes).select("answer_id", F.col("entity").alias("anchor"))
+
+
+@query()
+def anchor_paths(spark, d):
+    """The best walks from each anchor of each question, over the whole graph."""
+    walk = G.walk_edges(load(spark, d, "raw_triples"))
+    asked = cut(_question_anchors(spark, d, walk))
+    return asked.join(G.anchor_paths(walk, asked), "anchor").select("answer_id", "anchor", "rank", "path", F.size("edges").alias("hops"), F.round("confidence", 9).alias("confidence"))
+
+
+@query()
+def anchor_traversals(spark, d):
+    walk = G.walk_edges(load(spark, d, "raw_triples"))
+    return G.path_hashes(G.anchor_paths(walk, _question_anchors(spark, d, walk)), "anchor")
+
+
 @query()
 def personalised_pagerank(spark, d):
     e = _edges(spark, d)

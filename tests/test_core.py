@@ -1,5 +1,6 @@
 """Operators against brute force and by hand."""
 
+import hashlib
 import json
 import math
 import random
@@ -113,6 +114,42 @@ def test_pagerank_sums_to_one(spark):
     assert sum(rank.values()) == pytest.approx(1.0) and max(rank, key=rank.get) == "a"
 
 
+def test_anchor_paths_cross_chunks(spark):
+    rng = random.Random(2)
+    names, rows = [f"n{i}" for i in range(14)] + ["hub"] * 5, []
+    for i in range(120):
+        rows.append((i, rng.choice(names), rng.choice(["r", "s"]), rng.choice(names), f"c{i}", rng.choice([None, 0.0, 0.5, 0.9, 1.0, 1.7, float("nan")])))
+    rows += [(200, "", "r", "n1", "c", 1.0), (201, "n1", "", "n2", "c", 1.0), (202, None, "r", "n1", "c", 1.0)]
+    table, seen = {}, set()
+    for _, s, p, o, _, c in rows:
+        edge = f"{min(s or '', o)}|{p}|{max(s or '', o)}"
+        if s and p and edge not in seen:
+            seen.add(edge)
+            for node in {s, o}:
+                table.setdefault(node, []).append((edge, o if node == s else s, 0.7 if c is None or c != c else min(c, 1.0)))
+
+    def walks(node, edges, confidence, depth):
+        for edge, other, c in table.get(node, []) if depth else []:
+            if edge not in edges:
+                yield [*edges, edge], confidence * c
+                yield from walks(other, [*edges, edge], confidence * c, depth - 1)
+
+    t = spark.createDataFrame(rows, "triple_id int, subject string, predicate string, object string, source_chunk_id string, confidence double")
+    anchors = spark.createDataFrame([(n,) for n in [*sorted(set(names)), "nowhere"]], "anchor string")
+    for depth in (1, 2, 3):
+        paths = G.anchor_paths(G.walk_edges(t), anchors, depth, 8)
+        got, want = {}, {}
+        for r in paths.collect():
+            got[r.anchor, r["rank"]] = (r.path, round(r.confidence, 9))
+        for n in set(names):
+            for i, (edges, c) in enumerate(sorted(walks(n, [], 1.0, depth), key=lambda w: (-w[1], "->".join(w[0])))[:8], 1):
+                want[n, i] = ("->".join(edges), round(c, 9))
+        assert got == want
+    ids = sorted(e for (n, _), (path, _) in want.items() if n == "hub" for e in path.split("->"))
+    traversal = {r.anchor: r.traversal for r in G.path_hashes(paths, "anchor").collect()}
+    assert traversal["hub"] == hashlib.sha1("".join(i + "\0" for i in ids).encode()).hexdigest()
+
+
 def test_cosine_of_zero(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0])], "a array<double>, b array<double>").select(cosine(F.col("a"), F.col("b"))).first()
     assert row[0] is None
