@@ -150,6 +150,22 @@ def test_anchor_paths_cross_chunks(spark):
     assert traversal["hub"] == hashlib.sha1("".join(i + "\0" for i in ids).encode()).hexdigest()
 
 
+def test_pagerank_of_each_question(spark):
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randint(0, 12)}", f"n{rng.randint(0, 12)}") for _ in range(18)] + [("p", "q"), ("q", "p")]
+    e = spark.createDataFrame([(a, b) for a, b in pairs if a != b], "subject string, object string")
+    links = {(a, b) for x in pairs for a, b in (x, x[::-1]) if a != b}
+    nodes = sorted({a for a, _ in links})
+    seeds = {1: [nodes[0]], 2: [nodes[1], nodes[2]], 3: ["p"]}
+    got = {(r.query_id, r.node): r.score for r in G.pagerank(e, spark.createDataFrame([(q, n) for q, ns in seeds.items() for n in ns], "query_id int, node string"), key="query_id").collect()}
+    for q, ns in seeds.items():
+        score = dict.fromkeys(nodes, 0.0)
+        for _ in range(300):
+            score = {n: 0.15 * (n in ns) / len(ns) + 0.85 * sum(score[a] / sum(x == a for x, _ in links) for a, b in links if b == n) for n in nodes}
+        assert all(got.get((q, n), 0.0) == pytest.approx(score[n], abs=1e-7) for n in nodes)
+    assert (3, nodes[0]) not in got
+
+
 def test_cosine_of_zero(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0])], "a array<double>, b array<double>").select(cosine(F.col("a"), F.col("b"))).first()
     assert row[0] is None
