@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions.text import lookup_key
+from lodestone.session import cut
 
 #: Rows of a block of queries and of the collection; a task holds one of each.
-QUERY_BLOCK, DATA_BLOCK = 2048, 16384
+QUERY_BLOCK, DATA_BLOCK, DOC_BLOCK = 2048, 16384, 4096
 
 
 def exact_top_k(queries: DataFrame, data: DataFrame, k: int, dims: int, group: str | None = None) -> DataFrame:
@@ -62,20 +64,58 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return own.select("doc", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """``query_id, doc, score, rank`` of the k best documents by Okapi BM25.
 
-    ``queries`` and ``docs`` have ``id`` and ``text``. A term of half the documents or more has no weight, so its
-    postings need not be joined; partial scores are summed before they are shuffled by document.
+    ``queries`` and ``docs`` have ``id`` and ``text``. A term of more than half of the documents, whose weight would be
+    negative, has ``floor`` times the mean weight of all terms instead, so no term is dropped. Documents are dealt into
+    blocks that every block of queries meets: scores are summed where the documents lie, and a block sends its k best.
     """
     index = postings(docs, "id", "text")
-    stats = docs.where(F.length(lookup_key(F.col("text"))) > 0).select(F.size(F.split(lookup_key(F.col("text")), " ")).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
+    stats = docs.where(F.length(lookup_key(F.col("text"))) > 0).select(F.size(F.split(lookup_key(F.col("text")), " ")).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    n, mean = stats["n"], stats["mean"]
     weight = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", weight).where(F.col("idf") > 0)
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(F.filter(F.split(lookup_key(F.col("text")), " "), lambda t: t != ""))).alias("term"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scored = asked.join(terms, "term").join(index, "term").groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
+    terms = cut(index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", weight))
+    common = floor * (terms.agg(F.avg("idf")).first()[0] or 0.0)
+    words = F.filter(F.split(lookup_key(F.col("text")), " "), lambda t: t != "")
+    asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(words)).alias("term")).join(terms, "term").select("query_id", "term", F.when(F.col("idf") < 0, common).otherwise(F.col("idf")).alias("idf"))
+    held = docs.select(F.col("id").alias("doc"), words.alias("terms")).where(F.size("terms") > 0)
+    n_q, n_d = (int(np.ceil(c / size)) or 1 for c, size in ((queries.count(), QUERY_BLOCK), (n, DOC_BLOCK)))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+    held = held.withColumn("db", F.pmod(F.xxhash64("doc"), F.lit(n_d)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out_q, out_d, out_s = [], [], [np.array([])]
+        if left.num_rows and right.num_rows:
+            texts, asks = right.column("terms").combine_chunks(), left.column("term").combine_chunks()
+            vocabulary = pc.unique(asks)
+            sizes = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+            code = pc.fill_null(pc.index_in(texts.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            cell, tf = np.unique(code[code >= 0] * len(sizes) + row[code >= 0], return_counts=True)
+            code, row = cell // len(sizes), cell % len(sizes)
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / mean))
+            docs_of = pc.unique(right.column("doc").combine_chunks()).sort()
+            place = pc.index_in(right.column("doc").combine_chunks(), value_set=docs_of).to_numpy(zero_copy_only=False)[row]
+            start = np.searchsorted(code, np.arange(len(vocabulary) + 1))
+            term = pc.index_in(asks, value_set=vocabulary).to_numpy(zero_copy_only=False)
+            idf, mine = left.column("idf").to_numpy(), left.column("query_id").combine_chunks()
+            ids = pc.unique(mine)
+            of = pc.index_in(mine, value_set=ids).to_numpy(zero_copy_only=False)
+            order = np.argsort(of, kind="stable")
+            for q, own in enumerate(np.split(order, np.flatnonzero(np.diff(of[order])) + 1)):
+                spans = [slice(start[t], start[t + 1]) for t in term[own]]
+                at = np.concatenate([place[x] for x in spans])
+                score = np.bincount(at, np.concatenate([w * part[x] for w, x in zip(idf[own], spans)]), minlength=len(docs_of))
+                met = np.flatnonzero(np.bincount(at, minlength=len(docs_of)))
+                best = met[np.argsort(-np.round(score[met], 9), kind="stable")[:k]]
+                out_q += [ids[q]] * len(best)
+                out_d += [docs_of[int(x)] for x in best]
+                out_s.append(score[best])
+        return pa.table({"query_id": pa.array(out_q, left.schema.field("query_id").type), "doc": pa.array(out_d, right.schema.field("doc").type), "score": pa.array(np.concatenate(out_s), pa.float64())})
+
+    shape = f"query_id {queries.schema['id'].dataType.simpleString()}, doc {docs.schema['id'].dataType.simpleString()}, score double"
+    scored = asked.groupBy("qb", "db").cogroup(held.groupBy("qb", "db")).applyInArrow(run, shape)
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -87,6 +87,29 @@ def test_exact_search_is_exact(spark):
     assert S.exact_top_k(df.where("id < 0"), df, 5, 8).count() == 0
 
 
+def test_bm25_keeps_common_terms(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(["the"] * rng.randint(1, 4) + ["saint"] * (i % 3 > 0) + rng.choices("abbey bridge cloister dome elm fern".split(), k=rng.randint(0, 9))) for i in range(40)] + ["", None]
+    asked = {1: "the", 2: "The Saint", 3: "saint abbey of the dome", 4: "unknown"}
+    words = [t.split() for t in texts if t]
+    df = {t: sum(t in w for w in words) for w in words for t in w}
+    idf = {t: math.log((len(words) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    floor, mean = 0.25 * sum(idf.values()) / len(idf), sum(map(len, words)) / len(words)
+    want = {}
+    for q, text in asked.items():
+        score = {}
+        for d, w in enumerate(words):
+            for t in set(text.lower().split()) & set(w):
+                tf = w.count(t)
+                score[d] = score.get(d, 0) + (idf[t] if idf[t] >= 0 else floor) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))
+        for r, d in enumerate(sorted(score, key=lambda d: (-round(score[d], 9), d))[:5], 1):
+            want[q, r] = (d, round(score[d], 8))
+    monkeypatch.setattr(S, "DOC_BLOCK", 15)
+    docs, queries = (spark.createDataFrame(list(x), "id bigint, text string") for x in (enumerate(texts), asked.items()))
+    assert {(r.query_id, r["rank"]): (r.doc, round(r.score, 8)) for r in S.bm25(queries, docs, 5).collect()} == want
+    assert (1, 1) in want and S.bm25(queries, docs.where("id < 0"), 5).count() == 0
+
+
 def test_pit_ties(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3), ("b", 9)], "g string, v int")
     assert sorted((r.g, r.v, r.p) for r in R.pit(df, ["g"], "v", "p").collect()) == [("a", 1, pytest.approx(1 / 3)), ("a", 1, pytest.approx(1 / 3)), ("a", 3, pytest.approx(2.5 / 3)), ("b", 9, 0.5)]
