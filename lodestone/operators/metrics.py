@@ -46,17 +46,17 @@ def ranked_metrics(hits: DataFrame, by: str, k: int) -> DataFrame:
 POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582)
 
 
-def bootstrap(df: DataFrame, by: str, key: str, value: str, draws: int = 50, alpha: float = 0.05) -> DataFrame:
+def bootstrap(df: DataFrame, by: str, key: str, value: str, draws: int = 1000, alpha: float = 0.05) -> DataFrame:
     """``by, mean, low, high``: the interval of a mean from Poisson bootstrap draws, whose weights follow from a hash.
 
     Every row counts 0, 1, 2... times in a draw, independently of all others, so a draw is one aggregation with partial
-    sums and the rows never meet.
+    sums and the rows never meet. A draw without any row, as small groups have, has no mean and does not count.
     """
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
     each = df.where(F.col(value).isNotNull()).select(by, key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    means = each.withColumn("w", weight).groupBy(by, "draw").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    means = each.withColumn("w", weight).groupBy(by, "draw").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
     ordered = means.groupBy(by).agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    low, high = int(alpha / 2 * draws), int((1 - alpha / 2) * draws)
+    low, high = (F.least(F.floor(p * F.size("ms")), F.size("ms") - 1).cast("int") for p in (alpha / 2, 1 - alpha / 2))
     total = df.groupBy(by).agg(F.avg(value).alias("mean"))
-    return ordered.join(total, by).select(by, F.round("mean", 6).alias("mean"), F.round(F.col("ms")[low], 6).alias("low"), F.round(F.col("ms")[high], 6).alias("high"))
+    return ordered.join(total, by).select(by, F.round("mean", 6).alias("mean"), F.round(F.get("ms", low), 6).alias("low"), F.round(F.get("ms", high), 6).alias("high"))

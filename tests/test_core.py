@@ -75,6 +75,20 @@ def test_exact_percentiles(spark):
     assert ("none", 0.5) not in got
 
 
+def test_bootstrap_makes_a_thousand_draws(spark):
+    rng = random.Random(7)
+    rows = [(g, i, rng.random()) for g, n in (("a", 60), ("b", 25)) for i in range(n)] + [("a", 900, None), ("single", 1, 0.25)]
+    got = {r.g: (r.mean, r.low, r.high) for r in M.bootstrap(spark.createDataFrame(rows, "g string, i int, v double"), "g", "i", "v").collect()}
+    assert got["single"] == (0.25, 0.25, 0.25)  # a draw of one row is often empty
+    for g in ("a", "b"):
+        own, means = [(i, v) for h, i, v in rows if h == g and v is not None], []
+        for draw in range(1, 1001):
+            w = [sum(int(hashlib.md5(f"{i}:{draw}".encode()).hexdigest()[:8], 16) / 2**32 >= c for c in M.POISSON) for i, _ in own]
+            means.append(sum(x * v for x, (_, v) in zip(w, own)) / sum(w))
+        means.sort()
+        assert got[g] == pytest.approx((sum(v for _, v in own) / len(own), means[25], means[975]), abs=2e-6)
+
+
 def test_exact_search_is_exact(spark):
     rng = random.Random(5)
     data = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(900, None), (901, [1.0]), (902, [0.0] * 8), (903, [float("nan")] * 8)]
