@@ -1,20 +1,28 @@
 """Answer and question text as Column expressions; no Python on the executors.
 
-Character classes are spelt out, as ``\\b`` and ``\\w`` differ between engines outside ASCII.
+Character classes are spelt out, as ``\\b``, ``\\s`` and ``\\w`` differ between engines outside ASCII.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Articles, markers of abstention, and phrases of uncertain answers.
+# Articles; and the markers by which each rule knows an answer that says nothing.
 ARTICLES = ["a", "an", "the"]
-ABSTAIN = ["", "unknown", "not in passages", "not found", "no answer", "n/a", "none"]
-UNCERTAIN = ["not in passages", "unknown", "i don't know", "cannot answer", ""]
-NO_SUBSTANCE = ["not in passages", "i don't know", "cannot answer", "no answer", "not specified", "unknown", "insufficient", "unable to answer"]
-QUESTION_HEADS = ["Who", "What", "When", "Where", "Why", "Which", "How", "Is", "Are", "Was", "Were", "Did", "Do", "Does", "Describe", "Explain", "In", "The"]
-
-
+ABSTAIN = ["not in passages", "i don't know", "i do not know", "unknown", "no answer", "cannot answer", "none"]
+UNCERTAIN = ["not in passages", "unknown", "no answer", "none", "i don't know"]
+UNCERTAIN_NORMALISED = ["not in passages", "unknown", "no answer", "none"]
+UNCERTAIN_FALLBACK = ["not in passages", "unknown", "no answer", "none", "i don't know", "i do not know", "n/a"]
+UNFAITHFUL = ["not in passages", "not in the passages", "no answer", "cannot determine", "i don't know", "i do not know"]
+NO_SUBSTANCE = [
+    "not in passages", "unknown", "not enough information", "don't know", "do not know", "no answer", "insufficient", "cannot determine", "no answer found",
+    "no relevant information", "no information", "n/a", "none", "unable to answer", "i cannot answer", "i cannot find", "i'm not sure", "i am not sure", "i don't have", "no info",
+]
+
+#: White space of any script, and what belongs to words.
+SPACE = r"[\x{9}-\x{D}\x{1C}-\x{1F}\x{85}\p{Z}]"
+WORD = r"[\p{L}\p{M}\p{N}_]"
+EDGES = f"^{SPACE}+|{SPACE}+$"
 
 
 def let(value: Column, body) -> Column:
@@ -22,23 +30,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: White space that surrounds answers, blanks without a line break included.
-EDGES = r"^[ \t\r\n\x{00A0}]+|[ \t\r\n\x{00A0}]+$"
-
-
 def strip(text: Column) -> Column:
     """Lower case without surrounding white space; null is empty."""
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), EDGES, "")
 
 
-def squash(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
-
-
 def tokens(text: Column) -> Column:
     """Lower-case words of a text without ASCII punctuation and articles."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[!-/:-@\[-`{-~]", "")
-    return F.filter(F.split(F.regexp_replace(plain, r"[ \t\r\n]+", " "), " "), lambda t: (t != "") & ~t.isin(ARTICLES))
+    return F.filter(F.split(F.regexp_replace(plain, f"{SPACE}+", " "), " "), lambda t: (t != "") & ~t.isin(ARTICLES))
 
 
 def normalize_answer(text: Column) -> Column:
@@ -80,50 +80,63 @@ def set_f1(pred: Column, gold: Column) -> Column:
 
 
 def is_abstention(answer: Column) -> Column:
-    return strip(answer).isin(ABSTAIN)
+    """Nothing, or an abstention said in full."""
+    return strip(answer).isin(["", *ABSTAIN])
 
 
 def is_uncertain(answer: Column) -> Column:
-    return strip(answer).isin(UNCERTAIN)
+    """What the weighted arbitrator takes for no answer: null, empty, or a marker."""
+    return (F.coalesce(answer, F.lit("")) == "") | strip(answer).isin(UNCERTAIN)
 
 
-def has_substance(answer: Column) -> Column:
-    low = strip(answer)
+def is_uncertain_normalised(answer: Column) -> Column:
+    """What the selective rules and the probabilistic arbitrator take for no answer, on the normalised text."""
+    return normalize_answer(answer).isin(["", *UNCERTAIN_NORMALISED])
+
+
+def is_uncertain_fallback(answer: Column) -> Column:
+    """What the last fallback takes for no answer."""
+    return (F.coalesce(answer, F.lit("")) == "") | strip(answer).isin(UNCERTAIN_FALLBACK)
+
+
+def _has_any(text: Column, phrases: list[str]) -> Column:
     found = F.lit(False)
-    for phrase in NO_SUBSTANCE:
-        found = found | F.contains(low, F.lit(phrase))
-    return (F.length(low) >= 3) & ~found
+    for phrase in phrases:
+        found = found | F.contains(text, F.lit(phrase))
+    return found
+
+
+def is_unfaithful(answer: Column) -> Column:
+    """An abstention for the faithfulness summary: blank, or a pattern anywhere."""
+    return let(strip(answer), lambda low: (low == "") | _has_any(low, UNFAITHFUL))
+
+
+def has_substance(answer: Column) -> Column:
+    """Three characters or more, and none of the phrases of a missing answer anywhere."""
+    return let(strip(answer), lambda low: (F.length(low) >= 3) & ~_has_any(low, NO_SUBSTANCE))
 
 
 def lookup_key(text: Column) -> Column:
-    """Lower case, anything but ASCII letters and digits a blank, single blanks."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", " "))
+    """Lower case, anything but letters, marks, digits and underscores a blank, single blanks; in every script."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}_]+", " "))
 
 
 def slug(text: Column) -> Column:
-    s = F.replace(lookup_key(text), F.lit(" "), F.lit("-"))
+    """A name as part of an id: no punctuation, lower case, blanks and hyphens one hyphen; ``unknown`` if nothing is left."""
+    s = F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}_\x{9}-\x{D}\p{Z}-]+", "")), r"[\x{9}-\x{D}\p{Z}-]+", "-")
     return F.when(s == "", "unknown").otherwise(s)
 
 
-def question_features(question: Column) -> dict[str, Column]:
-    """Counts on which routing rests: tokens, distinct capitalised runs, nesting by "of", relation words, and forms."""
-    q = F.coalesce(question, F.lit(""))
-    low = F.lower(q)
-    runs = F.filter(F.array_distinct(F.regexp_extract_all(q, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]*[.]?)*"), F.lit(0))), lambda x: ~x.isin(QUESTION_HEADS))
-    count = lambda pattern: F.size(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)))
-    return {
-        "n_tokens": count(r"[a-z0-9]+"),
-        "n_entities": F.size(runs),
-        "n_of": count(r"(?:^| )of "),
-        "n_relations": F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"spouse|cousin|born|founded|directed|located|known for|older|opposed|translated|inherited|rebuilt"), F.lit(0)))),
-        "has_possessive": low.rlike(r"[a-z]'s "),
-        "is_polar": low.rlike(r"^(are|is|was|were|did|do|does) "),
-        "is_comparison": low.rlike(r"(older|younger|larger|earlier|later|which).* or "),
-    }
-
-
-def question_class(f: dict[str, Column]) -> Column:
-    """The cohort of a question: deep chains first, then bridges over an entity, else rich in one hop."""
-    deep = (f["n_of"] >= 3) | (f["n_relations"] >= 3)
-    bridge = (f["n_tokens"] < 15) & ((f["n_of"] >= 2) | ((f["n_relations"] >= 2) & (f["n_tokens"] >= 8)) | ((f["n_relations"] >= 1) & (f["n_entities"] >= 2)))
-    return F.when(deep, "chain_deep").when(bridge, "bridge_entity").otherwise("semantic_rich")
+def ascii_key(text: Column) -> Column:
+    """The punctuation-free form of answers for set comparison: ASCII letters and digits, single blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", " "))
+
+
+def set_f1_plain(pred: Column, gold: Column) -> Column:
+    """F1 of the sets of words of the ASCII keys; 0 where one is empty."""
+    words = lambda c: F.filter(F.array_distinct(F.split(ascii_key(c), " ")), lambda w: w != "")
+
+    def body(s: Column) -> Column:
+        return F.when((F.size(s["p"]) == 0) | (F.size(s["g"]) == 0), 0.0).otherwise(overlap_f1(s["p"], s["g"]))
+
+    return let(F.struct(words(pred).alias("p"), words(gold).alias("g")), body)

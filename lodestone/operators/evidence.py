@@ -4,29 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestone.functions.text import lookup_key
+from lodestone.functions.text import let, lookup_key
 
-#: Words of the longest name that is looked up, and entities per question.
-NAME_WORDS, MOST_ENTITIES = 4, 8
+#: Entities per question.
+MOST_ENTITIES = 8
 
 
-def n_grams(text: Column, most: int = NAME_WORDS) -> Column:
-    """All runs of up to ``most`` words of a text, as lookup keys."""
-    w = F.filter(F.split(lookup_key(text), " "), lambda x: x != "")
+def n_grams(text: Column, lengths: list[int]) -> Column:
+    """All runs of the given numbers of words of a text, as lookup keys."""
+    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
 
-    def run(n: int):
-        return lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")
+    def runs(w: Column) -> Column:
+        of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+        return F.array_distinct(F.flatten(F.filter(F.transform(sizes, of), lambda x: x.isNotNull())))
 
-    runs = [F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), run(n)) for n in range(1, most + 1)]
-    safe = [F.when(F.size(w) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]
-    return F.array_distinct(F.concat(*safe))
+    return let(F.filter(F.split(lookup_key(text), " "), lambda x: x != ""), runs)
 
 
 def link_entities(questions: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """``key, entity, position``: names (``entity``, lookup keys) that stand in a question, longest first, at most eight.
-    An equi-join on word runs, not a comparison of every question with every name."""
-    runs = questions.select(key, F.explode(n_grams(F.col(text))).alias("entity"))
-    found = runs.join(names.select("entity").where(F.length("entity") >= 3).distinct(), "entity")
+
+    An equi-join on word runs, not a comparison of every question with every name. Runs have the lengths that names
+    really have, which are counted first: a few different numbers, however many names there are.
+    """
+    own = names.select("entity").where(F.length("entity") >= 3).distinct()
+    lengths = sorted(r[0] for r in own.select(F.size(F.split("entity", " "))).distinct().collect())
+    runs = questions.select(key, F.explode(n_grams(F.col(text), lengths)).alias("entity"))
+    found = runs.join(own, "entity")
     order = Window.partitionBy(key).orderBy(F.desc(F.length("entity")), "entity")
     return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= MOST_ENTITIES).select(key, "entity", "position")
 

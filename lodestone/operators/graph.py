@@ -40,10 +40,10 @@ def chunk_paths(e: DataFrame) -> DataFrame:
 
 
 def traversal_hash(e: DataFrame) -> DataFrame:
-    """``chunk, n_edges, traversal``: SHA-1 of the sorted undirected edge ids of a chunk, each ended by a line feed."""
+    """``chunk, n_edges, traversal``: SHA-1 of the sorted undirected edge ids of a chunk, each ended by a NUL."""
     edge = F.concat_ws("|", F.least("subject", "object"), "predicate", F.greatest("subject", "object"))
     ids = e.select("chunk", edge.alias("id")).distinct().groupBy("chunk").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return ids.select("chunk", F.size("ids").alias("n_edges"), F.sha1(F.array_join(F.transform("ids", lambda i: F.concat(i, F.lit("\n"))), "")).alias("traversal"))
+    return ids.select("chunk", F.size("ids").alias("n_edges"), F.sha1(F.array_join(F.transform("ids", lambda i: F.concat(i, F.lit("\0"))), "")).alias("traversal"))
 
 
 def walk_edges(triples: DataFrame) -> DataFrame:
@@ -119,3 +119,47 @@ def pagerank(e: DataFrame, seeds: DataFrame, rounds: int = MOST_ROUNDS, damping:
         if rounds >= MOST_ROUNDS:
             raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
     return rank.select(*by, "node", "score")
+
+
+def pairs(e: DataFrame) -> DataFrame:
+    """``a, b, confidence`` with a < b: each pair of connected nodes with its best confidence."""
+    return e.groupBy(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).agg(F.max("confidence").alias("confidence"))
+
+
+def predicates_between(e: DataFrame, asked: DataFrame) -> DataFrame:
+    """``a, b, predicate, forward``: the predicates that connect the asked pairs (``a, b``), in either direction."""
+    both = e.select(F.col("subject").alias("a"), F.col("object").alias("b"), "predicate", F.lit(True).alias("forward")).unionByName(e.select(F.col("object").alias("a"), F.col("subject").alias("b"), "predicate", F.lit(False).alias("forward")))
+    return asked.select("a", "b").distinct().join(both, ["a", "b"]).select("a", "b", "predicate", "forward").distinct()
+
+
+def reach(e: DataFrame, sources: DataFrame, hops: int = 2, k: int = 10, least: float = 0.0) -> DataFrame:
+    """``source, node, rank, confidence, path``: the k nodes that each source (``source``) reaches best within ``hops``.
+
+    A path's confidence is the product of its edges' ones; a node counts by its best path, then by fewer hops, then by
+    name. The k best after each hop hold every node over which a better one can be reached, and 2k + 1 edges of a node
+    all continuations: both cuts are exact. Nodes are dealt over salts against hubs that many paths reach.
+    """
+    both = pairs(e)
+    ends = both.select(F.col("a").alias("from"), F.col("b").alias("to"), "confidence").unionByName(both.select(F.col("b").alias("from"), F.col("a").alias("to"), "confidence"))
+    near = ends.withColumn("r", F.row_number().over(Window.partitionBy("from").orderBy(F.desc("confidence"), "to"))).where(F.col("r") <= 2 * k + 1)
+    near = cut(near.select("from", "to", F.col("confidence").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    known = ends.select(F.col("from").alias("source")).distinct()
+    best = Window.partitionBy("source").orderBy(F.desc("confidence"), "hops", "node")
+    kept = sources.select("source").distinct().join(known, "source", "left_semi").select("source", F.col("source").alias("node"), F.lit(1.0).alias("confidence"), F.lit(0).alias("hops"), F.array("source").alias("path"))
+    for hop in range(hops):
+        last = kept.where(F.col("hops") == hop).withColumn("salt", F.pmod(F.xxhash64("source", "node"), F.lit(SALTS)).cast("int"))
+        longer = last.join(near, (last.node == near["from"]) & (last.salt == near.salt)).select(
+            "source", F.col("to").alias("node"), (F.col("confidence") * F.col("c")).alias("confidence"), F.lit(hop + 1).alias("hops"), F.array_append("path", F.col("to")).alias("path")
+        )
+        every = kept.unionByName(longer.where((F.col("confidence") >= least) & (F.col("node") != F.col("source"))))
+        one = every.groupBy("source", "node").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "hops", "path")).alias("b")).select("source", "node", (-F.col("b.c")).alias("confidence"), "b.hops", "b.path")
+        kept = cut(one.withColumn("r", F.row_number().over(best)).where((F.col("r") <= k + 1)).drop("r"))
+    return kept.where("node <> source").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("source", "node", "rank", "confidence", "path")
+
+
+def path_evidence(e: DataFrame, paths: DataFrame, key: str) -> DataFrame:
+    """``key, hop, chunk``: the chunks whose edges connect consecutive nodes of a path (``key, path``), each at its first hop."""
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("x"), F.element_at("path", i + 1).alias("y")))
+    each = paths.where(F.size("path") > 1).select(key, F.posexplode(steps).alias("hop", "s")).select(key, "hop", F.least("s.x", "s.y").alias("a"), F.greatest("s.x", "s.y").alias("b"))
+    held = e.select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b"), "chunk").where("chunk IS NOT NULL").distinct()
+    return each.join(held, ["a", "b"]).groupBy(key, "chunk").agg(F.min("hop").alias("hop")).select(key, "hop", "chunk")

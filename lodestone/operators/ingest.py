@@ -38,7 +38,7 @@ def pack_sentences(text: Column, size: int = 400, overlap: int = 50) -> Column:
 
 def pack_paragraphs(text: Column, least: int = 100, most: int = 1500) -> Column:
     """Paragraphs packed while their characters are fewer than ``most``; chunks under ``least`` join their predecessor."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n[ \t\r]*\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n[ \t\r]*\n"), lambda t: F.trim(t)), lambda p: p != "")
     empty = F.array().cast("array<string>")
     glue = lambda xs, p: F.concat(F.slice(xs, F.lit(1), F.size(xs) - 1), F.array(F.concat(F.element_at(xs, -1), F.lit("\n\n"), p)))
     packed = F.aggregate(parts, empty, lambda a, p: F.when((F.size(a) > 0) & (F.length(F.try_element_at(a, F.lit(-1))) + F.length(p) < most), glue(a, p)).otherwise(F.concat(a, F.array(p))))

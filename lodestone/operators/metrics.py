@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.session import cut
 
-def exact_percentiles(df: DataFrame, by: list[str], value: str, ps: list[float]) -> DataFrame:
-    """``by, p, n, value``: the value at rank floor(p * (n - 1)) of each group (ranks from 0), exactly.
+
+def exact_percentiles(df: DataFrame, by: list[str], value: str, ps: list[float], linear: bool = False) -> DataFrame:
+    """``by, p, n, value``: the value at rank floor(p * (n - 1)) of each group (ranks from 0), exactly; with ``linear``
+    the value between the two nearest ranks.
 
     Values are range-partitioned and counted where they lie; a group's partitions only exchange their sums. No task
-    holds a group, and equal values are one row.
+    holds a group, and equal values are one row. What lies where is written down before it is used twice.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    placed = counts.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id())
+    placed = cut(counts.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id()))
     sums = placed.groupBy(*by, "part").agg(F.sum("c").alias("s"))
     before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*by, "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"), F.sum("s").over(Window.partitionBy(*by)).alias("n"))
     inner = Window.partitionBy(*by, "part").orderBy(value)
-    ranked = placed.withColumn("upto", F.sum("c").over(inner)).join(offsets, [*by, "part"])
+    same = F.lit(True)
+    for c in (*by, "part"):
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    ranked = placed.withColumn("upto", F.sum("c").over(inner)).alias("l").join(offsets.alias("r"), same).select(*[F.col(f"l.{c}").alias(c) for c in (*by, value, "c", "upto")], "r.start", "r.n")
     end = F.col("start") + F.col("upto")
-    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.floor(F.lit(p) * (F.col("n") - 1)).alias("at")) for p in ps])).alias("w")
-    return ranked.select(*by, value, "n", (end - F.col("c")).alias("a"), end.alias("b"), wanted).where((F.col("w.at") >= F.col("a")) & (F.col("w.at") < F.col("b"))).select(*by, "w.p", "n", value)
+    rank = lambda p: F.lit(p) * (F.col("n") - 1)
+    wanted = [F.struct(F.lit(p).alias("p"), f(rank(p)).alias("at"), s.alias("share")) for p in ps for f, s in ((F.floor, 1 - (rank(p) - F.floor(rank(p))) if linear else F.lit(1.0)), *([(F.ceil, rank(p) - F.floor(rank(p)))] if linear else []))]
+    found = ranked.select(*by, value, "n", (end - F.col("c")).alias("a"), end.alias("b"), F.explode(F.array(*wanted)).alias("w")).where((F.col("w.at") >= F.col("a")) & (F.col("w.at") < F.col("b")))
+    if not linear:
+        return found.select(*by, "w.p", "n", value)
+    return found.select(*by, "w.p", "n", (F.col(value) * F.col("w.share")).alias(value)).groupBy(*by, "p", "n").agg(F.sum(value).alias(value))
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

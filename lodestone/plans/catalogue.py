@@ -5,54 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.vectors import cosine
 from lodestone.operators import arbitration as A, evidence as E, extract as X, graph as G, index as I, ingest as N, metrics as M, ranking as R, search as S
-from lodestone.plans import pipelines as P
+from lodestone.plans import pipelines as P, questions as PQ
+from lodestone.plans.registry import F1, ONCE, ORACLES, QUERIES, SET_F1, key as _key, norm as _norm, plain, query, strip as _strip, substantial, tokens as _tokens, uncertain, uncertain_fallback, uncertain_normalised
 from lodestone.session import cut, load
 from lodestone.sources.loaders import record_text
 from lodestone.streaming.upserts import stream_latest, windowed_counts
 
 FLAGSHIP = "answer_batch"
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _tokens(x: str) -> str:
-    return rf"list_filter(string_split(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[!-/:-@\[-`{{-~]', '', 'g'), '[ \t\r\n]+', ' ', 'g'), ' '), lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))"
-
-
-def _norm(x: str) -> str:
-    return f"array_to_string({_tokens(x)}, ' ')"
-
-
-def _key(x: str) -> str:
-    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
-
-
-def _strip(x: str) -> str:
-    return rf"regexp_replace(lower(coalesce({x}, '')), '{T.EDGES}', '', 'g')"
-
-
-def _in(x: str, values: list[str]) -> str:
-    return f"{_strip(x)} IN ({', '.join(repr(v) if chr(39) not in v else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in values)})"
-
-
-#: The answers without repeated rows, and F1 of two token lists, as SQL.
-ONCE = "SELECT DISTINCT answer_id, qid, question, gold, pred, em, f1, v3bu_pred, dec_pred, decision, soft_em FROM selective_answers"
-COMMON = "coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda y: y = t))))), 0)"
-F1 = f"CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = len(g))::DOUBLE WHEN {COMMON} = 0 THEN 0.0 ELSE 2.0 * {COMMON} / (len(p) + len(g)) END"
-SHARED = "len(list_intersect(list_distinct(p), list_distinct(g)))"
-SET_F1 = f"CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = len(g))::DOUBLE WHEN {SHARED} = 0 THEN 0.0 ELSE 2.0 * {SHARED} / (len(list_distinct(p)) + len(list_distinct(g))) END"
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -81,25 +41,61 @@ def best_over_aliases(spark, d):
     return _answers(spark, d).select("answer_id", *[F.greatest(*[F.round(f(p, F.col(a)), 6) for a in ("gold", "v3bu_pred")]).alias(n) for n, f in (("best_exact", T.exact_match), ("best_f1", T.token_f1))])
 
 
-@query(f"""SELECT answer_id, {_in('pred', T.ABSTAIN)} AS abstains, {_in('pred', T.UNCERTAIN)} AS uncertain,
-length({_strip('pred')}) >= 3 AND NOT ({' OR '.join(f"contains({_strip('pred')}, '{x.replace(chr(39), chr(39) * 2)}')" for x in T.NO_SUBSTANCE)}) AS substantial FROM ({ONCE})""")
+@query(f"""SELECT answer_id, {_strip('pred')} IN ('', 'not in passages', 'i don''t know', 'i do not know', 'unknown', 'no answer', 'cannot answer', 'none') AS abstains, {uncertain('pred')} AS uncertain, {uncertain_normalised('pred')} AS uncertain_normalised,
+{uncertain_fallback('pred')} AS uncertain_fallback, {_strip('pred')} = '' OR regexp_matches({_strip('pred')}, 'not in passages|not in the passages|no answer|cannot determine|i don''t know|i do not know') AS unfaithful, {substantial('pred')} AS substantial FROM ({ONCE})""")
 def answer_predicates(spark, d):
     a = F.col("pred")
-    return _answers(spark, d).select("answer_id", T.is_abstention(a).alias("abstains"), T.is_uncertain(a).alias("uncertain"), T.has_substance(a).alias("substantial"))
+    tests = {"abstains": T.is_abstention, "uncertain": T.is_uncertain, "uncertain_normalised": T.is_uncertain_normalised, "uncertain_fallback": T.is_uncertain_fallback, "unfaithful": T.is_unfaithful, "substantial": T.has_substance}
+    return _answers(spark, d).select("answer_id", *[f(a).alias(n) for n, f in tests.items()])
+
+
+@query(f"""WITH w AS (SELECT answer_id, list_filter(list_distinct(string_split(trim(regexp_replace(lower(coalesce(pred, '')), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda x: x <> '') AS p, list_filter(list_distinct(string_split(trim(regexp_replace(lower(coalesce(gold, '')), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda x: x <> '') AS g FROM ({ONCE})),
+f AS (SELECT answer_id, CASE WHEN len(p) = 0 OR len(g) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(p, g)) / (len(p) + len(g)) END AS f FROM w) SELECT answer_id, round(f, 6) AS set_f1, (f >= 0.7)::INT AS soft FROM f""")
+def soft_matches(spark, d):
+    """The set F1 of the ASCII keys, and whether it reaches the threshold of a soft match."""
+    f = T.set_f1_plain(F.col("pred"), F.col("gold"))
+    return _answers(spark, d).select("answer_id", F.round(f, 6).alias("set_f1"), (f >= 0.7).cast("int").alias("soft"))
+
+
+_RULE = f"""rule AS (SELECT *, {uncertain_normalised('a')} AS u1, {uncertain_normalised('b')} AS u2, array_to_string(p, ' ') = array_to_string(g, ' ') AS same, {PQ.SECOND_FACT} AS second_fact, {F1} >= 0.5 AS near FROM pair),
+chosen_by_rule AS (SELECT *, CASE WHEN u1 AND NOT u2 THEN b WHEN u1 OR u2 OR same THEN a WHEN second_fact THEN b WHEN near AND length(b) > length(a) THEN b ELSE a END AS rule_answer,
+CASE WHEN u1 AND NOT u2 THEN 'first-uncertain' WHEN u1 THEN 'both-uncertain' WHEN u2 THEN 'second-uncertain' WHEN same THEN 'agree' WHEN second_fact THEN 'second-fact' WHEN near AND length(b) > length(a) THEN 'second-longer' WHEN near THEN 'first-longer' ELSE 'first' END AS rule_reason FROM rule)"""
 
 
-@query(f"""WITH t AS (SELECT answer_id, v3bu_pred AS a, dec_pred AS b, {_tokens('v3bu_pred')} AS p, {_tokens('dec_pred')} AS g FROM ({ONCE})),
-s AS (SELECT *, {F1} AS f, {_in('a', T.UNCERTAIN)} AS u1, {_in('b', T.UNCERTAIN)} AS u2, array_to_string(p, ' ') = array_to_string(g, ' ') AS same FROM t)
-SELECT answer_id, CASE WHEN u1 AND NOT u2 THEN b WHEN u2 THEN a WHEN same THEN a WHEN f >= 0.5 AND length(b) > length(a) THEN b ELSE a END AS answer,
-CASE WHEN u1 AND u2 THEN 'both-uncertain' WHEN u1 THEN 'first-uncertain' WHEN u2 THEN 'second-uncertain' WHEN same THEN 'agree' WHEN f >= 0.5 THEN 'longer' ELSE 'first' END AS reason FROM s""")
+def _pair(first: str, second: str, more: str = "") -> str:
+    return f"pair AS (SELECT answer_id, coalesce({first}, '') AS a, coalesce({second}, '') AS b, {plain('question')} AS t, {_tokens(first)} AS p, {_tokens(second)} AS g{more} FROM ({ONCE}))"
+
+
+@query(f"WITH {_pair('v3bu_pred', 'dec_pred')}, {_RULE} SELECT answer_id, rule_answer AS answer, rule_reason AS reason FROM chosen_by_rule")
 def selective_rule(spark, d):
-    a, b = F.col("v3bu_pred"), F.col("dec_pred")
-    answer, reason = A.selective(a, b, T.token_f1(a, b))
+    answer, reason = A.selective(F.col("v3bu_pred"), F.col("dec_pred"), F.col("question"))
     return _answers(spark, d).select("answer_id", answer.alias("answer"), reason.alias("reason"))
 
 
+@query(f"""WITH {PQ.FEATURES}, {_pair('v3bu_pred', 'dec_pred', ', pred')}, {_RULE}, j AS (SELECT c.*, cohort, {uncertain_normalised('pred')} AS u3 FROM chosen_by_rule c JOIN classes USING (answer_id))
+SELECT answer_id, coalesce(CASE cohort WHEN 'chain_deep' THEN CASE WHEN NOT u3 THEN pred WHEN NOT u2 THEN b ELSE a END WHEN 'bridge_entity' THEN CASE WHEN NOT u2 THEN b ELSE a END ELSE rule_answer END, '') AS answer,
+CASE cohort WHEN 'chain_deep' THEN CASE WHEN NOT u3 THEN 'chain:iter' WHEN NOT u2 THEN 'chain:decompose' ELSE 'chain:v3bu' END WHEN 'bridge_entity' THEN CASE WHEN NOT u2 THEN 'bridge:decompose' ELSE 'bridge:v3bu' END ELSE 'rule:' || rule_reason END AS reason FROM j""")
+def routed_answers(spark, d):
+    """Answers by the class of the question."""
+    j = _answers(spark, d).join(PQ.question_cohorts(spark, d), "answer_id")
+    answer, reason = A.routed(F.col("v3bu_pred"), F.col("dec_pred"), F.col("pred"), F.col("question"), F.col("cohort"))
+    return j.select("answer_id", answer.alias("answer"), reason.alias("reason"))
+
+
+@query(f"""WITH {PQ.FEATURES}, {_pair('pred', 'dec_pred', ', v3bu_pred')}, {_RULE}, j AS (SELECT c.*, cohort, {uncertain_normalised('v3bu_pred')} AS u3 FROM chosen_by_rule c JOIN classes USING (answer_id))
+SELECT answer_id, CASE WHEN cohort = 'chain_deep' AND NOT u1 THEN a WHEN cohort = 'chain_deep' AND NOT u2 THEN b WHEN cohort = 'bridge_entity' AND NOT u2 THEN b WHEN cohort = 'bridge_entity' AND NOT u1 THEN a
+WHEN cohort = 'semantic_rich' AND NOT u1 THEN rule_answer WHEN cohort = 'semantic_rich' AND NOT u2 THEN b WHEN NOT u3 THEN v3bu_pred ELSE b END AS answer,
+CASE WHEN cohort = 'chain_deep' AND NOT u1 THEN 'chain:iter' WHEN cohort = 'chain_deep' AND NOT u2 THEN 'chain:decompose' WHEN cohort = 'bridge_entity' AND NOT u2 THEN 'bridge:decompose' WHEN cohort = 'bridge_entity' AND NOT u1 THEN 'bridge:iter'
+WHEN cohort = 'semantic_rich' AND NOT u1 THEN 'rich:' || rule_reason WHEN cohort = 'semantic_rich' AND NOT u2 THEN 'rich:decompose' WHEN NOT u3 THEN 'last:v3bu' ELSE 'last:uncertain' END AS reason FROM j""")
+def excluded_single_shot(spark, d):
+    """Answers where the single-shot arm is excluded."""
+    j = _answers(spark, d).join(PQ.question_cohorts(spark, d), "answer_id")
+    answer, reason = A.without_single_shot(F.col("dec_pred"), F.col("pred"), F.col("v3bu_pred"), F.col("question"), F.col("cohort"))
+    return j.select("answer_id", answer.alias("answer"), reason.alias("reason"))
+
+
 @query(f"""SELECT decision, count(*) AS n, round(avg(em), 6) AS mean_em, round(avg(f1), 6) AS mean_f1, round(avg(coalesce(soft_em, em)), 6) AS mean_soft,
-round(avg(coalesce(soft_em, em)) - avg(em), 6) AS gain, sum(({_in('pred', T.UNCERTAIN)})::INT)::BIGINT AS n_uncertain FROM ({ONCE}) GROUP BY decision""")
+round(avg(coalesce(soft_em, em)) - avg(em), 6) AS gain, sum(({uncertain('pred')})::INT)::BIGINT AS n_uncertain FROM ({ONCE}) GROUP BY decision""")
 def decision_report(spark, d):
     soft = F.coalesce("soft_em", "em")
     return _answers(spark, d).groupBy("decision").agg(
@@ -110,78 +106,140 @@ def decision_report(spark, d):
 
 # arbitration
 
-ARM_SQL = f"""arms AS (SELECT answer_id, arm, answer, {_tokens('answer')} AS p, {_tokens('gold')} AS g, w, coalesce(soft_em, 1.0) AS faith FROM (
-SELECT answer_id, soft_em, gold, unnest([{{'arm': 'pred', 'answer': pred, 'w': 0.9::DOUBLE}}, {{'arm': 'v3bu_pred', 'answer': v3bu_pred, 'w': 0.8::DOUBLE}}, {{'arm': 'dec_pred', 'answer': dec_pred, 'w': 0.7::DOUBLE}}], recursive := true) FROM ({ONCE}))),
-signals AS (SELECT answer_id, arm, answer, round({F1}, 6) AS gamma, faith, w FROM arms)"""
-AGREE_SQL = f"""pairs AS (SELECT a.answer_id, a.arm, a.p, b.p AS g FROM arms a JOIN arms b ON a.answer_id = b.answer_id AND a.arm <> b.arm WHERE len(a.p) > 0 AND len(b.p) > 0),
+ARM_SQL = f"""{PQ.PROBABLE}, arms AS (SELECT answer_id, qid, arm, answer, {_tokens('answer')} AS p, w FROM (
+SELECT answer_id, qid, unnest([{{'arm': 'v3bu', 'answer': v3bu_pred, 'w': v3bu}}, {{'arm': 'decompose', 'answer': dec_pred, 'w': decompose}}, {{'arm': 'iter', 'answer': pred, 'w': iter}}], recursive := true) FROM ({ONCE}) JOIN (SELECT answer_id, v3bu, decompose, iter FROM probable) USING (answer_id))),
+said AS (SELECT qid, list_distinct(flatten(list({_tokens('text')}))) AS words FROM reader_responses WHERE qid IS NOT NULL AND text IS NOT NULL GROUP BY qid),
+signals AS (SELECT answer_id, arm, answer, p, w, CASE WHEN words IS NOT NULL THEN round(len(list_filter(list_distinct(p), lambda t: list_contains(words, t))) / nullif(len(list_distinct(p)), 0), 6) END AS gamma FROM arms LEFT JOIN (SELECT qid, words FROM said WHERE len(words) > 0) USING (qid))"""
+
+
+def _agree(of: str) -> str:
+    return f"""pairs AS (SELECT a.answer_id, a.arm, a.p, b.p AS g FROM {of} a JOIN {of} b ON a.answer_id = b.answer_id AND a.arm <> b.arm WHERE len(a.p) > 0 AND len(b.p) > 0),
 agreed AS (SELECT answer_id, arm, avg((({SET_F1}) >= 0.7)::INT) AS share FROM pairs GROUP BY ALL),
-agree AS (SELECT a.answer_id, a.arm, coalesce(share, 0.0) AS agree FROM arms a LEFT JOIN agreed USING (answer_id, arm))"""
+agree AS (SELECT a.answer_id, a.arm, coalesce(share, 0.0) AS agree FROM {of} a LEFT JOIN agreed USING (answer_id, arm))"""
+
+
+def _arms(spark, d):
+    return P.arm_table(_answers(spark, d), load(spark, d, "reader_responses"))
 
 
-@query(f"WITH {ARM_SQL}, {AGREE_SQL} SELECT answer_id, arm, round(agree, 6) AS agree FROM agree")
+@query(f"WITH {ARM_SQL} SELECT answer_id, arm, gamma, round(w, 6) AS p FROM signals")
+def arm_signals(spark, d):
+    """What speaks for each arm's answer without looking at labels: its words in the responses, and the arm's probability."""
+    return _arms(spark, d).select("answer_id", "arm", "gamma", F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {ARM_SQL}, {_agree('arms')} SELECT answer_id, arm, round(agree, 6) AS agree FROM agree")
 def arm_agreement(spark, d):
-    return A.agreement(P.arm_table(_answers(spark, d)), "answer_id").select("answer_id", "arm", F.round("agree", 6).alias("agree"))
+    return A.agreement(_arms(spark, d), "answer_id").select("answer_id", "arm", F.round("agree", 6).alias("agree"))
+
 
+def _rated(of: str) -> str:
+    return f"""parts AS (SELECT answer_id, arm, answer, {uncertain('answer')} AS unsure, least(w, 1.0) AS w, coalesce(gamma, 1.0) AS gamma, agree FROM {of} JOIN agree USING (answer_id, arm)),
+rated AS (SELECT *, round(CASE WHEN unsure THEN 0.0 ELSE w * (gamma + 0.5 * agree + 0.3) END + 1e-9, 6) AS score, CASE WHEN unsure THEN 'fallback' WHEN w * 0.5 * agree > 0 AND 0.5 * agree >= gamma AND 0.5 * agree >= 0.3 THEN 'consensus' WHEN gamma >= 0.3 THEN 'gamma' ELSE 'faith' END AS signal FROM parts),
+chosen AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY unsure, score DESC, CASE WHEN unsure THEN length(coalesce(answer, '')) ELSE 0 END DESC, arm) = 1)"""
 
-ARBITRATED = f"""WITH {ARM_SQL}, {AGREE_SQL}, rated AS (SELECT answer_id, arm, answer, round(CASE WHEN {_in('answer', T.UNCERTAIN)} THEN 0.0 ELSE w * (0.0 + 1.0 * gamma + 0.5 * agree + 0.3 * faith) END + 1e-9, 6) AS score FROM signals JOIN agree USING (answer_id, arm)),
-chosen AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY score DESC, CASE WHEN score = 0 THEN length(coalesce(answer, '')) ELSE 0 END DESC, arm) = 1)"""
 
+ARBITRATED = f"WITH {ARM_SQL}, {_agree('arms')}, {_rated('signals')}"
 
-@query(f"{ARBITRATED} SELECT answer_id, arm, answer, score FROM chosen")
+
+@query(f"{ARBITRATED} SELECT answer_id, arm, answer, score, signal FROM chosen")
 def arbitrated_answers(spark, d):
-    arms = P.arm_table(_answers(spark, d))
-    return A.arbitrate(A.agreement(arms, "answer_id"), "answer_id")
+    return A.arbitrate(A.agreement(_arms(spark, d), "answer_id"), "answer_id")
+
 
+@query(f"""WITH {ARM_SQL}, fit AS (SELECT answer_id, polar > 0 AS f1, two_entities > 0 AS f2, chain > 0 AS f3 FROM scores), fired AS (SELECT s.* FROM signals s JOIN fit USING (answer_id)
+WHERE coalesce(answer, '') <> '' AND (arm <> 'iter' OR f3 OR NOT (f1 OR f2)) AND (arm <> 'decompose' OR f2 OR NOT (f1 OR f3)) AND (arm <> 'v3bu' OR f1 OR NOT (f2 OR f3))), {_agree('fired')}, {_rated('fired')}
+SELECT answer_id, coalesce(arm, '') AS arm, coalesce(answer, '') AS answer, coalesce(score, 0.0) AS score, coalesce(signal, 'fallback') AS signal FROM (SELECT DISTINCT answer_id FROM arms) LEFT JOIN chosen USING (answer_id)""")
+def pool_answers(spark, d):
+    """Arbitration among the arms that take the question for theirs, or all arms where none does."""
+    fit = PQ.arm_applicability(spark, d).select("answer_id", F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).alias("v")) for a in P.ARMS]).alias("fit"))
+    own = F.exists("fit", lambda x: (x["a"] == F.col("arm")) & x["v"])
+    arms = _arms(spark, d).join(fit, "answer_id").withColumn("applicable", own | ~F.exists("fit", lambda x: x["v"])).drop("fit")
+    return A.arbitrate_pool(arms, "answer_id")
 
-@query(f"""WITH {ARM_SQL}, pooled AS (SELECT answer_id, {_norm('answer')} AS a, count(*) AS votes, round(sum(w), 6) AS weight FROM arms WHERE NOT {_in('answer', T.UNCERTAIN)} GROUP BY ALL)
-SELECT answer_id, a AS answer, votes, weight FROM pooled QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY weight DESC, a) = 1""")
+
+@query(f"""WITH {ARM_SQL}, r AS (SELECT *, CASE arm WHEN 'v3bu' THEN 0 WHEN 'decompose' THEN 1 ELSE 2 END AS rank FROM arms WHERE NOT {uncertain_normalised('answer')}),
+pooled AS (SELECT answer_id, array_to_string(p, ' ') AS n, count(*) AS votes, round(sum(round(w, 9)) + 1e-9, 6) AS weight, min((-round(w, 9), rank)) AS top, arg_min(answer, rank) AS answer FROM r GROUP BY ALL)
+SELECT answer_id, answer, votes, weight FROM pooled QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY weight DESC, top[2], n) = 1""")
 def weighted_vote(spark, d):
-    return A.weighted_vote(P.arm_table(_answers(spark, d)), "answer_id")
+    return A.weighted_vote(_arms(spark, d), "answer_id")
+
+
+_PROBABLE = f"""r AS (SELECT answer_id, arm, coalesce(answer, '') AS answer, array_to_string(p, ' ') AS n, round(w, 9) AS w, CASE arm WHEN 'v3bu' THEN 0 WHEN 'decompose' THEN 1 ELSE 2 END AS rank FROM arms), given AS (SELECT *, n NOT IN ('', 'not in passages', 'unknown', 'no answer', 'none') AS sure FROM r WHERE answer <> '')"""
+
 
+@query(f"""WITH {ARM_SQL}, {_PROBABLE}, best AS (SELECT * FROM given QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY sure DESC, CASE WHEN sure THEN -w END, rank) = 1)
+SELECT answer_id, coalesce(answer, '') AS answer, CASE WHEN arm IS NULL THEN 'no_answers' WHEN sure THEN 'argmax:' || arm ELSE 'all_uncertain:' || arm END AS reason FROM (SELECT DISTINCT answer_id FROM arms) LEFT JOIN best USING (answer_id)""")
+def most_probable_answers(spark, d):
+    return A.probable(_arms(spark, d), "answer_id")
 
-@query(f"""WITH {ARM_SQL}, banded AS (SELECT *, CASE WHEN gamma >= 0.66 THEN 2 WHEN gamma >= 0.33 THEN 1 ELSE 0 END AS band FROM signals),
+
+@query(f"""WITH {ARM_SQL}, {_PROBABLE}, best AS (SELECT * FROM given QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY sure DESC, CASE WHEN sure THEN (w <= 0.5)::INT END, CASE WHEN sure THEN -w END, rank) = 1)
+SELECT answer_id, coalesce(answer, '') AS answer, CASE WHEN arm IS NULL THEN 'no_answers' WHEN NOT sure THEN 'all_uncertain:' || arm WHEN w > 0.5 THEN 'subset:' || arm ELSE 'subset_fallback_argmax:' || arm END AS reason FROM (SELECT DISTINCT answer_id FROM arms) LEFT JOIN best USING (answer_id)""")
+def subset_answers(spark, d):
+    return A.probable(_arms(spark, d), "answer_id", "subset", 0.5)
+
+
+@query(f"""WITH {ARM_SQL}, banded AS (SELECT *, CASE WHEN coalesce(gamma, 0) >= 0.66 THEN 2 WHEN coalesce(gamma, 0) >= 0.33 THEN 1 ELSE 0 END AS band FROM signals),
 best AS (SELECT * FROM banded QUALIFY band = max(band) OVER (PARTITION BY answer_id)),
-pooled AS (SELECT answer_id, band, {_norm('answer')} AS a, round(sum(gamma), 6) AS total, count(*) AS n, round(avg(gamma), 6) AS gamma FROM best GROUP BY ALL)
+pooled AS (SELECT answer_id, band, {_norm('answer')} AS a, round(sum(coalesce(gamma, 0)), 6) AS total, count(*) AS n, round(avg(coalesce(gamma, 0)), 6) AS gamma FROM best GROUP BY ALL)
 SELECT answer_id, a AS answer, band, gamma FROM pooled QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY total DESC, n DESC, a DESC) = 1""")
 def gamma_pool(spark, d):
-    return A.gamma_pool(P.arm_table(_answers(spark, d)), "answer_id")
+    return A.gamma_pool(_arms(spark, d), "answer_id")
 
 
-@query(f"""WITH v AS (SELECT qid, {_norm('pred')} AS answer, count(*) AS votes FROM ({ONCE}) WHERE {_norm('pred')} <> '' GROUP BY ALL)
-SELECT qid, answer, votes FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, answer) = 1""")
+@query(f"""WITH v AS (SELECT qid, {_norm('pred')} AS answer, count(*) AS votes, min(answer_id) AS first FROM ({ONCE}) WHERE {_norm('pred')} <> '' GROUP BY ALL)
+SELECT qid, answer, votes FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, first, answer) = 1""")
 def majority_answers(spark, d):
-    votes = _answers(spark, d).groupBy("qid", T.normalize_answer(F.col("pred")).alias("answer")).agg(F.count(F.lit(1)).alias("votes")).where("answer <> ''")
-    order = F.struct(-F.col("votes"), "answer")
-    return votes.groupBy("qid").agg(F.min(order.alias("o")).alias("o")).select("qid", F.col("o.answer").alias("answer"), (-F.col("o.col1")).alias("votes"))
+    """The most frequent answer of a question over its reruns, the first one of those that tie."""
+    votes = _answers(spark, d).groupBy("qid", T.normalize_answer(F.col("pred")).alias("answer")).agg(F.count(F.lit(1)).alias("votes"), F.min("answer_id").alias("first")).where("answer <> ''")
+    order = F.struct((-F.col("votes")).alias("v"), "first", "answer")
+    return votes.groupBy("qid").agg(F.min(order).alias("o")).select("qid", F.col("o.answer").alias("answer"), (-F.col("o.v")).alias("votes"))
 
 
-@query(f"""SELECT answer_id, coalesce(CASE WHEN NOT {_in('pred', T.UNCERTAIN)} THEN pred END, CASE WHEN NOT {_in('dec_pred', T.UNCERTAIN)} THEN dec_pred END, CASE WHEN NOT {_in('v3bu_pred', T.UNCERTAIN)} THEN v3bu_pred END, pred, '') AS answer,
-CASE WHEN NOT {_in('pred', T.UNCERTAIN)} THEN 0 WHEN NOT {_in('dec_pred', T.UNCERTAIN)} THEN 1 WHEN NOT {_in('v3bu_pred', T.UNCERTAIN)} THEN 2 ELSE -1 END AS step FROM ({ONCE})""")
+@query(f"""SELECT answer_id, coalesce(CASE WHEN NOT {uncertain_fallback('pred')} THEN pred END, CASE WHEN NOT {uncertain_fallback('dec_pred')} THEN dec_pred END, CASE WHEN NOT {uncertain_fallback('v3bu_pred')} THEN v3bu_pred END, nullif(pred, ''), nullif(dec_pred, ''), nullif(v3bu_pred, ''), '') AS answer,
+CASE WHEN NOT {uncertain_fallback('pred')} THEN 0 WHEN NOT {uncertain_fallback('dec_pred')} THEN 1 WHEN NOT {uncertain_fallback('v3bu_pred')} THEN 2 ELSE -1 END AS step FROM ({ONCE})""")
 def retry_cascade(spark, d):
     answer, step = A.retry(F.col("pred"), F.col("dec_pred"), F.col("v3bu_pred"))
     return _answers(spark, d).select("answer_id", answer.alias("answer"), step.alias("step"))
 
 
-# questions
+def _alike(a: str, b: str) -> str:
+    return f"(coalesce({a}, '') <> '' AND coalesce({b}, '') <> '' AND (SELECT {SET_F1} FROM (SELECT {_tokens(a)} AS p, {_tokens(b)} AS g)) >= 0.7)"
+
+
+@query(f"""WITH s AS (SELECT answer_id, v3bu_pred AS a, dec_pred AS b, pred AS c, {_alike('v3bu_pred', 'dec_pred')} AS ab, {_alike('v3bu_pred', 'pred')} AS ac, {_alike('dec_pred', 'pred')} AS bc FROM ({ONCE})),
+m AS (SELECT answer_id, list_filter([{{'n': length(a), 'i': 0, 'v': a, 'm': ab OR ac}}, {{'n': length(b), 'i': -1, 'v': b, 'm': ab OR (bc AND NOT ac)}}, {{'n': length(c), 'i': -2, 'v': c, 'm': ac OR (bc AND NOT ab)}}], lambda x: x.m) AS l FROM s)
+SELECT answer_id, list_max(l).v AS answer FROM m""")
+def consensus_answers(spark, d):
+    """The longest answer of those arms that agree, null where no two do."""
+    alike = lambda a, b: T.set_f1(a, b) >= A.AGREE_AT
+    return _answers(spark, d).select("answer_id", A.consensus(F.col("v3bu_pred"), F.col("dec_pred"), F.col("pred"), alike).alias("answer"))
 
-_HEADS = ", ".join(f"'{h}'" for h in T.QUESTION_HEADS)
-FEATURES = rf"""features AS (SELECT answer_id, len(regexp_extract_all(lower(coalesce(question, '')), '[a-z0-9]+')) AS n_tokens,
-len(list_filter(list_distinct(regexp_extract_all(coalesce(question, ''), '[A-Z][a-z]+(?: [A-Z][a-z]*[.]?)*')), lambda x: x NOT IN ({_HEADS}))) AS n_entities,
-len(regexp_extract_all(lower(coalesce(question, '')), '(?:^| )of ')) AS n_of,
-len(list_distinct(regexp_extract_all(lower(coalesce(question, '')), 'spouse|cousin|born|founded|directed|located|known for|older|opposed|translated|inherited|rebuilt'))) AS n_relations,
-regexp_matches(lower(coalesce(question, '')), '[a-z]''s ') AS has_possessive, regexp_matches(lower(coalesce(question, '')), '^(are|is|was|were|did|do|does) ') AS is_polar,
-regexp_matches(lower(coalesce(question, '')), '(older|younger|larger|earlier|later|which).* or ') AS is_comparison FROM ({ONCE}))"""
 
+@query(f"""WITH o AS (SELECT answer_id, list_filter([{{'n': length(pred), 'i': 0, 'v': pred, 'u': {uncertain_fallback('pred')}}}, {{'n': length(dec_pred), 'i': -1, 'v': dec_pred, 'u': {uncertain_fallback('dec_pred')}}}], lambda x: NOT x.u AND x.v IS DISTINCT FROM v3bu_pred) AS l, v3bu_pred, dec_pred, decision FROM ({ONCE}))
+SELECT answer_id, list_max(l).v AS other, CASE WHEN regexp_matches(lower(coalesce(decision, '')), 'gamma|γ') THEN 'gamma_refuse' WHEN regexp_matches(lower(coalesce(decision, '')), 'h4|refuse') THEN 'h4_refuse' WHEN regexp_matches(lower(coalesce(decision, '')), 'h12|how_many') THEN 'h12_refuse'
+WHEN {_strip('v3bu_pred')} IN ('', 'not in passages', 'i don''t know', 'i do not know', 'unknown', 'no answer', 'cannot answer', 'none') THEN 'empty_answer' END AS signal FROM o""")
+def fallback_answers(spark, d):
+    """For the single-shot answer: the kind of its abstention, and the longest certain answer of another arm."""
+    a = F.col("v3bu_pred")
+    return _answers(spark, d).select("answer_id", A.longest_other(a, F.col("pred"), F.col("dec_pred")).alias("other"), A.abstention_signal(a, F.col("decision")).alias("signal"))
 
-@query(f"WITH {FEATURES} SELECT * FROM features")
-def question_features(spark, d):
-    return _answers(spark, d).select("answer_id", *[c.alias(n) for n, c in T.question_features(F.col("question")).items()])
 
+@query(f"""WITH x AS (SELECT answer_id, unnest([{{'i': 1, 'v': v3bu_pred}}, {{'i': 2, 'v': dec_pred}}, {{'i': 3, 'v': gold}}], recursive := true), {_norm('pred')} AS c FROM ({ONCE})), n AS (SELECT answer_id, i, v, c, {_norm('v')} AS n FROM x),
+f AS (SELECT answer_id, n, arg_min(v, i) AS v, min(i) AS i FROM n WHERE n <> '' AND n <> c AND v IS NOT NULL GROUP BY ALL) SELECT answer_id, string_agg(v, '|' ORDER BY i) AS rejected, count(*)::INT AS n FROM f GROUP BY answer_id""")
+def rejected_answers(spark, d):
+    """The other distinct answers to a question."""
+    others = A.other_answers(F.col("pred"), F.col("v3bu_pred"), F.col("dec_pred"), F.col("gold"))
+    return _answers(spark, d).select("answer_id", others.alias("o")).where(F.size("o") > 0).select("answer_id", F.array_join("o", "|").alias("rejected"), F.size("o").alias("n"))
 
-@query(f"""WITH {FEATURES} SELECT answer_id, CASE WHEN n_of >= 3 OR n_relations >= 3 THEN 'chain_deep'
-WHEN n_tokens < 15 AND (n_of >= 2 OR (n_relations >= 2 AND n_tokens >= 8) OR (n_relations >= 1 AND n_entities >= 2)) THEN 'bridge_entity' ELSE 'semantic_rich' END AS cohort FROM features""")
-def question_cohorts(spark, d):
-    return _answers(spark, d).select("answer_id", T.question_class(T.question_features(F.col("question"))).alias("cohort"))
+
+@query("""WITH p AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) + 1e-9 AS l FROM p GROUP BY vec_id),
+u AS (SELECT label, vec_id, pos, x / l AS x FROM p JOIN n USING (vec_id)), c AS (SELECT label, pos, avg(x) AS m FROM u GROUP BY ALL), j AS (SELECT label, vec_id, round(sum(x * m), 9) AS s FROM u JOIN c USING (label, pos) GROUP BY ALL)
+SELECT label, vec_id, s >= median(s) OVER (PARTITION BY label) - 1e-9 AS kept FROM j""")
+def phase_filter(spark, d):
+    """Which vectors of a label lie on the centroid's side of their median."""
+    return A.phases(load(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
 # vector search, by queries whose id is divisible by 100, against all rows
@@ -249,7 +307,7 @@ _TERMS = "unnest(list_filter(string_split({}, ' '), lambda t: t <> ''))"
 
 
 @query(f"""WITH docs AS (SELECT DISTINCT doc_id AS doc, text FROM documents), terms AS (SELECT doc, {_TERMS.format(_key('text'))} AS term FROM docs), tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL),
-lens AS (SELECT doc, count(*) AS len FROM terms GROUP BY doc), st AS (SELECT count(*) AS n, avg(len) AS mean FROM lens), df AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term HAVING idf > 0),
+lens AS (SELECT doc, count(*) AS len FROM terms GROUP BY doc), st AS (SELECT count(*) AS n, avg(len) AS mean FROM lens), raw_df AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term), df AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw_df) ELSE idf END AS idf FROM raw_df),
 asked AS (SELECT DISTINCT answer_id AS query_id, {_TERMS.format(_key('question'))} AS term FROM ({ONCE}) WHERE answer_id % 100 = 0),
 scored AS (SELECT query_id, doc, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS score FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN lens USING (doc), st GROUP BY ALL)
 SELECT query_id, doc, round(score, 5) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) <= 10""")
@@ -316,7 +374,7 @@ def graph_paths(spark, d):
 
 
 @query(f"""WITH {_EDGES}, ids AS (SELECT DISTINCT chunk, concat_ws('|', least(subject, object), predicate, greatest(subject, object)) AS id FROM edges)
-SELECT chunk, count(*)::INT AS n_edges, sha1(string_agg(id || chr(10), '' ORDER BY id)) AS traversal FROM ids GROUP BY chunk""")
+SELECT chunk, count(*)::INT AS n_edges, sha1(string_agg(id || chr(0), '' ORDER BY id)) AS traversal FROM ids GROUP BY chunk""")
 def traversal_hashes(spark, d):
     return G.traversal_hash(_edges(spark, d))
 
@@ -364,7 +422,7 @@ def entity_index(spark, d):
     return e.where("entity <> ''").distinct().groupBy("entity").agg(F.count("chunk_id").alias("n_chunks"))
 
 
-_GRAMS = " UNION ".join(f"SELECT answer_id, array_to_string(w[i:i + {n - 1}], ' ') AS entity FROM (SELECT answer_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w WHERE len(w) >= {n})" for n in range(1, E.NAME_WORDS + 1))
+_GRAMS = "SELECT DISTINCT answer_id, array_to_string(w[i:i + n], ' ') AS entity FROM (SELECT answer_id, w, i, unnest(range(0, len(w) - i + 1)) AS n FROM (SELECT answer_id, w, unnest(range(1, len(w) + 1)) AS i FROM w))"
 
 
 @query(f"""WITH {_EDGES}, names AS (SELECT subject AS entity FROM edges UNION SELECT object FROM edges), w AS (SELECT answer_id, list_filter(string_split({_key('question')}, ' '), lambda x: x <> '') AS w FROM ({ONCE})), grams AS ({_GRAMS})
@@ -379,29 +437,129 @@ _DOCS = "(SELECT DISTINCT doc_id, text FROM documents)"
 
 
 def _clean(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '<!--.*?-->', '', 'g'), '{X.LINK}', '\1', 'g'), '[ \t]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '<!--.*?-->', '', 'g'), '\[\[(?:[^|\]]+\|)?([^\]]+)\]\]', '\1', 'g'), '[ \t]+', ' ', 'g'))"
+
+
+_INFOBOX = f"""d AS (SELECT doc_id, regexp_extract_all(text, '(?m)^\\| *([a-z_]+) *= *([^\\r\\n]*)', 1) AS k, regexp_extract_all(text, '(?m)^\\| *([a-z_]+) *= *([^\\r\\n]*)', 2) AS v FROM {_DOCS} WHERE contains(text, '{{{{Infobox')),
+r AS (SELECT doc_id, {_clean("v[list_position(k, 'name')]")} AS subject, unnest(k) AS attribute, {_clean('unnest(v)')} AS value FROM d),
+infobox AS (SELECT DISTINCT doc_id, subject, attribute, value FROM r WHERE attribute NOT IN ('name', 'image', 'caption', 'image_size', 'alt') AND length(value) BETWEEN 1 AND 200 AND length(subject) BETWEEN 1 AND 80)"""
 
 
-@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '{X.ROW}', 1) AS k, regexp_extract_all(text, '{X.ROW}', 2) AS v FROM {_DOCS} WHERE contains(text, '{{{{Infobox')),
-r AS (SELECT doc_id, {_clean("v[list_position(k, 'name')]")} AS subject, unnest(k) AS attribute, {_clean('unnest(v)')} AS value FROM d)
-SELECT DISTINCT doc_id, subject, attribute, value FROM r WHERE attribute <> 'name' AND length(value) BETWEEN 1 AND {X.MOST_LENGTH} AND length(subject) > 0""")
+@query(f"WITH {_INFOBOX} SELECT * FROM infobox")
 def infobox_facts(spark, d):
     return X.infobox_triples(load(spark, d, "documents").select("doc_id", "text").distinct())
 
 
-def _statement_sql() -> str:
-    parts = []
-    for relation, words in X.STATEMENTS.items():
-        pattern = f"({X.NAME}){'' if words.startswith(',') else ' '}{words} ({X.NAME if relation != 'known_for' else '[a-z-]+ [a-z-]+'})"
-        parts.append(f"SELECT chunk_id, unnest(regexp_extract_all(text, '{pattern}', 1)) AS subject, '{relation}' AS relation, unnest(regexp_extract_all(text, '{pattern}', 2)) AS object FROM c")
-    return f"WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks) SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)})"
+_WS = r"[\x{9}-\x{D}\x{85}\p{Z}]"
+_WORD = r"[\p{L}\p{M}\p{N}_]"
+_BEFORE = rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])"
+_PERSON = rf"\p{{L}}[\p{{L}}\p{{M}}\p{{N}}_.\-]*(?:{_WS}+\p{{L}}[\p{{L}}\p{{M}}\p{{N}}_.\-]*){{0,4}}"
+_ANY = rf"(?:{_PERSON}|(?:(?:the|a|an){_WS}+)?\p{{L}}[\p{{L}}\p{{M}}\p{{N}}_\-]+(?:{_WS}+\p{{L}}[\p{{L}}\p{{M}}\p{{N}}_\-]+){{0,4}})"
+_VERB = "founded|created|directed|wrote|composed|invented|discovered|acquired|started|published|released|established|signed|elected|played|hosted|formed|developed|owned|owns|produced|designed|adapted|succeeded|preceded|married|joined|led|leads|managed|won|received|earned|achieved|attended|studied"
+_SAID = [
+    (rf"(?i){_BEFORE}({_PERSON}){_WS}+({_VERB}){_WS}+({_ANY})", 2, 3), (rf"(?i){_BEFORE}({_PERSON}){_WS}+(?:is|was|are|were){_WS}+(?:the|a|an){_WS}+({_WORD}+(?:{_WS}+{_WORD}+){{0,2}}){_WS}+of{_WS}+({_ANY})", 2, 3),
+    (rf"(?i){_BEFORE}({_PERSON})''s{_WS}+({_WORD}+(?:{_WS}+{_WORD}+){{0,2}}){_WS}+(?:is|was|are|were){_WS}+({_ANY})", 2, 3), (rf"(?i){_BEFORE}({_PERSON}){_WS}+(?:was|is){_WS}+born{_WS}+in{_WS}+({_ANY})", "born_in", 2),
+    (rf"(?i){_BEFORE}({_PERSON}){_WS}+(?:was|is){_WS}+born{_WS}+(?:on{_WS}+)?([^.;,(]+?)(?:[.;,(]|$)", "born_on", 2), (rf"(?i){_BEFORE}({_PERSON}){_WS}+died{_WS}+in{_WS}+({_ANY})", "died_in", 2),
+]
+
+
+def _all_of(text: str, key: str, table: str, forms: list) -> str:
+    rows = []
+    for family, (pattern, predicate, group) in enumerate(forms):
+        s, o = (f"regexp_extract_all({text}, '{pattern}', {g})" for g in (1, group))
+        p = f"'{predicate}'" if isinstance(predicate, str) else f"unnest(regexp_extract_all({text}, '{pattern}', {predicate}))"
+        rows.append(f"SELECT {key}, {family} AS family, unnest({s}) AS subject, generate_subscripts({s}, 1) AS place, {p} AS predicate, unnest({o}) AS object FROM {table}")
+    return " UNION ALL ".join(rows)
 
 
-@query(_statement_sql())
+def _squash(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))"
+
+
+_STATED = f"""c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL), said AS ({_all_of('text', 'chunk_id', 'c', _SAID)}),
+clean AS (SELECT chunk_id, family, place, {_squash('subject')} AS subject, regexp_replace(lower(trim(predicate)), '{_WS}+', '_', 'g') AS predicate, {_squash('object')} AS object FROM said),
+statements AS (SELECT chunk_id, (min((family, place, subject, object))).subject AS subject, predicate, (min((family, place, subject, object))).object AS object FROM (SELECT *, {_key('subject')} AS sk, {_key('object')} AS ok FROM clean WHERE subject <> '' AND object <> '' AND length(subject) <= 80 AND length(object) <= 200) GROUP BY chunk_id, sk, predicate, ok)"""
+_STATED = _STATED.replace("(min((family, place, subject, object))).subject", "arg_min(subject, (family, place, subject, object))").replace("(min((family, place, subject, object))).object", "arg_min(object, (family, place, subject, object))")
+
+
+@query(f"WITH {_STATED} SELECT * FROM statements")
 def extracted_statements(spark, d):
     return X.statements(load(spark, d, "chunks").select("chunk_id", "text").distinct(), "chunk_id", "text")
 
 
+_SOMEONE = r"(\p{L}(?:[\p{L}\p{M}\p{N}_.\- ])+?)"
+_UPTO = r"([^.;,(]+?)(?:[.;,(]|$)"
+_FACT_FORMS = [
+    (rf"(?i){_BEFORE}{_SOMEONE}{_WS}+(?:was|is){_WS}+born{_WS}+(?:on{_WS}+)?{_UPTO}", "born", 2), (rf"(?i){_BEFORE}{_SOMEONE}{_WS}+(?:was|is){_WS}+born{_WS}+in{_WS}+{_UPTO}", "birthplace", 2),
+    (rf"(?i){_BEFORE}{_SOMEONE}{_WS}+died{_WS}+(?:on{_WS}+)?{_UPTO}", "died", 2), (rf"(?i){_BEFORE}{_SOMEONE}{_WS}+died{_WS}+in{_WS}+{_UPTO}", "deathplace", 2),
+    (rf"(?i){_BEFORE}The capital of{_WS}+(\p{{L}}[\p{{L}}\p{{M}}\p{{N}}_. ]+?){_WS}+is{_WS}+{_UPTO}", "capital", 2), (rf"(?i){_BEFORE}{_SOMEONE}{_WS}+is{_WS}+the capital of{_WS}+(\p{{L}}[\p{{L}}\p{{M}}\p{{N}}_. ]+?)(?:[.;,(]|$)", "capital_of", 2),
+    (rf"(?i){_BEFORE}{_SOMEONE}{_WS}+is{_WS}+(?:an?{_WS}+)?({_WORD}+(?:{_WS}+{_WORD}+){{0,2}}){_WS}+(?:actor|actress|director|singer|author|writer|scientist|politician|player)(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])", "nationality", 2),
+]
+_PLAIN = f"""pc AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL), told AS ({_all_of('text', 'chunk_id', 'pc', _FACT_FORMS)}),
+facts AS (SELECT DISTINCT chunk_id, {_squash('subject')} AS subject, predicate AS attribute, {_squash('object')} AS value FROM told WHERE {_squash('subject')} <> '' AND {_squash('object')} <> '' AND length({_squash('subject')}) <= 80 AND length({_squash('object')}) <= 200)"""
+
+
+@query(f"WITH {_PLAIN} SELECT * FROM facts")
+def stated_facts(spark, d):
+    return X.plain_facts(load(spark, d, "chunks").select("chunk_id", "text").distinct(), "chunk_id", "text")
+
+
+_ALIAS = "CASE {0} WHEN 'date_of_birth' THEN 'born' WHEN 'birth_date' THEN 'born' WHEN 'born_date' THEN 'born' WHEN 'date_of_death' THEN 'died' WHEN 'death_date' THEN 'died' WHEN 'place_of_birth' THEN 'birthplace' WHEN 'birth_place' THEN 'birthplace' WHEN 'place_of_death' THEN 'deathplace' WHEN 'death_place' THEN 'deathplace' WHEN 'alma_matter' THEN 'alma_mater' WHEN 'profession' THEN 'occupation' WHEN 'citizenship' THEN 'nationality' WHEN 'spouse_s' THEN 'spouse' WHEN 'spouses' THEN 'spouse' WHEN 'partner' THEN 'spouse' WHEN 'parent' THEN 'parents' WHEN 'fathers' THEN 'father' WHEN 'mothers' THEN 'mother' WHEN 'headquartered_in' THEN 'headquarters' WHEN 'headquartered' THEN 'headquarters' WHEN 'hq' THEN 'headquarters' WHEN 'capital_city' THEN 'capital' ELSE {0} END"
+
+
+def _attribute(x: str) -> str:
+    return _ALIAS.format(rf"regexp_replace(regexp_replace(lower(trim({x})), '[\x{{9}}-\x{{D}}\x{{85}}\p{{Z}}-]+', '_', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g')".replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}")
+
+
+_INDEX = f"""{_INFOBOX}, {_PLAIN}, every AS (SELECT doc_id::VARCHAR AS source, subject, attribute, value, 1.0::DOUBLE AS confidence FROM infobox UNION ALL SELECT chunk_id, subject, attribute, value, 0.7::DOUBLE FROM facts
+UNION ALL SELECT source_chunk_id, subject, predicate, object, 0.7::DOUBLE FROM (SELECT DISTINCT source_chunk_id, subject, predicate, object FROM raw_triples)), keyed AS (SELECT {_key('subject')} AS subject_key, {_attribute('attribute')} AS attribute, {_key('value')} AS value_key, subject, value, source, confidence FROM every),
+fact_index AS (SELECT subject_key, attribute, value_key, arg_min(value, (-confidence, coalesce(source, ''), subject, value)) AS value, max(confidence) AS confidence, arg_min(coalesce(source, ''), (-confidence, coalesce(source, ''), subject, value)) AS source, arg_min(subject, (-confidence, coalesce(source, ''), subject, value)) AS subject FROM keyed WHERE subject_key <> '' AND attribute <> '' AND value_key <> '' GROUP BY ALL)"""
+
+
+def _fact_index(spark, d):
+    """Facts of infoboxes, of texts and of triples, by keys."""
+    boxes = infobox_facts(spark, d).select(F.col("doc_id").cast("string").alias("source"), "subject", "attribute", "value")
+    texts = stated_facts(spark, d).select(F.col("chunk_id").alias("source"), "subject", "attribute", "value")
+    triples = load(spark, d, "raw_triples").select(F.col("source_chunk_id").alias("source"), "subject", F.col("predicate").alias("attribute"), F.col("object").alias("value")).distinct()
+    return X.fact_index(boxes, texts.unionByName(triples))
+
+
+@query(f"WITH {_INDEX} SELECT subject_key, attribute, value_key, value, confidence, source FROM fact_index")
+def indexed_facts(spark, d):
+    return _fact_index(spark, d).select("subject_key", "attribute", "value_key", "value", "confidence", "source")
+
+
+_LOOKED_UP = f"""{_INDEX}, {PQ.HINTS}, hinted AS (SELECT DISTINCT answer_id, {_key('subject')} AS subject_key, {_attribute('attribute')} AS attribute FROM hints WHERE subject <> '' AND attribute <> ''),
+answers AS (SELECT DISTINCT answer_id, subject, attribute, value, source, confidence FROM hinted JOIN fact_index USING (subject_key, attribute))"""
+
+
+def _looked_up(spark, d):
+    return X.look_up(PQ.question_hints(spark, d), "answer_id", _fact_index(spark, d))
+
+
+@query(f"WITH {_LOOKED_UP} SELECT answer_id, arg_min(value, (-confidence, attribute, value)) AS value, max(confidence) AS confidence FROM answers GROUP BY answer_id")
+def looked_up_answers(spark, d):
+    """What the fact index answers to attribute questions."""
+    return X.best_fact(_looked_up(spark, d), "answer_id")
+
+
+@query(f"""WITH {_LOOKED_UP}, c AS (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY chunk_id), j AS (SELECT coalesce(chunk_id, 'infobox:' || substr({_key('subject')}, 1, 32) || ':' || attribute) AS chunk_id, chunk_id IS NULL AS made,
+CASE WHEN chunk_id IS NULL THEN subject || ' -- ' || attribute || ': ' || value ELSE text END AS text FROM answers LEFT JOIN c ON source = chunk_id) SELECT chunk_id, made, min(text) AS text FROM j GROUP BY ALL""")
+def answering_chunks(spark, d):
+    """The chunks of those facts, made ones where a fact has none."""
+    return X.fact_chunks(_looked_up(spark, d), load(spark, d, "chunks").select("chunk_id", "text"))
+
+
+@query(f"""WITH {_INDEX}, w AS (SELECT DISTINCT {_key('gold')} AS value FROM ({ONCE}) WHERE answer_id % 100 = 0 AND length({_key('gold')}) >= 3) SELECT DISTINCT w.value, subject_key, attribute FROM w JOIN fact_index f ON contains(' ' || f.value_key || ' ', ' ' || w.value || ' ')""")
+def subjects_by_value(spark, d):
+    """Of what a value is a value: subjects and attributes whose value holds the words of an asked answer. An equi-join
+    on word runs of the lengths that are asked for."""
+    asked = _answers(spark, d).where("answer_id % 100 = 0").select(T.lookup_key(F.col("gold")).alias("value")).where("length(value) >= 3").distinct()
+    lengths = sorted(r[0] for r in asked.select(F.size(F.split("value", " "))).distinct().collect())
+    runs = _fact_index(spark, d).select("subject_key", "attribute", F.explode(E.n_grams(F.col("value_key"), lengths)).alias("value"))
+    return runs.join(asked, "value").select("value", "subject_key", "attribute").distinct()
+
+
 @query(r"""WITH r AS (SELECT DISTINCT response_id, text FROM reader_responses WHERE text IS NOT NULL), p AS (SELECT response_id, regexp_extract(text, '"answer": *"([^"]*)"', 1) AS j, regexp_extract(text, '\*\*Answer: ([^*]+)\*\*', 1) AS m,
 regexp_replace(regexp_extract(regexp_replace(text, '[ \r\n]+$', ''), '([^\r\n]*)$', 1), '\.$', '') AS l FROM r) SELECT response_id, CASE WHEN j <> '' THEN j WHEN m <> '' THEN m ELSE l END AS answer FROM p""")
 def structured_answers(spark, d):
@@ -428,12 +586,12 @@ def answer_runs(spark, d):
     return R.repeats(a, "qid", "answer_id", "answer")
 
 
-_WEIGHT = " + ".join(f"(u >= {c})::INT" for c in M.POISSON)
+_WEIGHT = " + ".join(f"(u >= {c})::INT" for c in ("0.36787944", "0.73575888", "0.9196986", "0.98101184", "0.99634015", "0.99940582"))
 
 
-@query(f"""WITH e AS (SELECT decision, f1, ('0x' || substr(md5(answer_id || ':' || draw), 1, 8))::BIGINT / 4294967296.0 AS u, draw FROM ({ONCE}), (SELECT unnest(range(1, 51)) AS draw) WHERE f1 IS NOT NULL),
-m AS (SELECT decision, draw, sum(({_WEIGHT}) * f1) / sum({_WEIGHT}) AS m FROM e GROUP BY ALL), o AS (SELECT decision, list_sort(list(m)) AS ms FROM m GROUP BY decision), t AS (SELECT decision, avg(f1) AS mean FROM ({ONCE}) GROUP BY decision)
-SELECT decision, round(mean, 6) AS mean, round(ms[2], 6) AS low, round(ms[49], 6) AS high FROM o JOIN t USING (decision)""")
+@query(f"""WITH e AS (SELECT decision, f1, ('0x' || substr(md5(answer_id || ':' || draw), 1, 8))::BIGINT / 4294967296.0 AS u, draw FROM ({ONCE}), (SELECT unnest(range(1, 1001)) AS draw) WHERE f1 IS NOT NULL),
+m AS (SELECT decision, draw, sum(({_WEIGHT}) * f1) / nullif(sum({_WEIGHT}), 0) AS m FROM e GROUP BY ALL), o AS (SELECT decision, list_sort(list(m) FILTER (m IS NOT NULL)) AS ms FROM m GROUP BY decision), t AS (SELECT decision, avg(f1) AS mean FROM ({ONCE}) GROUP BY decision)
+SELECT decision, round(mean, 6) AS mean, round(ms[floor(0.025 * len(ms))::INT + 1], 6) AS low, round(ms[least(floor(0.975 * len(ms))::INT, len(ms) - 1) + 1], 6) AS high FROM o JOIN t USING (decision)""")
 def bootstrap_intervals(spark, d):
     return M.bootstrap(_answers(spark, d), "decision", "answer_id", "f1")
 
@@ -578,4 +736,4 @@ def ensemble_latency(spark, d):
 linked AS (SELECT answer_id, facts FROM grams JOIN facts USING (entity) WHERE length(entity) >= 3 QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY length(entity) DESC, entity) <= 8), n AS (SELECT answer_id, count(*) AS n_entities, sum(facts)::BIGINT AS n_facts FROM linked GROUP BY 1)
 SELECT answer_id, arm, answer, score, coalesce(n_entities, 0) AS n_entities, coalesce(n_facts, 0) AS n_facts FROM chosen LEFT JOIN n USING (answer_id)""")
 def answer_batch(spark, d):
-    return P.answer_batch(load(spark, d, "selective_answers"), load(spark, d, "raw_triples"))
+    return P.answer_batch(load(spark, d, "selective_answers"), load(spark, d, "raw_triples"), load(spark, d, "reader_responses"))
