@@ -13,15 +13,18 @@ ends were stripped which words end and which begin sentences.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodestone.session import cut as keep
+
 #: Texts on which the model is trained, whatever the size of the collection.
 TRAIN_TEXTS = 6000
+#: Words that make up less than this part of all words of their kind have no score of their own.
+RARE = 50_000
 EPOCHS, RATE, PULL = 5, 0.05, 0.02
 
 # Marks, quotation marks and brackets.
@@ -54,6 +57,10 @@ LINE_UNIT = re.compile(r"\s*(?:==+.*==+\s*$|#{1,6}\s|\{\{|\}\}|\|[^\n]*=|[QA]:\s
 LIST_ITEM = re.compile(r"\s*(?:[-*•‣▪–]\s+\S|\d{1,3}[.)]\s+\S|[a-z]\)\s+\S)")
 THAI = re.compile(r"[฀-๿]")
 LETTERS = re.compile(r"[^\W\d_]")
+BEFORE_POINT = re.compile(r"([^\W_][\w'’-]*)\.(?=\s|$)")
+DEVANAGARI, GREEK = re.compile(r"[ऀ-ॿ]"), re.compile(r"[Ͱ-Ͽ]")
+SPAN_MARK = re.compile("[" + re.escape("\"'" + "".join(PAIRS) + "".join(PAIRS.values())) + "]")
+STOPS = re.compile("[" + re.escape(MARKS) + "\u202f\u00a0 ]*")
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -87,7 +94,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 def spans(p: str) -> list[tuple[int, int, str]]:
     """Quotations and brackets of a paragraph: opening, closing, kind. What isn't closed is none."""
     found, stack = [], []
-    for i, c in enumerate(p):
+    for m in SPAN_MARK.finditer(p):
+        i, c = m.start(), m.group()
         if c in '"\'':
             if c == "'":
                 before, after = p[i - 1] if i else " ", p[i + 1] if i + 1 < len(p) else " "
@@ -129,9 +137,9 @@ class Paragraph:
     def __init__(self, p: str, endings: dict[str, float]):
         self.ends, self.starts, self.rows, self.quote = [], [], [], []
         cover = spans(p)
-        devanagari = any("ऀ" <= c <= "ॿ" for c in p)
-        greek = sum("Ͱ" <= c <= "Ͽ" for c in p) > 3
         found = [(m.start(), m.end()) for m in CANDIDATE.finditer(p)]
+        greek = len(GREEK.findall(p)) > 3
+        devanagari = bool(DEVANAGARI.search(p))
         if greek:
             found = sorted(found + [(m.start(), m.end()) for m in GREEK_QUESTION.finditer(p)])
         for s, e in found:
@@ -289,26 +297,71 @@ def _edge(word: str, side: int) -> str:
     return run
 
 
+def edge_counts(texts: list[str]) -> dict[tuple[str, str], list[int]]:
+    """How often words stand at the edges of paragraphs and elsewhere: ``(kind, word) -> [at the edge, elsewhere]``.
+
+    Kinds: ``end`` for words before a point, ``left`` and ``right`` for what stands before and after the blanks of
+    unpunctuated scripts (the edge is there the end and the beginning of a paragraph).
+    """
+    found: dict[tuple[str, str], list[int]] = {}
+
+    def count(kind: str, word: str, edge: bool) -> None:
+        found.setdefault((kind, word), [0, 0])[not edge] += 1
+
+    for t in texts:
+        for a, b, whole in blocks(t):
+            if whole:
+                continue
+            p = t[a:b]
+            for m in BEFORE_POINT.finditer(p):
+                count("end", m.group(1).lower(), m.end() == len(p))
+            if THAI.search(p):
+                p = re.sub(r"\s+", " ", p)
+                words = p.split()
+                first = _edge(words[0], 1)
+                count("left", _edge(words[-1], -1), True)
+                count("right", first, True)
+                if first[:1].isascii() and first[:1].isupper():
+                    count("right", "^", True)
+                for _, _, left, right in _contexts(p):
+                    count("left", left, False)
+                    count("right", right, False)
+    return found
+
+
+def edge_scores(counts: list[tuple[str, str, int, int]]) -> dict[str, dict[str, float]]:
+    """Of each kind the words with their log odds of standing at an edge; of words before points only those that differ
+    from all words together by chance in less than one case of twenty."""
+    out: dict[str, dict[str, float]] = {"end": {}, "left": {}, "right": {}}
+    total = {k: (sum(r[2] for r in counts if r[0] == k), sum(r[3] for r in counts if r[0] == k)) for k in out}
+    for kind, word, edge, other in counts:
+        edges, others = total[kind]
+        if kind == "end":
+            n, share = edge + other, edges / max(1, edges + others)
+            if abs(edge - n * share) >= 2 * np.sqrt(n * share * (1 - share)) > 0:
+                out[kind][word] = float(np.clip(np.log((edge + 0.5) / (n * share + 0.5)), -3, 1))
+        elif edge + other >= 2:
+            out[kind][word] = float(np.log((edge + 0.1) / (edges + 1)) - np.log((other + 0.1) / (others + 1)))
+    return out
+
+
 class Model:
     """Weights of the marks, words that end sentences, and the edges of unpunctuated sentences."""
 
-    def __init__(self) -> None:
+    def __init__(self, counts: list[tuple[str, str, int, int]] | None = None) -> None:
         self.weights = np.array([PRIOR[n] for n in NAMES])
-        self.endings: dict[str, float] = {}
-        self.left: dict[str, float] = {}
-        self.right: dict[str, float] = {}
+        self.counted = counts is not None
+        self._take(counts or [])
+
+    def _take(self, counts: list[tuple[str, str, int, int]]) -> None:
+        scores = edge_scores(counts)
+        self.endings, self.left, self.right = scores["end"], scores["left"], scores["right"]
 
     def train(self, texts: list[str]) -> None:
+        """Fit the weights on some texts; their own edges are counted if those of the collection were not given."""
+        if not self.counted:
+            self._take([(k, w, e, o) for (k, w), (e, o) in edge_counts([t for t in texts if t]).items()])
         paragraphs = [t[a:b] for t in texts if t for a, b, whole in blocks(t) if not whole]
-        final, other = Counter(), Counter()
-        for p in paragraphs:
-            for m in re.finditer(r"([^\W_][\w'’-]*)\.(?=\s|$)", p):
-                (final if m.end() == len(p) else other)[m.group(1).lower()] += 1
-        share = sum(final.values()) / max(1, sum(final.values()) + sum(other.values()))
-        for w in final.keys() | other.keys():
-            n = final[w] + other[w]
-            if n >= 8:
-                self.endings[w] = float(np.clip(np.log((final[w] + 0.5) / (n * share + 0.5)), -3, 1))
         # paragraph ends before another paragraph's beginning are boundaries; marks before commas and figures are none
         rows, labels = [], []
         ended = [p for p in paragraphs if p[-1] in MARKS + CLOSING and not THAI.search(p)]
@@ -329,26 +382,6 @@ class Model:
                 for i in np.array_split(rng.permutation(len(x)), max(1, len(x) // 256)):
                     z = 1 / (1 + np.exp(-np.clip(x[i] @ self.weights, -30, 30)))
                     self.weights -= RATE * (x[i].T @ (z - y[i]) / len(i) + PULL * (self.weights - prior))
-        thai = [re.sub(r"\s+", " ", p) for p in paragraphs if THAI.search(p)]
-        self._train_edges(thai)
-
-    def _train_edges(self, paragraphs: list[str]) -> None:
-        ends, begins, lefts, rights = Counter(), Counter(), Counter(), Counter()
-        for p in paragraphs:
-            words = p.split()
-            ends[_edge(words[-1], -1)] += 1
-            first = _edge(words[0], 1)
-            begins[first] += 1
-            if first[:1].isascii() and first[:1].isupper():
-                begins["^"] += 1
-            for _, _, a, b in _contexts(p):
-                lefts[a] += 1
-                rights[b] += 1
-        for table, edge, anywhere in ((self.left, ends, lefts), (self.right, begins, rights)):
-            total, spaces = sum(edge.values()), sum(anywhere.values())
-            for w in edge.keys() | anywhere.keys():
-                if edge[w] + anywhere[w] >= 2:
-                    table[w] = float(np.log((edge[w] + 0.1) / (total + 1)) - np.log((anywhere[w] + 0.1) / (spaces + 1)))
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
         if not text:
@@ -390,41 +423,57 @@ class Model:
         return [r for r, t in zip(rows, tags) if t]
 
 
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """A model trained on at most TRAIN_TEXTS texts, drawn by hash; a third of them are kept for unpunctuated scripts."""
-    own = docs.where(F.length(F.trim(text)) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    thai = F.col("t").rlike(r"\p{IsThai}")
-    n, n_thai = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(thai.cast("int")), F.lit(0))).first()
-    rows = []
-    for some, of, most in ((own, n, TRAIN_TEXTS * 2 // 3), (own.where(thai), n_thai, TRAIN_TEXTS // 3)):
-        # by the hash of the text, so that copies of one text are drawn together and then count once
-        drawn = some.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, 3 * most / max(of, 1))) + 1)
-        rows += drawn.distinct().orderBy("h").limit(most).collect()
-    model = Model()
-    model.train([r.t for r in rows])
+def count_edges(texts: DataFrame) -> list[tuple[str, str, int, int]]:
+    """``edge_counts`` over all texts (``t``), counted in tasks and summed. Kept are words that make up 1/RARE of all
+    words of their kind or more, RARE at most of each, whatever the size of the collection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = edge_counts(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), *(pa.array([c[i] for c in found.values()], pa.int64()) for i in (0, 1))], names=["kind", "word", "edge", "other"]
+            )
+
+    counts = keep(texts.select("t").mapInArrow(run, "kind string, word string, edge bigint, other bigint").groupBy("kind", "word").agg(F.sum("edge").alias("edge"), F.sum("other").alias("other")))
+    total = counts.groupBy("kind").agg(F.sum(F.col("edge") + F.col("other")).alias("total"))
+    usual = counts.join(F.broadcast(total), "kind").where((F.col("edge") + F.col("other")) * RARE >= F.col("total"))
+    return [(r.kind, r.word, r.edge, r.other) for r in usual.collect()]
+
+
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``t, h`` of the different texts that are not blank, kept in the checkpoint folder."""
+    return keep(docs.where(F.length(F.trim(text)) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).distinct())
+
+
+def fit(texts: DataFrame) -> Model:
+    """A model whose edges are counted over all of ``texts`` (``t, h``) and whose weights are fitted on TRAIN_TEXTS at
+    most, drawn by hash."""
+    model = Model(count_edges(texts))
+    n = texts.count()
+    drawn = texts.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, 3 * TRAIN_TEXTS / max(n, 1))) + 1)
+    model.train([r.t for r in drawn.orderBy("h").limit(TRAIN_TEXTS).collect()])
     return model
 
 
 def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """``doc_id, sent_start, sent_end`` of the sentence units of all documents, in code points.
 
-    Null, empty and blank texts have none; rows that repeat an id and text come out once. An empty table gives no rows;
-    other columns are ignored.
+    Null, empty and blank texts have none; rows that repeat an id and text come out once. A text under several ids is
+    decoded once. An empty table gives no rows; other columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))
+    texts = distinct_texts(docs, text)
+    held = docs.sparkSession.sparkContext.broadcast(model or fit(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, ends = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hashes, starts, ends = [], [], []
+            for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for s, e in held.value.units(t):
-                    ids.append(i)
+                    hashes.append(h)
                     starts.append(s)
                     ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["__id", "sent_start", "sent_end"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["h", "sent_start", "sent_end"])
 
-    kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    # long texts take longer: rows are dealt out by hash, not left as the files hold them
-    own = docs.where(F.length(F.trim(text)) > 0).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    found = own.repartition(F.xxhash64("__id")).mapInArrow(run, f"__id {kind}, sent_start bigint, sent_end bigint")
-    return found.distinct().withColumnRenamed("__id", doc_id)
+    units = texts.select("t", "h").mapInArrow(run, "h bigint, sent_start bigint, sent_end bigint")
+    ids = docs.where(F.length(F.trim(text)) > 0).select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("h")).distinct()
+    return ids.join(units, "h").select(F.col("__id").alias(doc_id), "sent_start", "sent_end").distinct()
