@@ -16,7 +16,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.session import cut
+from lodestone.session import cut, shuffle_width
 
 #: Place of the public rank files unless a caller passes another.
 TOKENIZERS = os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers")
@@ -123,20 +123,24 @@ def _occurrences(docs: DataFrame, key: list[str], text: str) -> DataFrame:
     return full.select(*key, F.posexplode(words(F.col(text))).alias("__pos", "__word"))
 
 
-def dictionary(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``word, n, ids`` of every distinct word of all texts, kept in the checkpoint folder."""
-    counts = _occurrences(docs, [], text).groupBy(F.col("__word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    return cut(counts.withColumn("ids", word_ids(F.col("word"), read_ranks(path))))
+def dictionary(found: DataFrame, path: str | None = None) -> DataFrame:
+    """``word, n, ids`` of every distinct word of the occurrences, kept in the checkpoint folder.
+
+    Folding is much work for few bytes, so the words are dealt over at least as many tasks as there are cores, whatever
+    their size.
+    """
+    counts = found.groupBy(F.col("__word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    spread = counts.repartition(shuffle_width(found.sparkSession), "word")
+    return cut(spread.withColumn("ids", word_ids(F.col("word"), read_ranks(path))))
 
 
-def _with_words(docs: DataFrame, key: list[str], text: str, entries: DataFrame, value: str) -> DataFrame:
+def _with_words(found: DataFrame, key: list[str], entries: DataFrame, value: str) -> DataFrame:
     """Occurrences with ``value`` of their word. Words that make up 1/HOT of all occurrences or more, at most HOT of
     them, are broadcast; the others meet their occurrences by a shuffle in which no word can be hot."""
     total = entries.agg(F.sum("n").alias("t")).select("t").scalar()
     entry = entries.select(F.col("word").alias("__word"), F.col(value).alias("__value"), "n")
     hot = F.broadcast(entry.where(F.col("n") * HOT >= total).drop("n"))
     cold = entry.where(F.col("n") * HOT < total).drop("n")
-    found = _occurrences(docs, key, text)
     return (
         found.join(hot, "__word")
         .select(*key, "__pos", "__value")
@@ -154,20 +158,22 @@ def token_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
     own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     own = own.withColumns({"__h": F.xxhash64("__text"), "__n": F.length("__text")})
     key = ["__id", "__h", "__n"]
-    entries = dictionary(own, "__text", path)
-    found = _with_words(own, key, "__text", entries, "ids")
-    ordered = F.array_sort(F.array_distinct(F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("__value").alias("v")))))
-    full = found.groupBy(*key).agg(F.flatten(F.transform(ordered, lambda x: x["v"])).alias("ids"))
+    found = _occurrences(own, key, "__text")
+    valued = _with_words(found, key, dictionary(found, path), "ids")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("__value").alias("v"))))
+    once = F.filter("o", lambda x, i: (i == 0) | (x["p"] != F.get("o", i - 1)["p"]))  # a repeated row gives each place again
+    ids = valued.groupBy(*key).agg(ordered.alias("o")).select("__id", F.flatten(F.transform(once, lambda x: x["v"])).alias("ids"))
     blank = own.where(F.col("__text").isNull() | (F.length("__text") == 0)).select("__id", F.array().cast("array<int>").alias("ids")).distinct()
-    return full.select("__id", "ids").unionByName(blank).withColumnRenamed("__id", doc_id)
+    return ids.unionByName(blank).withColumnRenamed("__id", doc_id)
 
 
 def token_counts(docs: DataFrame, key: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """``key..., n_tokens bigint`` of all rows, rows with the same key added up; null and empty texts count 0."""
     own = docs.select(*key, F.col(text).alias("__text"))
-    entries = dictionary(own, "__text", path).withColumn("size", F.size("ids").cast("bigint"))
-    found = _with_words(own, key, "__text", entries, "size").select(*key, "__value")
-    return found.unionByName(own.select(*key, F.lit(0).cast("bigint").alias("__value"))).groupBy(*key).agg(F.sum("__value").alias("n_tokens"))
+    found = _occurrences(own, key, "__text")
+    entries = dictionary(found, path).withColumn("size", F.size("ids").cast("bigint"))
+    counted = _with_words(found, key, entries, "size").select(*key, "__value")
+    return counted.unionByName(own.select(*key, F.lit(0).cast("bigint").alias("__value"))).groupBy(*key).agg(F.sum("__value").alias("n_tokens"))
 
 
 def decode_ids(ids: Column, ranks: dict[str, int]) -> Column:
