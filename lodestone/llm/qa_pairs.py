@@ -75,10 +75,11 @@ def _lower_words(text: Column) -> Column:
 
 
 def languages(texts: DataFrame) -> DataFrame:
-    """``text, script, spoken, learned`` of distinct texts: the language by script, by function words and by a word model.
+    """``text, script, spoken, learned`` of the different texts of ``text, planted``: the language by script, by function
+    words and by a word model.
 
-    The word model is naive Bayes over all words of the texts that function words identify, counted over all of them.
-    Null where nothing tells.
+    The word model is naive Bayes over all words of the texts that function words identify, counted over all of them but
+    planted ones. Null where nothing tells.
     """
     script = F.lit(None).cast("string")
     for name in ("zh", "ja", "ko", "ru", "ar", "hi", "el", "th", "he"):
@@ -87,11 +88,11 @@ def languages(texts: DataFrame) -> DataFrame:
     ranked = F.array_sort(F.array(*[F.struct((-n).alias("n"), F.lit(k).alias("k")) for k, n in hits.items()]))
     top, second = F.element_at(ranked, 1), F.element_at(ranked, 2)
     spoken = F.when((top["n"] <= -2) & (top["n"] < second["n"]), top["k"])
-    own = texts.select("text").where("text IS NOT NULL").distinct().withColumn("__w", F.array_distinct(F.transform(_lower_words(F.col("text")), F.lower)))
-    own = keep(own.select("text", "__w", script.alias("script")).withColumn("spoken", spoken))
-    words = own.select("text", "spoken", F.explode("__w").alias("word"))
+    own = texts.where("text IS NOT NULL").groupBy("text").agg(F.min("planted").alias("planted")).withColumn("__w", F.array_distinct(F.transform(_lower_words(F.col("text")), F.lower)))
+    own = keep(own.select("text", "planted", "__w", script.alias("script")).withColumn("spoken", spoken))
+    words = own.select("text", "spoken", "planted", F.explode("__w").alias("word"))
     names = list(FUNCTION_WORDS)
-    counts = words.where("spoken IS NOT NULL").groupBy("word").agg(*[F.sum((F.col("spoken") == k).cast("int")).alias(k) for k in names])
+    counts = words.where("spoken IS NOT NULL AND NOT planted").groupBy("word").agg(*[F.sum((F.col("spoken") == k).cast("int")).alias(k) for k in names])
     counts = counts.select("word", F.array(*[F.log(F.col(k) + 0.1) - F.log(sum((F.col(x) for x in names), F.lit(0.1 * len(names)))) for k in names]).alias("p"))
     scored = words.join(counts, "word").groupBy("text").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("p")[i]).alias(k) for i, k in enumerate(names)])
     best = F.array_sort(F.array(*[F.struct((-F.col(k)).alias("s"), F.lit(k).alias("k")) for k in names]))
@@ -104,7 +105,7 @@ def _ends(texts: DataFrame) -> DataFrame:
     base = F.regexp_replace("text", r"(?:\s*(?:\.\.\.|…|\[\.\.\.\]))+\s*$", "")
     rows = texts.where("text IS NOT NULL").groupBy("text").agg(F.sum((~F.col("planted")).cast("int")).alias("times")).withColumn("base", base)
     rows = rows.withColumn("__tokens", F.regexp_extract_all("base", F.lit(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"), F.lit(0)))
-    words, pairs, longer = endings(rows)
+    words, pairs, longer = endings(rows.where("times > 0"))  # planted texts are cut on purpose
     last, before = F.try_element_at("__tokens", F.lit(-1)), F.try_element_at("__tokens", F.lit(-2))
     shape = F.when(last.rlike(r"^\p{N}+$"), F.concat(F.lit("#"), F.least(F.length(last), F.lit(5)).cast("string"))).otherwise(last)
     context = F.coalesce(F.when(before.rlike(r"^\p{Lu}"), F.lit("N")).otherwise(before), F.lit("^"))
@@ -141,42 +142,66 @@ def _vote(positive: Column | None, negative: Column | None = None) -> Column:
     return vote
 
 
-def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
-    """``pairs`` (``__key, side, question, answer, others``) with one column per labelling function; the columns of each defect."""
-    both = pairs.select(F.explode(F.array("question", "answer")).alias("text"))
-    spoken, ends = languages(both), _ends(pairs.select(F.col("answer").alias("text"), "planted"))
-    phrases = pairs.where("NOT planted").groupBy(_bare(F.col("answer")).alias("bare")).agg(F.approx_count_distinct(_bare(F.col("question"))).alias("asked")).where(F.col("asked") >= SET_PHRASE)
-    q = spoken.select(F.col("text").alias("question"), *(F.col(c).alias(f"q_{c}") for c in ("script", "spoken", "learned")))
-    a = spoken.select(F.col("text").alias("answer"), *(F.col(c).alias(f"a_{c}") for c in ("script", "spoken", "learned")))
-    rows = pairs.withColumn("bare", _bare(F.col("answer"))).join(q, "question", "left").join(a, "answer", "left")
-    rows = rows.join(ends.withColumnRenamed("text", "answer"), "answer", "left").join(phrases, "bare", "left")
-
-    answer, question, bare = F.coalesce("answer", F.lit("")), F.coalesce("question", F.lit("")), F.col("bare")
+def _of_answers(pairs: DataFrame) -> DataFrame:
+    """What can be said of a distinct answer by itself, once for all rows that have it: ``answer`` and columns ``a_...``."""
+    answer = F.col("answer")
+    own = pairs.select("answer").where("answer IS NOT NULL").distinct().withColumns({"a_bare": _bare(answer), "a_low": F.lower("answer")})
     plain = F.regexp_replace(F.regexp_replace(answer, r"<[^<>]{0,40}>", " "), r"[\p{Cf}\p{Cc}\p{Z}\p{P}\p{S}\x{3164}\x{2800}]+", " ")
-    content, asked = F.trim(plain), _bare(question)
-    n_words = F.size(F.filter(F.split(bare, " "), lambda w: w != ""))
-    how_many = asked.rlike(r"^how (?:many|much)|^combien|^wie ?viele?|^cu[aá]nt")
-    quoted = question.rlike(QUOTED)
-    lower_only = F.size(_lower_words(answer)) == 0
-
-    a_set, q_set = F.array_distinct(F.split(bare, " ")), F.array_distinct(F.split(asked, " "))
-    shared = F.size(F.array_intersect(a_set, q_set))
-    added, covered = F.size(a_set) - shared, shared / F.greatest(F.size(q_set), F.lit(1))
-    near = F.when((F.length(bare) <= 400) & (F.length(asked) <= 400), F.levenshtein(bare, asked) / F.greatest(F.length(bare), F.length(asked), F.lit(1)))
-    fuller = F.size(q_set) >= 3
-
-    refusing = F.lit(False)
+    own = own.withColumns({"a_content": F.trim(plain), "a_lower": F.size(_lower_words(answer)), "a_words": F.size(F.filter(F.split("a_bare", " "), lambda w: w != ""))})
+    low = F.col("a_low")
+    # the patterns of refusals need one of these, which is found faster than they are
+    may_refuse = F.lit(False)
+    for sign in ("no", "n't", "n’t", "an't", "an’t", "cant", "unable", "impossible", "insufficient", "refuse", "decline", "sorry", "unanswerable", "na", "n/a"):
+        may_refuse = may_refuse | F.contains(low, F.lit(sign))
+    refusing, refusing_other = F.lit(False), F.lit(False)
     for r in REFUSAL:
-        refusing = refusing | F.lower(answer).rlike(r)
-    refusing_other = F.lit(False)
+        refusing = refusing | low.rlike(r)
     for r in REFUSAL_OTHER:
-        refusing_other = refusing_other | F.lower(answer).rlike(r)
+        refusing_other = refusing_other | low.rlike(r)
     dots = answer.rlike(r"[\p{L}\p{N},](?:\s*(?:\.\.\.|…|\[\.\.\.\]))+\s*$")
-    closed = answer.rlike(r"[.!?。！？।؟][\"'”’»）)\]}」』*\s]*$") & ~dots
-    longer = F.exists("others", lambda o: (F.length(o) > F.length(answer) + 2) & o.startswith(F.regexp_replace(answer, r"(?:\s*(?:\.\.\.|…))+\s*$", "")) & (F.length(answer) >= 8))
+    return own.withColumns({
+        "a_refusing": may_refuse & refusing, "a_refusing_other": refusing_other, "a_dots": dots, "a_yet": low.rlike(YET),
+        "a_closed": answer.rlike(r"[.!?。！？।؟][\"'”’»）)\]}」』*\s]*$") & ~dots,
+        "a_label": F.trim(F.regexp_replace(F.lower("a_content"), f"^(?:{LABELS})$", "")) == "",
+        "a_null": F.lower(F.trim(answer)).rlike(f"^\\W*(?:{NULLS})\\W*$"), "a_none": F.contains(low, F.lit("none")),
+        "a_title": answer.rlike(r"^(?:\p{Lu}\S*\s?)+$"),
+    }).drop("a_low")
+
+
+def _of_questions(pairs: DataFrame) -> DataFrame:
+    """What can be said of a distinct question: ``question`` and columns ``q_...``."""
+    own = pairs.select("question").where("question IS NOT NULL").distinct().withColumn("q_bare", _bare(F.col("question")))
+    return own.withColumns({
+        "q_many": F.col("q_bare").rlike(r"^how (?:many|much)|^combien|^wie ?viele?|^cu[aá]nt"), "q_quoted": F.col("question").rlike(QUOTED), "q_language": F.col("question").rlike(LANGUAGE_NAMES),
+    })
+
+
+def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
+    """``pairs`` (``__key, side, question, answer, others, planted``) with one column per labelling function; the columns of each defect."""
+    both = pairs.select(F.explode(F.array("question", "answer")).alias("text"), "planted")
+    spoken, ends = languages(both), _ends(pairs.select(F.col("answer").alias("text"), "planted"))
+    phrases = pairs.where("NOT planted").groupBy(_bare(F.col("answer")).alias("a_bare")).agg(F.approx_count_distinct(_bare(F.col("question"))).alias("asked")).where(F.col("asked") >= SET_PHRASE)
+    tongue = lambda side, name: spoken.select(F.col("text").alias(name), *(F.col(c).alias(f"{side}_{c}") for c in ("script", "spoken", "learned")))
+    answers = _of_answers(pairs).join(tongue("a", "answer"), "answer", "left").join(ends.withColumnRenamed("text", "answer"), "answer", "left").join(phrases, "a_bare", "left")
+    questions = _of_questions(pairs).join(tongue("q", "question"), "question", "left")
+    rows = pairs.join(questions, "question", "left").join(answers, "answer", "left")
+    flags = [c for c in rows.columns if c in ("q_many", "q_quoted", "q_language", "a_refusing", "a_refusing_other", "a_dots", "a_yet", "a_closed", "a_none", "a_title")]
+    rows = rows.na.fill({c: False for c in flags} | {"a_null": False, "a_label": True, "a_bare": "", "q_bare": "", "a_content": "", "a_lower": 0, "a_words": 0})
+
+    answer, bare, asked = F.coalesce("answer", F.lit("")), F.col("a_bare"), F.col("q_bare")
+    n_words, quoted, language, yet, dots, closed = (F.col(c) for c in ("a_words", "q_quoted", "q_language", "a_yet", "a_dots", "a_closed"))
+    refusing, refusing_other, lower_only = F.col("a_refusing"), F.col("a_refusing_other"), F.col("a_lower") == 0
+    rows = rows.withColumns({"__a": F.array_distinct(F.split(bare, " ")), "__q": F.array_distinct(F.split(asked, " "))}).withColumn("__shared", F.size(F.array_intersect("__a", "__q")))
+    shared = F.col("__shared")
+    added, covered = F.size("__a") - shared, shared / F.greatest(F.size("__q"), F.lit(1))
+    # of long texts only those are measured that share half of the words, and no further than it matters
+    most = F.greatest(F.length(bare), F.length(asked), F.lit(1))
+    alike = (covered >= 0.5) & (F.least(F.length(bare), F.length(asked)) >= 0.8 * most)
+    band = F.expr("levenshtein(a_bare, q_bare, cast(floor(0.2 * greatest(length(a_bare), length(q_bare), 1)) as int))")
+    rows = rows.withColumn("__near", F.when(most <= 400, F.when(F.least(F.length(bare), F.length(asked)) < 0.4 * most, 1.0).otherwise(F.levenshtein(bare, asked) / most)).when(alike, F.when(band >= 0, 0.0).otherwise(1.0)).otherwise(1.0))
+    near, fuller = F.col("__near"), F.size("__q") >= 3
     phrase = F.col("asked").isNotNull()
-    yet = F.lower(answer).rlike(YET)
-    language = question.rlike(LANGUAGE_NAMES)
+    longer = F.exists("others", lambda o: (F.length(o) > F.length(answer) + 2) & o.startswith(F.regexp_replace(answer, r"(?:\s*(?:\.\.\.|…))+\s*$", "")) & (F.length(answer) >= 8))
 
     def differ(kind: str) -> tuple[Column, Column]:
         one, two = F.col(f"q_{kind}"), F.col(f"a_{kind}")
@@ -187,9 +212,9 @@ def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
     latin = F.col("q_script").isNotNull() & F.col("a_script").isNull() & F.col("a_spoken").isNotNull()
     functions = {
         "empty": [
-            _vote(content == "", (n_words >= 2)),
-            _vote(F.trim(F.regexp_replace(F.lower(content), f"^(?:{LABELS})$", "")) == "", F.length(content) > 20),
-            _vote(F.lower(F.trim(answer)).rlike(f"^\\W*(?:{NULLS})\\W*$") & ~(how_many & F.lower(answer).rlike("none")), (n_words >= 1) & ~phrase),
+            _vote(F.col("a_content") == "", (n_words >= 2)),
+            _vote(F.col("a_label"), F.length("a_content") > 20),
+            _vote(F.col("a_null") & ~(F.col("q_many") & F.col("a_none")), (n_words >= 1) & ~phrase),
         ],
         "truncated": [
             _vote(F.col("cut_word") & ~closed, closed),
@@ -203,7 +228,7 @@ def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
             _vote(refusing_other & ~quoted),
             _vote(phrase & (n_words >= 2) & ~lower_only & ~quoted & (F.coalesce(F.col("asked"), F.lit(0)) >= SET_PHRASE), (lower_only & (n_words <= 4)) | (shared >= 3) & ~refusing),
             _vote(None, yet),
-            _vote(None, quoted | (answer.rlike(r"^(?:\p{Lu}\S*\s?)+$") & (n_words >= 2))),
+            _vote(None, quoted | (F.col("a_title") & (n_words >= 2))),
         ],
         "copied_question": [
             _vote(fuller & (covered >= 0.8) & (added <= 1), (covered < 0.5) | (added >= 3)),
@@ -214,7 +239,7 @@ def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
         "other_language": [
             _vote((script | latin) & ~language & ~quoted, F.col("a_script").isNotNull() & (F.col("a_script").eqNullSafe(F.col("q_script")))),
             _vote(differ("spoken")[0] & F.col("a_script").isNull() & ~language & ~quoted, differ("spoken")[1]),
-            _vote(differ("learned")[0] & F.col("a_script").isNull() & (F.size(_lower_words(answer)) >= 2) & ~language & ~quoted, differ("learned")[1]),
+            _vote(differ("learned")[0] & F.col("a_script").isNull() & (F.col("a_lower") >= 2) & ~language & ~quoted, differ("learned")[1]),
             _vote(None, (lower_only & F.col("a_script").isNull()) | language),
         ],
     }
