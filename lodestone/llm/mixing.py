@@ -33,10 +33,10 @@ def _rate(lam: Column, x: Column) -> Column:
 
 
 def solve(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per distinct row of ``targets``: ``mix_id, source, target_share, r, want, have, capacity, reachable, full, q, mean, lam``.
+    """One row per distinct row of ``targets``: ``mix_id, source, target_share, r, want, have, capacity, reachable, full, q, mean, lam, reached``.
 
     ``want`` is the target in tokens, ``have`` the tokens of the source's documents, ``capacity`` what ``max_repeats``
-    copies of them hold. A source that the documents lack has none. Null shares and budgets count as 0, a null or
+    copies of them hold, ``reached`` what the solved rates give. A source that the documents lack has none. Null shares and budgets count as 0, a null or
     negative ``max_repeats`` as 0. Rows of ``sizes`` without a source count in the total only.
     """
     total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).select("t").scalar()
@@ -84,7 +84,17 @@ def solve(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         )
         if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
             break
-    return state.drop("off", "low", "high")
+    # what the solution really reaches: one more pass of the dual's sums, over all rows, those at the bound included
+    rate = _rate(F.col("lam"), F.col("n_tokens") / F.col("mean"))
+    ids = ["mix_id", "source", "target_share", "r", "budget"]
+    got = histogram.join(state, "source").groupBy(*ids).agg(F.sum(F.col("docs") * F.col("n_tokens") * rate).alias("reached"))
+    return cut(state.drop("off", "low", "high").join(got, ids, "left").na.fill({"reached": 0.0}))
+
+
+def unreachable(solved: DataFrame) -> DataFrame:
+    """``mix_id, source`` of the rows whose source cannot reach its share: the solver ended at the bound of the dual, where
+    every document has ``max_repeats`` copies, and the tokens reached there are fewer than wanted."""
+    return solved.where(F.col("full") & (F.col("reached") < F.col("want"))).select("mix_id", "source").distinct()
 
 
 def copies(sizes: DataFrame, solved: DataFrame) -> DataFrame:

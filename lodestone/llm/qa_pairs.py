@@ -326,7 +326,8 @@ def find_defects(df: DataFrame, key: str = "answer_id", question: str = "questio
         defective = [(r.pattern, r.n) for r in counted if r.defect == d and r.planted and r.truth == f"={d}"]
         post = fit_label_model(real + [(p, 0) for p in extra], defective)
         made = [(post[r.pattern], r.truth == f"={d}", r.n) for r in counted if r.defect == d and r.planted and r.truth in (f"={d}", "=none")]
-        rows += [(d, p, x, _cutoff(made)) for p, x in post.items()]
+        cutoff = _cutoff(made)
+        rows += [(d, p, x, cutoff) for p, x in post.items()]
     fitted = df.sparkSession.createDataFrame(rows, "defect string, pattern string, posterior double, cutoff double")
     found = long.where("NOT planted").join(F.broadcast(fitted), ["defect", "pattern"]).where(F.col("posterior") > F.col("cutoff"))
     # an answer that is empty has no other defect, and a refusal stays one in whatever language or form

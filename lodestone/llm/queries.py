@@ -56,7 +56,7 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     solved = mixing.solve(mixing.document_tokens(load(spark, d, "documents")), load(spark, d, "mix_targets"))
-    return solved.where(~F.col("reachable")).select("mix_id", "source").distinct()
+    return mixing.unreachable(solved)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
