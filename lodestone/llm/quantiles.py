@@ -18,10 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lodestone.session import cut as keep
+
 #: Items of a section and sections of a new level; a level holds 2 * SECTION * SECTIONS items.
 SECTION, SECTIONS = 32, 3
-#: Rows that a task groups at a time.
-CHUNK_ROWS = 400_000
+#: Rows that a task groups at a time, and rows of sketches.
+CHUNK_ROWS, CHUNK_SKETCHES = 400_000, 20_000
+#: Rows of partial sketches of one key that a task merges.
+FAN = 512
 
 STATE = "level int, state bigint, section int, sections int, items array<double>"
 
@@ -38,11 +42,6 @@ class Compactor:
     def capacity(self) -> int:
         return 2 * self.section * self.sections
 
-    def absorb(self, other: Compactor) -> None:
-        self.items = np.concatenate([self.items, other.items])
-        self.state |= other.state
-        self.section, self.sections = min(self.section, other.section), max(self.sections, other.sections)
-
     def compact(self, coin: int) -> np.ndarray:
         """What moves to the next level; the rest stays."""
         items = np.sort(self.items)
@@ -151,10 +150,7 @@ def sketch(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return own.mapInArrow(build, schema)
 
 
-def _merged(batches: Iterator[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, list[tuple[int, dict[int, Compactor]]]]:
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
-        return table, []
+def _merged(table: pa.Table, keys: list[str]) -> list[tuple[int, dict[int, Compactor]]]:
     order, starts = _groups(table, keys)
     level, state, section, sections = (table.column(c).to_numpy()[order] for c in ("level", "state", "section", "sections"))
     lists = table.column("items").combine_chunks()
@@ -173,23 +169,68 @@ def _merged(batches: Iterator[pa.RecordBatch], keys: list[str]) -> tuple[pa.Tabl
             levels.setdefault(h, Compactor(np.array([])))
         compress(levels, int(b - a))
         found.append((int(order[a]), levels))
-    return table.select(keys), found
+    return found
 
 
-def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """One sketch per key from any number of partial ones. A key's partial sketches are as many as the partitions or
-    days that it comes from, each of bounded size, so that a task never holds a key's values."""
+def _whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of about CHUNK_SKETCHES rows from rows that are sorted by key, no key in two of them."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < CHUNK_SKETCHES:
+            continue
+        table = pa.Table.from_batches(held)
+        order, starts = _groups(table, keys)
+        group = np.empty(len(order), dtype=np.int64)
+        group[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+        last = int(np.flatnonzero(group == group[-1])[0])
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last).to_batches()
+        rows = table.num_rows - last
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _merge_once(sketches: DataFrame, keys: list[str]) -> DataFrame:
     schema, _ = _schema(sketches, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if batches:
-            table, found = _merged(iter(batches), keys)
-            batch = _emit(table, [(at, h, c) for at, levels in found for h, c in sorted(levels.items()) if len(c.items)], _arrow(schema))
+        for table in _whole_keys((b for b in batches if b.num_rows), keys):
+            found = [(at, h, c) for at, levels in _merged(table, keys) for h, c in sorted(levels.items()) if len(c.items)]
+            batch = _emit(table.select(keys), found, _arrow(schema))
             if batch is not None:
                 yield batch
 
-    return sketches.select(*keys, "level", "state", "section", "sections", "items").repartition(*[F.col(k) for k in keys]).mapInArrow(run, schema)
+    own = sketches.select(*keys, "level", "state", "section", "sections", "items")
+    return own.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """One sketch per key from any number of partial ones, kept in the checkpoint folder.
+
+    Partial sketches of a key merge in a tree: where a key has more than FAN rows they are dealt over lanes of about that
+    many, each lane is merged by a task of its own, and so on until one is left. No task reads more rows of a key than
+    FAN, nor more than CHUNK_SKETCHES rows at a time.
+    """
+    lane = "__lane"
+    held = keep(sketches.select(*keys, "level", "state", "section", "sections", "items"))
+    while True:
+        sizes = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+        most = sizes.agg(F.max("__rows")).first()[0] or 0
+        if most <= FAN:
+            return keep(_merge_once(held, keys))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        crowded = F.broadcast(sizes.where(F.col("__rows") > FAN))  # as many keys as there are FAN rows of sketches at most
+        joined = held.alias("l").join(crowded.alias("r"), same, "left").select("l.*", F.pmod(F.xxhash64("l.items", "l.level"), F.ceil(F.coalesce("__rows", F.lit(1)) / FAN)).cast("int").alias(lane))
+        merged = keep(_merge_once(joined, [*keys, lane]).drop(lane))
+        if (merged.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) >= most:
+            return keep(_merge_once(merged, keys))  # what is left are the levels of few large sketches
+        held = merged
 
 
 def percentiles(merged: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
@@ -233,13 +274,30 @@ def daily_sketches(runs: DataFrame) -> DataFrame:
     return merge(sketch(measured(runs), keys, "value"), keys)
 
 
+#: The scopes of a roll-up, from fine to wide: what each keeps, and the finer scope from which it is merged.
+SCOPES = [
+    {"arm_category": (("arm", "category"), "arm_category_day"), "arm_day": (("arm", "day"), "arm_category_day"), "category_day": (("category", "day"), "arm_category_day")},
+    {"arm": (("arm",), "arm_category"), "category": (("category",), "arm_category"), "day": (("day",), "arm_day")},
+    {"all": ((), "arm")},
+]
+
+
 def rollup(daily: DataFrame) -> DataFrame:
-    """Percentiles by category, arm, day, their pairs and all three, merged from the daily sketches: ``scope, arm, category, day, metric, n, p, value``."""
+    """Percentiles by category, arm, day, their pairs and all three: ``scope, arm, category, day, metric, n, p, value``.
+
+    Every scope is merged from the next finer one, so that the widest reads as many sketches as there are arms.
+    """
     nothing = {"arm": F.lit(None).cast("string"), "category": F.lit(None).cast("string"), "day": F.lit(None).cast("date")}
-    scopes = {"all": (), "category": ("category",), "arm": ("arm",), "day": ("day",), "arm_category": ("arm", "category"), "category_day": ("category", "day"), "arm_day": ("arm", "day"), "arm_category_day": ("arm", "category", "day")}
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), *[(F.col(c) if c in kept else e).alias(c) for c, e in nothing.items()]) for s, kept in scopes.items()])).alias("s")
-    wide = daily.select(each, "metric", "level", "state", "section", "sections", "items").select("s.*", "metric", "level", "state", "section", "sections", "items")
-    keys = ["scope", "arm", "category", "day", "metric"]
-    found = percentiles(merge(wide, keys), keys, PERCENTILES)
+    keys, state = ["scope", "arm", "category", "day", "metric"], ["level", "state", "section", "sections", "items"]
+    finer = daily.withColumn("scope", F.lit("arm_category_day")).select(*keys, *state)
+    out = finer
+    for scopes in SCOPES:
+        into = F.explode(F.array(*[
+            F.struct(F.lit(scope).alias("to"), F.lit(parent).alias("of"), *[(F.col(c) if c in kept else e).alias(c) for c, e in nothing.items()]) for scope, (kept, parent) in scopes.items()
+        ])).alias("s")
+        wide = finer.select(into, "scope", "metric", *state).where("s.of = scope").select(F.col("s.to").alias("scope"), "s.arm", "s.category", "s.day", "metric", *state)
+        finer = merge(wide, keys)
+        out = out.unionByName(finer)
+    found = percentiles(out, keys, PERCENTILES)
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col("percentiles")[i].alias("value")) for i, p in enumerate(PERCENTILES)])).alias("q")
     return found.select(*keys, "n", each).select(*keys, "n", "q.*")
