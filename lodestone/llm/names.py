@@ -31,7 +31,7 @@ EMPTY = "the of at for and in an de du la le der die das el company co ltd limit
 KIND = r"\(\s*(?:film|movie|novel|book|play|song|album|painting|town|city|village|person|company|disambiguation)\s*\)|^\s*(?:the\s+)?(?:town|city|village)\s+of\s"
 # Short forms that are no beginnings of their words.
 SHORT = {
-    "st": "saint", "mt": "mount", "mnt": "mount", "pt": "port", "ft": "fort", "dept": "department", "rly": "railway", "mfg": "manufacturing", "intl": "international", "assn": "association", "govt": "government", "bros": "brothers", "natl": "national", "acad": "academy", "univ": "university", "inst": "institute", "lab": "laboratory", "soc": "society", "assoc": "association", "shipg": "shipping", "prtg": "printing", "brwg": "brewing", "tmbr": "timber",
+    "st": "saint", "mt": "mount", "mnt": "mount", "pt": "port", "ft": "fort", "dept": "department", "intl": "international", "assn": "association", "govt": "government", "bros": "brothers", "natl": "national", "acad": "academy", "univ": "university", "inst": "institute", "lab": "laboratory", "soc": "society", "assoc": "association",
 }
 # Nicknames and the names that they stand for.
 NICKNAMES = {
@@ -63,10 +63,6 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([length(x, y) for x, y in zip(a, b)])
 
 
-def lcs_ratio(a: Column, b: Column) -> Column:
-    return 2 * common_subsequence(a, b) / (F.length(a) + F.length(b))
-
-
 def _nicknames() -> dict[str, list[str]]:
     """The names that each nickname may stand for."""
     found: dict[str, list[str]] = {}
@@ -98,19 +94,27 @@ def parse(names: DataFrame) -> DataFrame:
     return names.select("name", "n", tokens.alias("tokens"))
 
 
+# Strings that are dates or quantities and no names.
+NO_NAME = (
+    r"(?iU)^\W*(?:(?:ca?|circa|approx|about|env|um|rd)\b\.?\s*)?[\p{N}.,/'\s–-]+(?:(?:st|nd|rd|th)\b)?\s*[%€$£]?\s*(?:\p{L}+\.?)?\W*$"
+    r"|^\W*\p{N}{1,2}(?:st|nd|rd|th)?\.?\s+(?:de\s+)?\p{L}+\.?,?\s+(?:de\s+)?\p{N}{1,4}\W*$|^\W*\p{L}+\.?\s+\p{N}{1,2}(?:st|nd|rd|th)?,?\s+\p{N}{3,4}\W*$"
+)
+
+
 def collect_names(*columns: Column | DataFrame) -> DataFrame:
-    """``name, n`` of the distinct strings of one-column tables; strings with digits or without letters are no names."""
+    """``name, n`` of the distinct strings of one-column tables; dates, quantities and strings without letters are no names."""
     every = None
     for c in columns:
         one = c.toDF("name")
         every = one if every is None else every.unionByName(one)
-    return every.where(F.col("name").rlike(r"\p{L}") & ~F.col("name").rlike(r"\p{N}")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    dated = F.col("name").rlike(r"\p{N}") & F.col("name").rlike(NO_NAME)
+    return every.where(F.col("name").rlike(r"\p{L}") & ~dated).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def respell(words: DataFrame, partners: DataFrame) -> DataFrame:
     """``w, usual``: the usual form of misspelt tokens. ``words`` has ``w, spellings, n`` of every token, ``partners``
     the distinct pairs ``w, p`` of tokens that stand in one name."""
-    long = words.where((F.length("w") >= MISSPELT) & ~F.col("w").isin(TITLES + EMPTY))
+    long = words.where((F.length("w") >= MISSPELT) & ~F.col("w").isin(TITLES + EMPTY) & ~F.col("w").rlike(r"\p{N}"))  # numbers are never misspelt
     by_suffix = long.where(F.length("w") > SUFFIX).select("w", F.concat(F.lit("s"), F.substring("w", -SUFFIX, SUFFIX)).alias("key"))
     by_both = long.select("w", F.concat(F.lit("b"), F.substring("w", -2, 2), F.lit("|"), F.substring("w", 1, 1)).alias("key"))
     partner = partners.where((F.length("w") >= MISSPELT) & ~F.col("w").isin(TITLES + EMPTY)).select("w", F.concat(F.lit("p"), F.col("p"), F.lit("|"), F.substring("w", 1, 1)).alias("key"))
@@ -167,10 +171,19 @@ def entities(names: DataFrame) -> DataFrame:
     several = spelt.sparkSession.createDataFrame([(nick, full) for nick, fulls in _nicknames().items() if len(fulls) > 1 for full in fulls], "nick string, long string")
     short = spelt.where((F.length("w") <= 5) | F.col("dot"))
     cores = spelt.where((F.length("w") >= CORE) & ~F.col("dot")).select("name", F.col("w").alias("core"))
+    # the first letter is part of the key, so that a common core does not bring all its partners together; nicknames meet
+    # the names that they stand for
+    asked = short.select("name", "pos", F.col("w").alias("short"), "dot").join(cores, "name")
+    ambiguous = [n for n, f in _nicknames().items() if len(f) > 1]
+    beside_of = beside.withColumnRenamed("w", "long").withColumn("first", F.left("long", F.lit(1)))
+    between = F.concat(F.lit("^"), F.regexp_replace("short", r"(\p{L})(?=\p{L})", "$1.*"), F.lit("$"))
+    clipped = (F.length("short") >= 3) & (F.col("dot") | F.col("short").rlike("^[^aeiou]+$")) & F.regexp_like("long", between)
+    spelt_out = asked.withColumn("first", F.left("short", F.lit(1))).join(beside_of, ["core", "first"]).where(
+        (F.length("long") > F.length("short") + 1) & (F.col("long").startswith(F.col("short")) & ~F.col("long").isin(ambiguous) | clipped)
+    )
+    meant = asked.join(F.broadcast(several), F.col("short") == F.col("nick")).drop("nick").join(beside_of.drop("first"), ["core", "long"])
     options = (
-        short.select("name", "pos", F.col("w").alias("short")).join(cores, "name").join(beside.withColumnRenamed("w", "long"), "core")
-        .join(F.broadcast(several.select("nick", F.col("long").alias("given"))), (F.col("short") == F.col("nick")) & (F.col("long") == F.col("given")), "left")
-        .where((F.col("long").startswith(F.col("short")) & (F.length("long") > F.length("short") + 1) & ~F.col("long").isin([n for n, f in _nicknames().items() if len(f) > 1])) | F.col("nick").isNotNull())
+        spelt_out.select("name", "pos", "core", "long").unionByName(meant.select("name", "pos", "core", "long"))
         .groupBy("name", "pos", "core").agg(F.count_distinct("long").alias("k"), F.min("long").alias("long"))
         .groupBy("name", "pos").agg(F.min(F.struct("k", "long")).alias("o")).select("name", "pos", F.when(F.col("o.k") == 1, F.array("o.long")).alias("longs"))
     )
