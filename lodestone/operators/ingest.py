@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.functions.text import lookup_key
+from lodestone.functions.text import EDGES, lookup_key
+
+
+def _trim(text: Column) -> Column:
+    return F.regexp_replace(text, EDGES, "")
 
 
 def _n_words(text: Column) -> Column:
@@ -15,7 +19,7 @@ def pack_sentences(text: Column, size: int = 400, overlap: int = 50) -> Column:
     """Chunks of whole sentences of up to ``size`` words. A sentence that would overfill a chunk begins the next one,
     which first takes over the last sentences of the finished chunk that together have ``overlap`` words at most. A
     longer sentence stands alone. Null and blank texts have no chunks."""
-    parts = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])[ \t\r\n]+"), lambda s: F.trim(s) != "")
+    parts = F.filter(F.split(_trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])[ \t\r\n]+"), lambda s: _trim(s) != "")
     entries = F.transform(parts, lambda s: F.struct(s.alias("s"), _n_words(s).alias("n")))
     none = F.array().cast("array<struct<s:string,n:int>>")
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["n"])
@@ -38,7 +42,7 @@ def pack_sentences(text: Column, size: int = 400, overlap: int = 50) -> Column:
 
 def pack_paragraphs(text: Column, least: int = 100, most: int = 1500) -> Column:
     """Paragraphs packed while their characters are fewer than ``most``; chunks under ``least`` join their predecessor."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n[ \t\r]*\n"), lambda t: F.trim(t)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n[ \t\r]*\n"), lambda t: _trim(t)), lambda p: p != "")
     empty = F.array().cast("array<string>")
     glue = lambda xs, p: F.concat(F.slice(xs, F.lit(1), F.size(xs) - 1), F.array(F.concat(F.element_at(xs, -1), F.lit("\n\n"), p)))
     packed = F.aggregate(parts, empty, lambda a, p: F.when((F.size(a) > 0) & (F.length(F.try_element_at(a, F.lit(-1))) + F.length(p) < most), glue(a, p)).otherwise(F.concat(a, F.array(p))))

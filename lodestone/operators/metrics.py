@@ -70,3 +70,32 @@ def bootstrap(df: DataFrame, by: str, key: str, value: str, draws: int = 1000, a
     low, high = (F.least(F.floor(p * F.size("ms")), F.size("ms") - 1).cast("int") for p in (alpha / 2, 1 - alpha / 2))
     total = df.groupBy(by).agg(F.avg(value).alias("mean"))
     return ordered.join(total, by).select(by, F.round("mean", 6).alias("mean"), F.round(F.get("ms", low), 6).alias("low"), F.round(F.get("ms", high), 6).alias("high"))
+
+
+def list_recall(found: DataFrame, gold: DataFrame, by: str, item: str, k: int) -> DataFrame:
+    """``by, recall, list_recall``: the share of the different gold items among the first k found ones, and of all gold rows,
+    repeated ones too; null gold lists have no row. ``found`` has ``by, item, rank``, ``gold`` ``by, item``."""
+    top = found.where(F.col("rank") <= k).select(by, item).distinct().withColumn("__hit", F.lit(1))
+    joined = gold.join(top, [by, item], "left")
+    each = joined.groupBy(by, item).agg(F.count(F.lit(1)).alias("rows"), F.max(F.coalesce("__hit", F.lit(0))).alias("hit"))
+    return each.groupBy(by).agg(F.round(F.avg("hit"), 6).alias("recall"), F.round(F.sum(F.col("hit") * F.col("rows")) / F.sum("rows"), 6).alias("list_recall"))
+
+
+def document_recall(found: DataFrame, gold: DataFrame, by: str, doc: str, k: int) -> DataFrame:
+    """``by, recall``: recall of documents: the documents of found chunks are made distinct, at their best rank, before the
+    first k are taken."""
+    best = found.groupBy(by, doc).agg(F.min("rank").alias("rank"))
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("rank", doc)))
+    return list_recall(first, gold.distinct(), by, doc, k).select(by, "recall")
+
+
+def rates(rows: DataFrame, bucket: str, status: str, good: str = "valid") -> DataFrame:
+    """``bucket, n, good, rate``: the share of rows with a good status; rows without a status count, a null bucket is ``unknown``."""
+    return rows.groupBy(F.coalesce(bucket, F.lit("unknown")).alias(bucket)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce((F.col(status) == good).cast("int"), F.lit(0))).alias("good")).withColumn("rate", F.round(F.col("good") / F.col("n"), 6))
+
+
+def faithfulness(rows: DataFrame, score: str, abstains: Column, *by: str) -> DataFrame:
+    """``by, n, n_abstain, inclusive, strict``: the mean score over all answers, where abstentions have 0, and over the others."""
+    own = F.when(abstains, 0.0).otherwise(F.coalesce(score, F.lit(0.0)))
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(abstains.cast("int")).alias("n_abstain"), F.sum(own).alias("__s"))
+    return sums.select(*by, "n", "n_abstain", F.round(F.col("__s") / F.greatest("n", F.lit(1)), 6).alias("inclusive"), F.round(F.col("__s") / F.greatest(F.col("n") - F.col("n_abstain"), F.lit(1)), 6).alias("strict"))

@@ -14,16 +14,18 @@ from lodestone.session import cut
 QUERY_BLOCK, DATA_BLOCK, DOC_BLOCK = 2048, 16384, 4096
 
 
-def exact_top_k(queries: DataFrame, data: DataFrame, k: int, dims: int, group: str | None = None) -> DataFrame:
+def exact_top_k(queries: DataFrame, data: DataFrame, k: int, dims: int, group: str | None = None, same: bool = True) -> DataFrame:
     """``query_id, id, similarity, rank`` of the k rows of ``data`` most similar to each query by cosine.
 
     Both tables have ``id`` and ``vector`` (and ``group``, if rows may only meet their own group). Vectors that are
-    null, of another length or with a null take no part; a row is no neighbour of its own id. Ties go to the smaller
+    null, of another length or with a null take no part; a row is no neighbour of its own id (unless the two tables have ids of their own, not the ``same``). Ties go to the smaller
     id. Every block of queries meets every block of data once, so the work is spread whatever the two sizes are.
     """
     sound = F.col("vector").isNotNull() & (F.size("vector") == dims) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
     keep = ["id", "vector"] + ([group] if group else [])
     # own names for the queries: they may come from the same table as the data
+    if group:  # only equal groups meet: the group is part of the blocks' key
+        sound = sound & F.col(group).isNotNull()
     q, d = queries.where(sound).select(*[F.col(c).alias(f"q_{c}") for c in keep]), data.where(sound).select(*keep)
     n_q, n_d = (int(np.ceil(x.count() / b)) or 1 for x, b in ((q, QUERY_BLOCK), (d, DATA_BLOCK)))
     q = q.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n_q)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
@@ -40,10 +42,8 @@ def exact_top_k(queries: DataFrame, data: DataFrame, k: int, dims: int, group: s
             mine = left.column("q_id").to_numpy()
             for a in range(0, len(x), 256):
                 s = x[a : a + 256] @ y.T
-                s[mine[a : a + 256, None] == ids[None, :]] = -2
-                if group:
-                    g, h = left.column(f"q_{group}").to_numpy(zero_copy_only=False), right.column(group).to_numpy(zero_copy_only=False)[order]
-                    s[g[a : a + 256, None] != h[None, :]] = -2
+                if same:
+                    s[mine[a : a + 256, None] == ids[None, :]] = -2
                 top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
                 v = np.take_along_axis(s, top, axis=1)
                 i, j = np.nonzero(v > -1.5)
@@ -52,7 +52,8 @@ def exact_top_k(queries: DataFrame, data: DataFrame, k: int, dims: int, group: s
                 out_s.append(v[i, j])
         return pa.table({"query_id": pa.array(np.concatenate(out_q), pa.int64()), "id": pa.array(np.concatenate(out_d), pa.int64()), "similarity": pa.array(np.concatenate(out_s), pa.float64())})
 
-    found = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(run, "query_id bigint, id bigint, similarity double")
+    left_key, right_key = (["qb", "db", *([c] if group else [])] for c in (f"q_{group}", group))
+    found = q.groupBy(*left_key).cogroup(d.groupBy(*right_key)).applyInArrow(run, "query_id bigint, id bigint, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -119,6 +120,3 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-
-def reciprocal(rank: Column) -> Column:
-    return 1.0 / rank

@@ -636,13 +636,19 @@ def cited_passages(spark, d):
 # ingestion and index
 
 
-@query()
+@query(r"""WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, text, list_transform(list_filter(string_split(regexp_replace(regexp_replace(text, '^[\x{9}-\x{D}\x{1C}-\x{1F}\x{85}\p{Z}]+|[\x{9}-\x{D}\x{1C}-\x{1F}\x{85}\p{Z}]+$', '', 'g'), '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^[\x{9}-\x{D}\x{1C}-\x{1F}\x{85}\p{Z}]+|[\x{9}-\x{D}\x{1C}-\x{1F}\x{85}\p{Z}]+$', '', 'g') <> ''),
+lambda s: [[{'s': s, 'n': len(list_filter(regexp_split_to_array(s, '[ \t\r\n]+'), lambda w: w <> ''))}]]) AS e FROM d), packed AS (SELECT doc_id, text, list_reduce(e, lambda a, x: CASE WHEN list_sum(list_transform(a[-1], lambda y: y.n)) + x[1][1].n > 400
+THEN list_append(a, list_concat(list_filter(a[-1], lambda y, i: list_sum(list_transform(a[-1][i:], lambda z: z.n)) <= 50), x[1])) ELSE list_append(a[:-2], list_concat(a[-1], x[1])) END) AS c FROM p WHERE len(e) > 0),
+u AS (SELECT doc_id, text AS t, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS pos FROM packed) SELECT doc_id || '#chunk' || pos AS chunk_id, doc_id, pos::INT AS pos, array_to_string(list_transform(c, lambda y: y.s), ' ') AS text FROM u""")
 def sentence_chunks(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text").distinct()
-    return N.chunks(docs, "doc_id", N.pack_sentences(F.col("text"), 40, 5))
+    return N.chunks(docs, "doc_id", N.pack_sentences(F.col("text")))
 
 
-@query()
+@query(r"""WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(regexp_replace(text, '\n[ \t\r]*\n', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^[\x{9}-\x{D}\x{1C}-\x{1F}\x{85}\p{Z}]+|[\x{9}-\x{D}\x{1C}-\x{1F}\x{85}\p{Z}]+$', '', 'g')), lambda s: s <> ''), lambda s: [s]) AS e FROM d),
+packed AS (SELECT doc_id, list_transform(list_reduce(e, lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) < 1500 THEN list_append(a[:-2], a[-1] || chr(10) || chr(10) || x[1]) ELSE list_concat(a, x) END), lambda s: [s]) AS c FROM p WHERE len(e) > 0),
+merged AS (SELECT doc_id, list_reduce(c, lambda a, x: CASE WHEN length(x[1]) < 100 THEN list_append(a[:-2], a[-1] || chr(10) || chr(10) || x[1]) ELSE list_concat(a, x) END) AS c FROM packed),
+u AS (SELECT doc_id, unnest(c) AS text, generate_subscripts(c, 1) - 1 AS pos FROM merged) SELECT doc_id || '#chunk' || pos AS chunk_id, doc_id, pos::INT AS pos, text FROM u""")
 def paragraph_chunks(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text").distinct()
     return N.chunks(docs, "doc_id", N.pack_paragraphs(F.col("text")))
