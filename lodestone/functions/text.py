@@ -5,7 +5,11 @@ Character classes are spelt out, as ``\\b``, ``\\s`` and ``\\w`` differ between
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Articles; and the markers by which each rule knows an answer that says nothing.
 ARTICLES = ["a", "an", "the"]
@@ -121,6 +125,14 @@ def lookup_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}_]+", " "))
 
 
+@F.pandas_udf(StringType())
+def surface_key(text: pd.Series) -> pd.Series:
+    """The ASCII form of a name: compatibility forms taken apart, other characters dropped, punctuation a blank, lower case.
+    There is no built-in for the decomposition, hence an Arrow batch."""
+    ascii_ = text.fillna("").map(lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
+    return ascii_.str.replace(r"[^\w\s]+", " ", regex=True).str.split().str.join(" ").str.lower()
+
+
 def slug(text: Column) -> Column:
     """A name as part of an id: no punctuation, lower case, blanks and hyphens one hyphen; ``unknown`` if nothing is left."""
     s = F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}_\x{9}-\x{D}\p{Z}-]+", "")), r"[\x{9}-\x{D}\p{Z}-]+", "-")

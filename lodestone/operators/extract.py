@@ -98,7 +98,7 @@ def infobox_triples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 body = _template(t)
                 if body is None:
                     continue
-                name, link = re.search(r"\|\s*name\s*=\s*([^\n|]+)", body), _LINK.search(t)
+                name, link = re.search(r"\|\s*name\s*=\s*((?:\[\[[^\]\n]*\]\]|[^\n|])+)", body), _LINK.search(t)
                 subject = (_clean(name.group(1)) if name else "") or (link.group(1) if link else "")
                 if subject:
                     out += [(key, subject, k.strip(), v) for k, raw in _ROW.findall(body) if k.strip() and k.strip().lower() not in LAYOUT and (v := _clean(raw))]

@@ -198,12 +198,13 @@ def aspect_agreement(spark, d):
     return C.aspect_agreement(arms, "answer_id", aspects)
 
 
-@query(f"""WITH r AS (SELECT qid, answer_id, {norm('pred')} AS answer, f1 FROM ({ONCE})), w AS (SELECT *, lag(answer) OVER o AS before, row_number() OVER o AS n FROM r WINDOW o AS (PARTITION BY qid ORDER BY answer_id)),
-f AS (SELECT qid, min(answer_id) AS first_id FROM w WHERE n > 1 AND before = answer AND answer <> '' AND coalesce(f1, 0) >= 0.7 GROUP BY qid) SELECT f.qid, first_id AS "at", answer FROM f JOIN r ON r.qid = f.qid AND answer_id = first_id""")
+@query(f"""WITH {K.ARM_SQL}, r AS (SELECT o.qid, answer_id, {norm('pred')} AS answer, gamma FROM ({ONCE}) o JOIN (SELECT answer_id, gamma FROM signals WHERE arm = 'iter') USING (answer_id)), w AS (SELECT *, lag(answer) OVER o AS before, row_number() OVER o AS n FROM r WINDOW o AS (PARTITION BY qid ORDER BY answer_id)),
+f AS (SELECT qid, min(answer_id) AS first_id FROM w WHERE n > 1 AND before = answer AND answer <> '' AND coalesce(gamma, 0) >= 0.7 GROUP BY qid) SELECT f.qid, first_id AS "at", answer FROM f JOIN r ON r.qid = f.qid AND answer_id = first_id""")
 def converged_answers(spark, d):
-    """Where the reruns of a question repeat an answer; the score of the run stands for gamma."""
-    a = K._answers(spark, d).select("qid", "answer_id", T.normalize_answer(F.col("pred")).alias("answer"), "f1")
-    return R.converged(a, "qid", "answer_id", "answer", "f1")
+    """Where the reruns of a question repeat an answer that stands in the responses."""
+    gamma = K._arms(spark, d).where("arm = 'iter'").select("answer_id", "gamma")
+    a = K._answers(spark, d).select("qid", "answer_id", T.normalize_answer(F.col("pred")).alias("answer")).join(gamma, "answer_id")
+    return R.converged(a, "qid", "answer_id", "answer", "gamma")
 
 
 @query(f"""WITH r AS (SELECT qid, answer_id, {norm('pred')} AS answer FROM ({ONCE})), l AS (SELECT qid, arg_max(answer, answer_id) AS last, count(*) AS n, count(DISTINCT answer) AS distinct FROM r GROUP BY qid)
@@ -270,6 +271,13 @@ def answer_recall(spark, d):
     return M.list_recall(found, gold.join(_mentions(spark, d), "entity").join(places, "chunk_id").select("query_id", "doc"), "query_id", "doc", 5)
 
 
+@query()
+def surface_keys(spark, d):
+    """The ASCII keys of names, accents folded."""
+    names = load(spark, d, "raw_triples").select("subject").distinct()
+    return names.select("subject", T.surface_key("subject").alias("surface"))
+
+
 # corpora, question sets, anchors
 
 

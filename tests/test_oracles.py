@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from conftest import SMALL
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, evidence  # noqa: F401
 
 
 def canonical(rows, columns):
