@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from lodestone.session import cut as keep
+from lodestone.session import cut as keep, shuffle_width
 
 #: Vectors on which the index is fitted, whatever the size of the collection.
 SAMPLE = 16_384
@@ -231,8 +231,9 @@ def similar(
 ) -> DataFrame:
     """``id, neighbour, similarity, rank``: the k most similar other vectors of every vector, or of those with ``queries``.
 
-    Only neighbours with a cosine of ``least`` or more are returned. Ties go to the smaller id. Vectors that are null,
-    of another length, all zero or with NaN take no part; an id that comes several times counts once. Equal vectors
+    Only neighbours with a cosine of ``least`` or more are returned. Ties between different vectors go by the hash
+    of their bytes, among equal vectors to the smaller id. ``probes`` equal to the number of parts makes the search exact.
+    Vectors that are null, of another length, all zero or with NaN take no part; an id that comes several times counts once. Equal vectors
     count each: they are the first neighbours of one another. An empty table gives no rows.
     """
     sound = usable(vectors, key, vector, dims)
@@ -257,7 +258,10 @@ def similar(
         F.when(F.col("cell.block") == F.col("own_block"), F.col("home")).otherwise(-1).alias("home"),
         F.when(F.col("cell.lane") == F.col("own_lane"), F.col("mask")).otherwise(0).alias("mask"),
     ).where("home >= 0 OR mask > 0")
-    found = placed.groupBy("grp", "block", "lane").applyInArrow(_search(k, least, dims), "a bigint, b bigint, s double")
+    # as many partitions as there are cells, so that what a task reads does not grow with the collection
+    counts = _by_group(crowded, group_count(model))
+    width = max(shuffle_width(vectors.sparkSession), sum(b * b for b in counts))
+    found = placed.repartition(width, "grp", "block", "lane").groupBy("grp", "block", "lane").applyInArrow(_search(k, least, dims), "a bigint, b bigint, s double")
     # two classes may meet only once, as a stored row is in one part; k classes are as good as all
     best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
     top = keep(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", "s"))

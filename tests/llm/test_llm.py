@@ -280,3 +280,53 @@ def test_units_cover_everything(spark):
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, SMALL)
     assert df.count() > 0 or name == "p7_found"
+
+
+def test_edges_are_counted_over_all_texts():
+    texts = ["Dr. Lee came. He left.", "Dr. Ray sat.\n\n== Head ==\n\nHe saw Dr. Fox. Then he ate.", ""]
+    counts = sentences.edge_counts(texts)
+    assert counts["end", "dr"] == [0, 3] and counts["end", "left"] == [1, 0] and counts["end", "came"] == [0, 1] and ("end", "head") not in counts
+    scores = sentences.edge_scores([("end", "dr", 0, 60), ("end", "ate", 40, 20), ("end", "rare", 0, 1)])
+    assert scores["end"]["dr"] < -2 < 0 < scores["end"]["ate"] and "rare" not in scores["end"]
+
+
+def test_copies_of_a_text_are_decoded_once(spark):
+    docs = spark.createDataFrame([(1, "One is here. Two is there."), (2, "One is here. Two is there."), (2, "One is here. Two is there."), (3, " "), (4, None)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in sentences.sentence_units(docs).collect()) == [(1, 0, 12), (1, 13, 26), (2, 0, 12), (2, 13, 26)]
+
+
+def test_names_with_digits(spark):
+    strings = ["Apollo 11", "apollo 11", "APOLLO  11.", "Apollo 12", "12 May 1914", "12 may 1914", "May 12, 1914", "13945 inhabitants", "ca. 1958", "4.0 km", "1914", ""]
+    found = names.collect_names(spark.createDataFrame([(s,) for s in strings], "n string"))
+    assert {r.name for r in found.collect()} == {"Apollo 11", "apollo 11", "APOLLO  11.", "Apollo 12"}
+    pairs = {tuple(r) for r in names.variants(names.entities(found)).collect()}
+    assert pairs == {("APOLLO  11.", "Apollo 11"), ("APOLLO  11.", "apollo 11"), ("Apollo 11", "apollo 11")}
+
+
+def test_short_forms_follow_from_the_corpus(spark):
+    strings = ["Marvirokowen Shipping Co.", "Marvirokowen Shipg. Co.", "Gobugafene Printing Co.", "Gobugafene Prtg Co.", "Olvirasten Timber Co.", "Olvirasten Tmbr. Co."]
+    found = {tuple(r) for r in names.variants(names.entities(names.collect_names(spark.createDataFrame([(s,) for s in strings], "n string")))).collect()}
+    assert ("Marvirokowen Shipg. Co.", "Marvirokowen Shipping Co.") in found and ("Olvirasten Timber Co.", "Olvirasten Tmbr. Co.") in found
+    assert ("Gobugafene Printing Co.", "Gobugafene Prtg Co.") in found and len(found) == 3
+
+
+def test_sketches_merge_in_a_tree(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quantiles, "FAN", 24)
+    monkeypatch.setattr(quantiles, "CHUNK_SKETCHES", 50)
+    values = np.random.default_rng(5).lognormal(size=30_000)
+    df = spark.createDataFrame([("hot" if i % 3 else f"k{i % 40}", float(v)) for i, v in enumerate(values)], "k string, v double").repartition(12)
+    got = {r.k: (r.n, r.percentiles) for r in quantiles.percentiles(quantiles.merge(quantiles.sketch(df, ["k"], "v"), ["k"]), ["k"], [0.5, 0.99, 0.999]).collect()}
+    hot = sorted(v for i, v in enumerate(values) if i % 3)
+    assert got["hot"][0] == len(hot) == 20_000 and sum(n for n, _ in got.values()) == 30_000
+    for p, x in zip((0.5, 0.99, 0.999), got["hot"][1]):
+        assert abs(sum(v > x for v in hot) - (1 - p) * len(hot)) <= 0.06 * (1 - p) * len(hot) + 1
+
+
+def test_planted_pairs_stay_out_of_the_counts(spark):
+    rows = [("was the mill old", False), ("der alte Turm und das Tor", False)] + [("los ríos de la tierra y el mar", True)] * 50
+    known = {r.text: r.spoken for r in qa_pairs.languages(spark.createDataFrame(rows, "text string, planted boolean")).collect()}
+    assert known["der alte Turm und das Tor"] == "de" and known["los ríos de la tierra y el mar"] == "es"
+    ends = qa_pairs._ends(spark.createDataFrame([("It was near the mill", True)] * 30 + [("the mill closed", False)], "text string, planted boolean"))
+    assert {r.text for r in ends.collect()} == {"It was near the mill", "the mill closed"} and not any(r.no_end for r in ends.collect())
