@@ -295,12 +295,12 @@ def anchor_centroids(spark, d):
 @query(f"""WITH {_CENTROIDS}, vecs AS (SELECT label, list(value ORDER BY pos) AS c FROM centroids GROUP BY label)
 SELECT e.vec_id, v.label AS anchor FROM embeddings e CROSS JOIN vecs v QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], v.c), 7) DESC, v.label) <= 3""")
 def anchor_top3(spark, d):
-    """Each vector's three nearest anchors. Anchors are the labels, few by their meaning; they travel as one array."""
+    """Each vector's three nearest anchors, in blocks of both, however many anchors there are."""
     e = load(spark, d, "embeddings")
-    c = N.centroids(e, "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v")).select("label", F.transform("v", lambda x: x["value"]).alias("v"))
-    all_of = c.agg(F.collect_list(F.struct("label", "v")).alias("a")).select("a").scalar()
-    near = F.array_sort(F.transform("a", lambda x: F.struct((-F.round(F.aggregate(F.zip_with("embedding", x["v"], lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, t: s + t), 7)).alias("s"), x["label"].alias("label"))))
-    return e.withColumn("a", all_of).select("vec_id", F.explode(F.transform(F.slice(near, 1, 3), lambda x: x["label"])).alias("anchor"))
+    c = N.centroids(e, "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v"))  # as many entries as a vector has
+    anchors = c.select(F.col("label").cast("bigint").alias("id"), F.transform("v", lambda x: x["value"]).alias("vector"))
+    near = S.exact_top_k(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), anchors, 3, 64, same=False)
+    return near.select(F.col("query_id").alias("vec_id"), F.col("id").cast("int").alias("anchor"))
 
 
 _TERMS = "unnest(list_filter(string_split({}, ' '), lambda t: t <> ''))"
