@@ -27,6 +27,8 @@ GRAPH_K = 10
 PART_ROWS, MOST_PARTS = 1024, 512
 #: Parts of a group, and rows of a block within a group.
 GROUP_PARTS, BLOCK = 16, 32_768
+#: Tasks over which few cells are spread.
+MOST_TASKS = 4096
 #: Candidates are taken this far below the least cosine, as they are found in single precision.
 MARGIN = 1e-3
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-5
@@ -258,9 +260,10 @@ def similar(
         F.when(F.col("cell.block") == F.col("own_block"), F.col("home")).otherwise(-1).alias("home"),
         F.when(F.col("cell.lane") == F.col("own_lane"), F.col("mask")).otherwise(0).alias("mask"),
     ).where("home >= 0 OR mask > 0")
-    # as many partitions as there are cells, so that what a task reads does not grow with the collection
-    counts = _by_group(crowded, group_count(model))
-    width = max(shuffle_width(vectors.sparkSession), sum(b * b for b in counts))
+    # at least as many partitions as there are cells, so that what a task reads does not grow with the collection; more
+    # where there are few, so that cells seldom meet in one
+    cells_in_all = sum(b * b for b in _by_group(crowded, group_count(model)))
+    width = max(shuffle_width(vectors.sparkSession), cells_in_all, min(8 * cells_in_all, MOST_TASKS))
     found = placed.repartition(width, "grp", "block", "lane").groupBy("grp", "block", "lane").applyInArrow(_search(k, least, dims), "a bigint, b bigint, s double")
     # two classes may meet only once, as a stored row is in one part; k classes are as good as all
     best = Window.partitionBy("a").orderBy(F.desc("s"), "b")

@@ -218,16 +218,12 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     lane = "__lane"
     held = keep(sketches.select(*keys, "level", "state", "section", "sections", "items"))
     while True:
-        sizes = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-        most = sizes.agg(F.max("__rows")).first()[0] or 0
+        most = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).agg(F.max("__rows")).first()[0] or 0
         if most <= FAN:
             return keep(_merge_once(held, keys))
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        crowded = F.broadcast(sizes.where(F.col("__rows") > FAN))  # as many keys as there are FAN rows of sketches at most
-        joined = held.alias("l").join(crowded.alias("r"), same, "left").select("l.*", F.pmod(F.xxhash64("l.items", "l.level"), F.ceil(F.coalesce("__rows", F.lit(1)) / FAN)).cast("int").alias(lane))
-        merged = keep(_merge_once(joined, [*keys, lane]).drop(lane))
+        lanes = int(np.ceil(most / FAN))  # as many for all keys: keys of few rows only spread
+        dealt = held.withColumn(lane, F.pmod(F.xxhash64("items", "level"), F.lit(lanes)).cast("int"))
+        merged = keep(_merge_once(dealt, [*keys, lane]).drop(lane))
         if (merged.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) >= most:
             return keep(_merge_once(merged, keys))  # what is left are the levels of few large sketches
         held = merged
