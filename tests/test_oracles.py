@@ -35,4 +35,6 @@ def test_same_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_others_run(spark, name):
-    assert catalogue.QUERIES[name](spark, SMALL).count() > 0
+    # none of the few questions of the smallest tables that are asked is a comparison
+    folder = SMALL.replace("sf0.001", "sf0.01") if name == "compared_passages" else SMALL
+    assert catalogue.QUERIES[name](spark, folder).count() > 0
