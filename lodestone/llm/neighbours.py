@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lodestone.session import cut as keep, shuffle_width
 
@@ -27,7 +27,7 @@ GRAPH_K = 10
 PART_ROWS, MOST_PARTS = 1024, 512
 #: Parts of a group, and rows of a block within a group.
 GROUP_PARTS, BLOCK = 16, 32_768
-#: Tasks over which few cells are spread.
+#: Cells up to which each has a partition of its own.
 MOST_TASKS = 4096
 #: Candidates are taken this far below the least cosine, as they are found in single precision.
 MARGIN = 1e-3
@@ -260,17 +260,28 @@ def similar(
         F.when(F.col("cell.block") == F.col("own_block"), F.col("home")).otherwise(-1).alias("home"),
         F.when(F.col("cell.lane") == F.col("own_lane"), F.col("mask")).otherwise(0).alias("mask"),
     ).where("home >= 0 OR mask > 0")
-    # at least as many partitions as there are cells, so that what a task reads does not grow with the collection; more
-    # where there are few, so that cells seldom meet in one
-    cells_in_all = sum(b * b for b in _by_group(crowded, group_count(model)))
-    width = max(shuffle_width(vectors.sparkSession), cells_in_all, min(8 * cells_in_all, MOST_TASKS))
-    found = placed.repartition(width, "grp", "block", "lane").groupBy("grp", "block", "lane").applyInArrow(_search(k, least, dims), "a bigint, b bigint, s double")
+    # every cell has a number of its own, and where they are few one that falls into a partition of its own
+    counts = _by_group(crowded, group_count(model))
+    before = np.cumsum([0] + [c * c for c in counts])
+    width = max(shuffle_width(vectors.sparkSession), int(before[-1]))
+    number = F.element_at(F.array(*[F.lit(int(x)) for x in before[:-1]]), F.col("grp") + 1) + F.col("block") * blocks + F.col("lane")
+    if before[-1] <= MOST_TASKS:
+        number = F.element_at(F.array(*[F.lit(x) for x in _apart(vectors.sparkSession, int(before[-1]), width)]), number + 1)
+    found = placed.withColumn("cell", number.cast("int")).repartition(width, "cell").groupBy("cell").applyInArrow(_search(k, least, dims), "a bigint, b bigint, s double")
     # two classes may meet only once, as a stored row is in one part; k classes are as good as all
     best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
     top = keep(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", "s"))
     return _expand(ids, top, key, k, queries)
 
 
+def _apart(spark: SparkSession, n: int, width: int) -> list[int]:
+    """``n`` numbers that a repartition over ``width`` partitions puts into different ones, as far as that is possible."""
+    slot = F.pmod(F.hash(F.col("id").cast("int")), F.lit(width))
+    found = spark.range(16 * width).groupBy(slot.alias("slot")).agg(F.min("id").alias("id")).orderBy("slot").limit(n).collect()
+    own = [r.id for r in found]
+    return own + [16 * width + i for i in range(n - len(own))]
+
+
 def _by_group(counted: list, groups: int) -> list[int]:
     found = {r.grp: r.blocks for r in counted}
     return [found.get(g, 1) for g in range(groups)]
