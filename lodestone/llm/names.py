@@ -1,9 +1,9 @@
 """Variant spellings of names, linked by suffix blocking and longest-common-subsequence comparison of their tokens.
 
 Names are folded (case, accents, punctuation) and split into tokens. Misspelt tokens find their usual form among the
-tokens with which they share a suffix; a suffix that is too common is first refined by the token's beginning, and
-tokens misspelt at the end meet through the suffixes of the other token of their names. Candidates are compared by
-their longest common subsequence. Initials and abbreviations are spelt out where the rest of the name leaves one
+tokens with which they share a suffix, or a beginning and the other token of their names; a key that is too common is
+refined by what is left of the token without one or two letters, which loses no pair that the comparison would accept.
+Candidates are compared by their longest common subsequence. Initials and abbreviations are spelt out where the rest of the name leaves one
 possibility. Names whose tokens then agree, whatever their order, are one entity; a name that fits several is none.
 """
 
@@ -19,8 +19,8 @@ from lodestone.session import cut as keep
 
 #: Shortest suffix that is indexed, and the tokens that one may bring together before it is refined.
 SUFFIX, COMMON = 4, 200
-#: Shortest token that can be misspelt.
-MISSPELT = 3
+#: Shortest token that can be misspelt, and longest that is refined letter by letter.
+MISSPELT, LONG = 3, 24
 #: Shortest token that can carry a name by itself.
 CORE = 5
 
@@ -111,6 +111,18 @@ def collect_names(*columns: Column | DataFrame) -> DataFrame:
     return every.where(F.col("name").rlike(r"\p{L}") & ~dated).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rests(w: Column) -> Column:
+    """What is left of a token without one letter, or without two of seven or more. Two tokens whose longest common
+    subsequence lacks so few letters of the longer one have a rest in common. Tokens over LONG letters, of which there
+    would be many rests, have the lengths from their own to two more instead, as such pairs differ by two letters at most."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    one = without(w)
+    two = F.when(F.length(w) >= 7, F.flatten(F.transform(one, without))).otherwise(F.array().cast("array<string>"))
+    letters = F.when(F.length(w) <= LONG, F.concat(F.array(w), one, two)).otherwise(F.array().cast("array<string>"))
+    lengths = F.when(F.length(w) >= LONG - 1, F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.length(w) + i).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(letters, lengths))
+
+
 def respell(words: DataFrame, partners: DataFrame) -> DataFrame:
     """``w, usual``: the usual form of misspelt tokens. ``words`` has ``w, spellings, n`` of every token, ``partners``
     the distinct pairs ``w, p`` of tokens that stand in one name."""
@@ -121,9 +133,8 @@ def respell(words: DataFrame, partners: DataFrame) -> DataFrame:
     keys = by_suffix.unionByName(by_both).unionByName(partner)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     sized = keys.join(sizes, "key")
-    # common keys are not dropped but refined by how the token begins
-    fine = F.when(F.col("size") <= COMMON, F.col("key")).otherwise(F.concat("key", F.lit("|"), F.substring("w", 1, 3)))
-    blocks = sized.select("w", fine.alias("key")).distinct()
+    refined = F.transform(rests(F.col("w")), lambda x: F.concat("key", F.lit("|"), x))
+    blocks = sized.select("w", F.explode(F.when(F.col("size") <= COMMON, F.array("key")).otherwise(refined)).alias("key")).distinct()
     facts = long.select("w", "spellings", "n")
     a = blocks.join(facts, "w").select("key", F.col("w").alias("a"), F.struct("spellings", "n", "w").alias("fa"))
     b = blocks.join(facts, "w").select("key", F.col("w").alias("b"), F.struct("spellings", "n", "w").alias("fb"))
@@ -178,13 +189,17 @@ def entities(names: DataFrame) -> DataFrame:
     beside_of = beside.withColumnRenamed("w", "long").withColumn("first", F.left("long", F.lit(1)))
     between = F.concat(F.lit("^"), F.regexp_replace("short", r"(\p{L})(?=\p{L})", "$1.*"), F.lit("$"))
     clipped = (F.length("short") >= 3) & (F.col("dot") | F.col("short").rlike("^[^aeiou]+$")) & F.regexp_like("long", between)
-    spelt_out = asked.withColumn("first", F.left("short", F.lit(1))).join(beside_of, ["core", "first"]).where(
+    wanted = asked.select("short", "dot", "core").distinct()
+    spelt_out = wanted.withColumn("first", F.left("short", F.lit(1))).join(beside_of, ["core", "first"]).where(
         (F.length("long") > F.length("short") + 1) & (F.col("long").startswith(F.col("short")) & ~F.col("long").isin(ambiguous) | clipped)
     )
-    meant = asked.join(F.broadcast(several), F.col("short") == F.col("nick")).drop("nick").join(beside_of.drop("first"), ["core", "long"])
+    meant = wanted.join(F.broadcast(several), F.col("short") == F.col("nick")).drop("nick").join(beside_of.drop("first"), ["core", "long"])
+    meanings = (
+        spelt_out.select("short", "dot", "core", "long").unionByName(meant.select("short", "dot", "core", "long"))
+        .groupBy("short", "dot", "core").agg(F.count_distinct("long").alias("k"), F.min("long").alias("long"))
+    )
     options = (
-        spelt_out.select("name", "pos", "core", "long").unionByName(meant.select("name", "pos", "core", "long"))
-        .groupBy("name", "pos", "core").agg(F.count_distinct("long").alias("k"), F.min("long").alias("long"))
+        asked.join(meanings, ["short", "dot", "core"])
         .groupBy("name", "pos").agg(F.min(F.struct("k", "long")).alias("o")).select("name", "pos", F.when(F.col("o.k") == 1, F.array("o.long")).alias("longs"))
     )
     out = spelt.join(options, ["name", "pos"], "left").groupBy("name").agg(
