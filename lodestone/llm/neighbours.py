@@ -2,7 +2,8 @@
 
 The index is fitted on a bounded sample: its neighbour graph is cut into balanced parts (recursive halving along the
 graph's second eigenvector, with a size constraint), and a small softmax classifier learns each vector's part from the
-parts of its neighbours. Every vector of the collection is stored in its most probable part and looks for neighbours in
+parts of its neighbours. Of a collection that needs more parts than the sample can show, a bounded sample of each part is
+cut and learned in the same way, in the executors, and parts of parts take the place of parts. Every vector of the collection is stored in its most probable part and looks for neighbours in
 its several most probable parts, more of them where there are more parts; candidates are reranked by exact cosine in
 double precision. Equal vectors are one class, looked up once. Parts that split late lie in one group, and a vector
 travels once to each group of its parts. A group with more rows than a block holds is split into blocks that every query
@@ -12,6 +13,7 @@ of the group visits, so none is too large for a task and none is cut short.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ SAMPLE = 16_384
 GRAPH_K = 10
 #: Rows that a part should have, and parts at most (the sample has SAMPLE / MOST_PARTS vectors of each).
 PART_ROWS, MOST_PARTS = 1024, 512
+#: Parts of a part at most, and the sample of a part for each of them.
+MOST_WITHIN, WITHIN_SAMPLE = 64, 64
 #: Parts of a group, and rows of a block within a group.
 GROUP_PARTS, BLOCK = 16, 32_768
 #: Cells up to which each has a partition of its own.
@@ -32,6 +36,44 @@ MOST_TASKS = 4096
 #: Candidates are taken this far below the least cosine, as they are found in single precision.
 MARGIN = 1e-3
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-5
+#: Rows that are routed at a time.
+ROUTED = 2048
+
+
+class Router(NamedTuple):
+    """A linear softmax over parts (``w`` of dims x parts, ``b``), and one within each (``ws`` of parts x dims x within, ``bs``)."""
+
+    w: np.ndarray
+    b: np.ndarray
+    ws: np.ndarray | None = None
+    bs: np.ndarray | None = None
+
+    @property
+    def parts(self) -> int:
+        return self.w.shape[1] * (1 if self.bs is None else self.bs.shape[1])
+
+    def best(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``probes`` most probable parts of each row of ``x``, and the most probable of them. The low bits of a
+        part are its first splits."""
+        first = x @ self.w + self.b
+        if self.bs is None:
+            every = np.argpartition(-first, probes - 1, axis=1)[:, :probes] if probes < first.shape[1] else np.tile(np.arange(first.shape[1]), (len(x), 1))
+            return every, first.argmax(axis=1)
+        outer, within = self.bs.shape
+        first -= np.log(np.exp(first - first.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + first.max(axis=1, keepdims=True)
+        wide = min(outer, probes)
+        seen = np.argpartition(-first, wide - 1, axis=1)[:, :wide] if wide < outer else np.tile(np.arange(outer), (len(x), 1))
+        joint = np.empty((len(x), wide, within), dtype=np.float32)
+        for p in np.unique(seen):
+            i, j = np.nonzero(seen == p)
+            z = x[i] @ self.ws[p] + self.bs[p]
+            z -= z.max(axis=1, keepdims=True)
+            joint[i, j] = z - np.log(np.exp(z).sum(axis=1, keepdims=True)) + first[i, p][:, None]
+        joint = joint.reshape(len(x), -1)
+        ids = (seen[:, :, None] + outer * np.arange(within)).reshape(len(x), -1)
+        top = np.argpartition(-joint, probes - 1, axis=1)[:, :probes] if probes < joint.shape[1] else np.tile(np.arange(joint.shape[1]), (len(x), 1))
+        n = np.arange(len(x))
+        return ids[n[:, None], top], ids[n, joint.argmax(axis=1)]
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
@@ -144,48 +186,92 @@ def train(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int) -> tup
     return w, b
 
 
-def fit(vectors: DataFrame, dims: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The classifier, from a sample of at most SAMPLE rows of ``vectors`` (``__cls``, ``__v``) drawn by hash."""
-    parts = 1
-    while parts < MOST_PARTS and parts * PART_ROWS * 2 <= n:
-        parts *= 2
+def fit(vectors: DataFrame, dims: int, n: int) -> Router:
+    """The classifier, from a sample of at most SAMPLE rows of ``vectors`` (``__cls``, ``__v``) drawn by hash, and of at
+    most WITHIN_SAMPLE rows for each part of a part."""
+    wanted = 1
+    while wanted < MOST_PARTS * MOST_WITHIN and wanted * PART_ROWS * 2 <= n:
+        wanted *= 2
+    parts = min(wanted, MOST_PARTS)
     if parts == 1:
-        return np.zeros((dims, 1), dtype=np.float32), np.zeros(1, dtype=np.float32)
-    rows = vectors.where(F.pmod(F.xxhash64("__cls", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.1 * SAMPLE / n))).limit(SAMPLE).toArrow()
+        return Router(np.zeros((dims, 1), dtype=np.float32), np.zeros(1, dtype=np.float32))
+    rows = vectors.where(_drawn(7, SAMPLE, n)).limit(SAMPLE).toArrow()
     x = _matrix(rows.column("__v"), dims)
     graph = neighbour_graph(x, GRAPH_K)
-    return train(x, graph, balanced_parts(x, graph, parts), parts)
+    outer = Router(*train(x, graph, balanced_parts(x, graph, parts), parts))
+    return outer if wanted == parts else _fit_within(vectors, dims, n, outer, wanted // parts)
 
 
-def route(vectors: DataFrame, model: tuple[np.ndarray, np.ndarray], dims: int, probes: int) -> DataFrame:
+def _drawn(salt: int, rows: int, n: int) -> Column:
+    """True for about ``rows`` of ``n`` classes and a tenth more, by hash."""
+    return (F.xxhash64("__cls", F.lit(salt)).cast("double") / 2.0**63 + 1) / 2 < 1.1 * rows / n
+
+
+def _fit_within(vectors: DataFrame, dims: int, n: int, outer: Router, within: int) -> Router:
+    """A classifier within each part, fitted where the part's sample is; no sample is larger than ``bound``."""
+    parts, bound = outer.parts, WITHIN_SAMPLE * within
+    held = vectors.sparkSession.sparkContext.broadcast(outer)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROUTED):
+                some = batch.slice(a, ROUTED)
+                part = held.value.best(_matrix(some.column(1), dims), 1)[1]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(part.astype(np.int32))], names=["__cls", "__v", "part"])
+
+    def learn(t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("__v"), dims)
+        w, b = np.zeros((dims, within), dtype=np.float32), np.full(within, -30, dtype=np.float32)
+        b[0] = 0  # a part of few vectors stays whole
+        if len(x) >= 2 * within and len(x) > GRAPH_K:
+            graph = neighbour_graph(x, GRAPH_K)
+            # the vectors of a part lie in one direction; what is left beside it tells its parts
+            centre = x.mean(axis=0)
+            beside = x - centre
+            scale = np.linalg.norm(beside, axis=1).mean() + 1e-9
+            w, b = train(beside / scale, graph, balanced_parts(x, graph, within), within)
+            w = w / scale
+            b = b - centre @ w
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "w": [w.astype(np.float32).tobytes()], "b": [b.astype(np.float32).tobytes()]})
+
+    sample = vectors.where(_drawn(11, parts * bound, n)).select("__cls", "__v").mapInArrow(place, "__cls bigint, __v binary, part int")
+    first = Window.partitionBy("part").orderBy(F.xxhash64("__cls", F.lit(11)), "__cls")
+    few = sample.withColumn("r", F.row_number().over(first)).where(F.col("r") <= bound).select("part", "__v")
+    ws, bs = np.zeros((parts, dims, within), dtype=np.float32), np.tile(np.where(np.arange(within) > 0, -30, 0).astype(np.float32), (parts, 1))
+    for r in few.groupBy("part").applyInArrow(learn, "part int, w binary, b binary").collect():  # a row for each of MOST_PARTS parts
+        ws[r.part], bs[r.part] = np.frombuffer(r.w, np.float32).reshape(dims, within), np.frombuffer(r.b, np.float32)
+    return outer._replace(ws=ws, bs=bs)
+
+
+def route(vectors: DataFrame, model: Router, dims: int, probes: int) -> DataFrame:
     """``__cls, __v, grp, home, mask`` of ``vectors`` (``__cls, __v, asked``): one row per vector and group of parts that
     it is stored in or asks. ``home`` is its own part within the group, -1 in other groups; the bits of ``mask`` are the
     parts of the group that it asks, of its ``probes`` most probable ones."""
     held = vectors.sparkSession.sparkContext.broadcast(model)
-    probes = min(probes, model[0].shape[1])
-    groups = group_count(model)
+    probes, groups = min(probes, model.parts), group_count(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = held.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = _matrix(batch.column("__v"), dims) @ w + b
-            n, best = np.arange(len(z)), z.argmax(axis=1)
-            top = np.argpartition(-z, probes - 1, axis=1)[:, :probes] if probes < z.shape[1] else np.tile(np.arange(z.shape[1]), (len(z), 1))
-            mask = np.zeros((len(z), groups), dtype=np.int32)
-            np.add.at(mask, (n[:, None], top % groups), 1 << (top // groups).astype(np.int32))  # the low bits of a part are its first splits
-            mask[~batch.column("asked").to_numpy(zero_copy_only=False).astype(bool)] = 0
-            home = np.full((len(z), groups), -1, dtype=np.int32)
-            home[n, best % groups] = best // groups
-            i, g = np.nonzero((mask > 0) | (home >= 0))
-            yield pa.RecordBatch.from_arrays([batch.column("__cls").take(pa.array(i)), batch.column("__v").take(pa.array(i)), pa.array(g.astype(np.int32)), pa.array(home[i, g]), pa.array(mask[i, g])], names=["__cls", "__v", "grp", "home", "mask"])
+            for a in range(0, batch.num_rows, ROUTED):
+                some = batch.slice(a, ROUTED)
+                top, best = held.value.best(_matrix(some.column("__v"), dims), probes)
+                n, asked = np.arange(len(best)), some.column("asked").to_numpy(zero_copy_only=False).astype(bool)
+                key = (n[:, None] * groups + top % groups).ravel()
+                order = np.argsort(key, kind="stable")
+                key, start = np.unique(key[order], return_index=True)
+                mask = np.bitwise_or.reduceat((1 << (top // groups)).ravel()[order], start)
+                i, g = key // groups, key % groups
+                mask = np.where(asked[i], mask, 0).astype(np.int32)
+                home = np.where(best[i] % groups == g, best[i] // groups, -1).astype(np.int32)
+                sent = (mask > 0) | (home >= 0)
+                i, g, home, mask = i[sent], g[sent], home[sent], mask[sent]
+                yield pa.RecordBatch.from_arrays([some.column("__cls").take(pa.array(i)), some.column("__v").take(pa.array(i)), pa.array(g.astype(np.int32)), pa.array(home), pa.array(mask)], names=["__cls", "__v", "grp", "home", "mask"])
 
     return vectors.select("__cls", "__v", "asked").mapInArrow(run, "__cls bigint, __v binary, grp int, home int, mask int")
 
 
-def group_count(model: tuple[np.ndarray, np.ndarray]) -> int:
-    return max(1, model[0].shape[1] // GROUP_PARTS)
+def group_count(model: Router) -> int:
+    return max(1, model.parts // GROUP_PARTS)
 
 
 def _best(a: np.ndarray, b: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,9 +335,9 @@ def similar(
         asked = member.join(wanted, "__cls", "left").withColumn("asked", F.col("asked").isNotNull())
     # a row is stored in one block of a group and visits all blocks; the queries of a crowded group are dealt over as
     # many lanes, each with all of the data
-    rows = route(asked, model, dims, probed(probes, model[0].shape[1]))
+    rows = route(asked, model, dims, probed(probes, model.parts))
     stored = route(member.withColumn("asked", F.lit(False)), model, dims, 1)
-    crowded = stored.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).collect()  # MOST_PARTS / GROUP_PARTS rows at most
+    crowded = stored.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).collect()  # MOST_PARTS * MOST_WITHIN / GROUP_PARTS rows at most
     blocks = F.element_at(F.array(*[F.lit(b) for b in _by_group(crowded, group_count(model))]), F.col("grp") + 1)
     own = {c: F.pmod(F.xxhash64("__cls", F.lit(salt)), blocks).cast("int") for c, salt in (("block", 5), ("lane", 3))}
     cells = F.transform(F.sequence(F.lit(0), blocks * blocks - 1), lambda c: F.struct(F.floor(c / blocks).cast("int").alias("block"), (c % blocks).cast("int").alias("lane")))

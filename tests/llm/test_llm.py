@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from lodestone.llm import mixing, names, neighbours, qa_pairs, quantiles, queries, sentences, tokens, truncation
+from lodestone.session import cut as keep
 
 WORD_LISTS = ["plain words here", "it's I'll we've", "  two  blanks\n\n\ttabs ", "数字123と漢字。", "naïve café ŒUVRE", "<|endoftext|> is text", "a" * 400, "👍🏽 emoji 👩‍👩‍👧", "สวัสดีครับ", "x y　z", "١٢٣ ½ ²", "\r\n", " "]
 
@@ -157,6 +158,35 @@ def test_crowded_groups_lose_nothing(spark, monkeypatch):
     assert got == {(i, r + 1): n for i in range(0, 500, 10) for r, n in enumerate(np.argsort(-s[i])[:5])}
 
 
+def test_parts_of_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(400, 16))
+    x = (np.repeat(centres, 10, axis=0) + 0.2 * rng.normal(size=(4000, 16))).astype(np.float32)
+    x[:1300] = (centres[0] + 0.5 * rng.normal(size=(1300, 16))).astype(np.float32)  # a third of all rows lies together
+    df = keep(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    true = {(i, n) for i in range(len(x)) for n in np.argsort(-s[i])[:10] if s[i, n] >= 0.85}
+    monkeypatch.setattr(neighbours, "PART_ROWS", 32)
+    monkeypatch.setattr(neighbours, "MOST_PARTS", 8)
+    monkeypatch.setattr(neighbours, "BLOCK", 700)
+    member = neighbours.usable(df, "vec_id", "embedding", 16)
+    model = neighbours.fit(member, 16, len(x))
+    assert model.w.shape == (16, 8) and model.ws.shape == (8, 16, 8) and model.parts == 64
+    assert np.bincount(model.best(unit.astype(np.float32), 1)[1], minlength=64).max() < 800
+    share = {}
+    for most in (8, 64):  # two levels, and one
+        monkeypatch.setattr(neighbours, "MOST_PARTS", most)
+        found = {(r.id, r.neighbour) for r in neighbours.similar(df, "vec_id", "embedding", 16, k=10, least=0.85, probes=queries.P1_PROBES).collect()}
+        assert all(s[i, n] >= 0.85 for i, n in found)
+        share[most] = len(true & found) / len(true)
+    assert share[8] >= 0.93 and share[8] >= share[64] - 0.03
+    monkeypatch.setattr(neighbours, "MOST_PARTS", 8)
+    every = {(r.id, r.neighbour) for r in neighbours.similar(df, "vec_id", "embedding", 16, k=10, least=0.85, probes=64).collect()}
+    assert every == true
+
+
 def test_learned_parts_are_balanced_and_found():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
@@ -223,6 +253,29 @@ def test_defects_on_made_pairs(spark):
 # 4
 
 
+def test_common_keys_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    letters = list("abdeilmnorst")
+    base = {"".join(rng.choice(letters, size=int(rng.integers(4, 26)))) + "burg" for _ in range(60)}
+    words = set(base)
+    for w in base:
+        for edits in (1, 2):
+            v = list(w)
+            for _ in range(edits):
+                i, how = int(rng.integers(0, len(v))), int(rng.integers(0, 3))
+                v[i : i + 1] = [[], [v[i], "x"], ["x"]][how]
+            words.add("".join(v))
+    rows = [(w, 9 if w in base else 1, 9) for w in sorted(words)]
+    df = keep(spark.createDataFrame(rows, "w string, spellings bigint, n bigint"))
+    none = spark.createDataFrame([], "w string, p string")
+    got = []
+    for common in (10**6, 1):
+        monkeypatch.setattr(names, "COMMON", common)
+        got.append({tuple(r) for r in names.respell(df, none).collect()})
+    assert got[0] == got[1] and len(got[0]) > 60
+    assert {r[0] for r in spark.createDataFrame([("abc",)], "w string").select(F.explode(names.rests(F.col("w")))).collect()} == {"abc", "bc", "ac", "ab"}
+
+
 def test_variants_link_and_relatives_do_not(spark):
     groups = [
         ["Eleanor Vaburofenku", "Eleanor Vaburofenku ", "ELEANOR VABUROFENKU", "Nell Vaburofenku", "Vaburofenku, Eleanor", "E. Vaburofenku", "Eleanor Vabrofenku", "Dr. Eleanor Vaburofenku", "Eleanor Vaburo fenku"],
