@@ -184,7 +184,7 @@ def entities(names: DataFrame) -> DataFrame:
     cores = spelt.where((F.length("w") >= CORE) & ~F.col("dot")).select("name", F.col("w").alias("core"))
     # the first letter is part of the key, so that a common core does not bring all its partners together; nicknames meet
     # the names that they stand for
-    asked = short.select("name", "pos", F.col("w").alias("short"), "dot").join(cores, "name")
+    asked = keep(short.select("name", "pos", F.col("w").alias("short"), "dot").join(cores, "name"))
     ambiguous = [n for n, f in _nicknames().items() if len(f) > 1]
     beside_of = beside.withColumnRenamed("w", "long").withColumn("first", F.left("long", F.lit(1)))
     between = F.concat(F.lit("^"), F.regexp_replace("short", r"(\p{L})(?=\p{L})", "$1.*"), F.lit("$"))
