@@ -10,6 +10,8 @@ from lodestone.session import cut
 SALTS = 16
 #: Edges of a node in one salt of PageRank; rounds after which ranks must have settled.
 EDGES_PER_SALT, MOST_ROUNDS = 1000, 500
+#: Paths that meet a node's edges in one salt.
+PATHS_PER_SALT = 256
 
 
 def edges(triples: DataFrame) -> DataFrame:
@@ -132,29 +134,45 @@ def predicates_between(e: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("a", "b").distinct().join(both, ["a", "b"]).select("a", "b", "predicate", "forward").distinct()
 
 
-def reach(e: DataFrame, sources: DataFrame, hops: int = 2, k: int = 10, least: float = 0.0) -> DataFrame:
-    """``source, node, rank, confidence, path``: the k nodes that each source (``source``) reaches best within ``hops``.
+def onward(last: DataFrame, near: DataFrame) -> DataFrame:
+    """Each path (``source, node``) of ``last`` with each edge (``from``) of ``near`` at its end. Where more than
+    ``PATHS_PER_SALT`` paths reach a node, its edges are repeated once per so many paths; all others travel once."""
+    hubs = last.groupBy("node").agg(F.count(F.lit(1)).alias("paths")).where(F.col("paths") > PATHS_PER_SALT).select("node", F.ceil(F.col("paths") / PATHS_PER_SALT).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    paths = last.join(hubs, "node", "left").withColumn("salt", F.pmod(F.xxhash64("source"), salts).cast("int")).drop("salts")
+    held = near.join(hubs.withColumnRenamed("node", "from"), "from", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return paths.join(held, (paths.node == held["from"]) & (paths.salt == held.salt)).drop("salt", "from")
+
+
+def reach(e: DataFrame, sources: DataFrame, hops: int = 2, k: int = 10, least: float = 0.0, paths: bool = True) -> DataFrame:
+    """``source, node, rank, confidence, path``: the k nodes that each source (``source``) reaches best within ``hops``;
+    without ``path`` if no ``paths`` are asked for, which then don't travel either.
 
     A path's confidence is the product of its edges' ones; a node counts by its best path, then by fewer hops, then by
     name. The k best after each hop hold every node over which a better one can be reached, and 2k + 1 edges of a node
-    all continuations: both cuts are exact. Nodes are dealt over salts against hubs that many paths reach.
+    all continuations: both cuts are exact. Hubs that many paths reach are dealt over salts.
     """
     both = pairs(e)
     ends = both.select(F.col("a").alias("from"), F.col("b").alias("to"), "confidence").unionByName(both.select(F.col("b").alias("from"), F.col("a").alias("to"), "confidence"))
     near = ends.withColumn("r", F.row_number().over(Window.partitionBy("from").orderBy(F.desc("confidence"), "to"))).where(F.col("r") <= 2 * k + 1)
-    near = cut(near.select("from", "to", F.col("confidence").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    near = cut(near.select("from", "to", F.col("confidence").alias("c")))
     known = ends.select(F.col("from").alias("source")).distinct()
-    best = Window.partitionBy("source").orderBy(F.desc("confidence"), "hops", "node")
-    kept = sources.select("source").distinct().join(known, "source", "left_semi").select("source", F.col("source").alias("node"), F.lit(1.0).alias("confidence"), F.lit(0).alias("hops"), F.array("source").alias("path"))
+    best, way = Window.partitionBy("source").orderBy(F.desc("confidence"), "hops", "node"), ["path"] if paths else []
+    kept = sources.select("source").distinct().join(known, "source", "left_semi").select("source", F.col("source").alias("node"), F.lit(1.0).alias("confidence"), F.lit(0).alias("hops"), *[F.array("source").alias(c) for c in way])
     for hop in range(hops):
-        last = kept.where(F.col("hops") == hop).withColumn("salt", F.pmod(F.xxhash64("source", "node"), F.lit(SALTS)).cast("int"))
-        longer = last.join(near, (last.node == near["from"]) & (last.salt == near.salt)).select(
-            "source", F.col("to").alias("node"), (F.col("confidence") * F.col("c")).alias("confidence"), F.lit(hop + 1).alias("hops"), F.array_append("path", F.col("to")).alias("path")
-        )
-        every = kept.unionByName(longer.where((F.col("confidence") >= least) & (F.col("node") != F.col("source"))))
-        one = every.groupBy("source", "node").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "hops", "path")).alias("b")).select("source", "node", (-F.col("b.c")).alias("confidence"), "b.hops", "b.path")
+        last = kept.where(F.col("hops") == hop)
+        longer = onward(last, near).select("source", F.col("to").alias("node"), (F.col("confidence") * F.col("c")).alias("confidence"), F.lit(hop + 1).alias("hops"), *[F.array_append(c, F.col("to")).alias(c) for c in way])
+        longer = longer.where((F.col("confidence") >= least) & (F.col("node") != F.col("source")))
+        if paths:
+            one = kept.unionByName(longer).groupBy("source", "node").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "hops", "path")).alias("b")).select("source", "node", (-F.col("b.c")).alias("confidence"), "b.hops", "b.path")
+        else:  # a node is kept once, with fewer hops than any new way to it, so plain maxima suffice
+            none = F.lit(None)
+            every = kept.select("source", "node", F.col("confidence").alias("old"), F.col("hops").alias("before"), none.cast("double").alias("new")).unionByName(longer.select("source", "node", none.cast("double").alias("old"), none.cast("int").alias("before"), F.col("confidence").alias("new")))
+            one = every.groupBy("source", "node").agg(F.max("old").alias("old"), F.max("before").alias("before"), F.max("new").alias("new"))
+            stays = F.col("new").isNull() | (F.col("old") >= F.col("new"))
+            one = one.select("source", "node", F.when(stays, F.col("old")).otherwise(F.col("new")).alias("confidence"), F.when(stays, F.col("before")).otherwise(hop + 1).alias("hops"))
         kept = cut(one.withColumn("r", F.row_number().over(best)).where((F.col("r") <= k + 1)).drop("r"))
-    return kept.where("node <> source").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("source", "node", "rank", "confidence", "path")
+    return kept.where("node <> source").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("source", "node", "rank", "confidence", *way)
 
 
 def path_evidence(e: DataFrame, paths: DataFrame, key: str) -> DataFrame:

@@ -62,9 +62,9 @@ m AS (SELECT DISTINCT {key('name')} AS entity, chunk_id FROM (SELECT chunk_id, u
 r AS (SELECT query_id, doc, b.score + CASE WHEN s.doc IS NULL THEN 0 ELSE 2.0 END AS score FROM b LEFT JOIN s USING (query_id, doc)) SELECT query_id, doc, round(score + 1e-7, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc) AS rank FROM r""")
 def neighbourhood_rerank(spark, d):
     """BM25 candidates whose document mentions what the question's entities reach within two hops (200 at most each) move up."""
-    ranked = K.bm25_top_k(spark, d)
+    ranked = cut(K.bm25_top_k(spark, d))
     links = cut(K.entity_links(spark, d).where("answer_id % 100 = 0").select(F.col("answer_id").alias("query_id"), "entity"))
-    near = G.reach(K._edges(spark, d), links.select(F.col("entity").alias("source")), 2, 200).select(F.col("source").alias("entity"), "node")
+    near = G.reach(K._edges(spark, d), links.select(F.col("entity").alias("source")), 2, 200, paths=False).select(F.col("source").alias("entity"), "node")
     hood = links.join(near, "entity").select("query_id", F.col("node").alias("entity")).unionByName(links).distinct()
     places = load(spark, d, "chunks").select("chunk_id", F.col("doc_id").alias("doc")).distinct()
     of_candidates = ranked.select("query_id", "doc").join(places, "doc").join(_mentions(spark, d), "chunk_id").select("query_id", "doc", "entity").distinct()

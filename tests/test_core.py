@@ -358,6 +358,20 @@ def test_reach_against_brute_force(spark):
     assert "nowhere" not in got
 
 
+def test_reach_without_paths_and_salts(spark, monkeypatch):
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(30)]
+    rows = [(a, "r", b, "c", rng.choice([1.0, 0.9, 0.7, 0.5])) for a in names for b in ["hub", *rng.sample(names, 2)] if a != b]
+    e, src = spark.createDataFrame(rows, "subject string, predicate string, object string, chunk string, confidence double"), spark.createDataFrame([(n,) for n in names], "source string")
+    show = lambda df: {(r.source, r["rank"]): (r.node, round(r.confidence, 9)) for r in df.collect()}
+    kept, cuts = G.cut, []
+    want = show(G.reach(e, src, 3, 6))
+    monkeypatch.setattr(G, "PATHS_PER_SALT", 3)
+    monkeypatch.setattr(G, "cut", lambda df: cuts.append(kept(df)) or cuts[-1])
+    assert show(G.reach(e, src, 3, 6, paths=False)) == want == show(G.reach(e, src, 3, 6))
+    assert cuts[0].columns == ["from", "to", "c"] and cuts[0].count() == cuts[0].distinct().count() and all("path" not in x.columns for x in cuts[:4])
+
+
 def test_chain_coherence_and_spine(spark):
     hops = spark.createDataFrame([("q", 1, "Ann Lee", "x"), ("q", 2, "Rome", "where Ann Lee lived"), ("q", 3, "1901", "nothing"), ("one", 1, "a", None), ("bad", 1, None, "x"), ("bad", 2, "y", "z")], "k string, hop int, answer string, context string")
     assert {r.k: (r.coherent, r.broken_at) for r in C.coherence(hops, "k").collect()} == {"q": (False, 2), "one": (True, None), "bad": (False, 1)}
