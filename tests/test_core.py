@@ -227,6 +227,28 @@ def test_pagerank_of_each_question(spark):
     assert (3, nodes[0]) not in got
 
 
+def test_pagerank_writes_no_ranks_down(spark, monkeypatch):
+    rng = random.Random(11)
+    pairs = {("hub", f"n{i}") for i in range(40)} | {(f"n{rng.randint(0, 39)}", f"m{rng.randint(0, 25)}") for _ in range(60)} | {("p", "q"), ("q", "p")} | {(f"c{i}", f"c{i + 1}") for i in range(200)}
+    e = spark.createDataFrame(sorted(pairs), "subject string, object string")
+    seeds = spark.createDataFrame([("a", "n1"), ("b", "n2"), ("b", "hub"), ("c", "p"), ("d", "n1"), ("f", "nowhere"), ("f", "q"), ("g", "c0"), *[(f"x{i}", f"m{i}") for i in range(12) if any(f"m{i}" in x for x in pairs)]], "k string, node string")
+    kept, cuts = G.cut, []
+    show = lambda df: {(r.k, r.node): r.score for r in df.collect()}
+    with monkeypatch.context() as m:
+        m.setattr(G, "cut", lambda df: cuts.append(1) or kept(df))
+        m.setattr(G, "LAYERS", 4)
+        m.setattr(G, "AT_ONCE", 3)
+        m.setattr(G, "ROWS_AT_ONCE", 7)
+        found = G.pagerank(e, seeds, key="k")
+        assert len(cuts) == 1 and found.count() == found.select("k", "node").distinct().count()
+        got, few = show(found), show(G.pagerank(e, seeds, 3, key="k"))
+    assert sum(k == "g" for k, _ in got) == 201  # the far end of a chain, which no score reaches, too
+    monkeypatch.setattr(G, "GRAPH_BYTES", -1)
+    for mine, shuffled in ((got, show(G.pagerank(e, seeds, key="k"))), (few, show(G.pagerank(e, seeds, 3, key="k")))):
+        assert shuffled.keys() <= mine.keys() and all(s == pytest.approx(shuffled.get(k, 0.0), abs=1e-7) for k, s in mine.items())
+    assert few.keys() == shuffled.keys()
+
+
 def test_cosine_of_zero(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0])], "a array<double>, b array<double>").select(cosine(F.col("a"), F.col("b"))).first()
     assert row[0] is None
