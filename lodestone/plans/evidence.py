@@ -54,7 +54,7 @@ def path_evidence(spark, d):
     return G.path_evidence(K._edges(spark, d), paths, "id")
 
 
-@query(f"""WITH {_PAIRS}, b AS ({ORACLES['bm25_top_k']}), l AS (SELECT * FROM ({ORACLES['entity_links']}) WHERE answer_id % 100 = 0), h1 AS (SELECT DISTINCT answer_id, entity AS source, y AS node, c AS confidence, 1 AS hops FROM l JOIN near ON x = entity),
+@query(f"""WITH {_PAIRS}, b AS ({K.bm25_sql()}), l AS ({ORACLES['entity_links']}), h1 AS (SELECT DISTINCT answer_id, entity AS source, y AS node, c AS confidence, 1 AS hops FROM l JOIN near ON x = entity),
 h2 AS (SELECT answer_id, source, y AS node, confidence * c AS confidence, 2 AS hops FROM h1 JOIN near ON x = node WHERE y <> source), one AS (SELECT answer_id, source, node, max(confidence) AS confidence FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL),
 hops_of AS (SELECT o.*, min(h.hops) AS hops FROM one o JOIN (SELECT * FROM h1 UNION ALL SELECT * FROM h2) h USING (answer_id, source, node, confidence) GROUP BY ALL),
 hood AS (SELECT * FROM hops_of QUALIFY row_number() OVER (PARTITION BY answer_id, source ORDER BY confidence DESC, hops, node) <= 200), every AS (SELECT answer_id AS query_id, node AS entity FROM hood UNION SELECT answer_id, entity FROM l),
@@ -62,13 +62,14 @@ m AS (SELECT DISTINCT {key('name')} AS entity, chunk_id FROM (SELECT chunk_id, u
 r AS (SELECT query_id, doc, b.score + CASE WHEN s.doc IS NULL THEN 0 ELSE 2.0 END AS score FROM b LEFT JOIN s USING (query_id, doc)) SELECT query_id, doc, round(score + 1e-7, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc) AS rank FROM r""")
 def neighbourhood_rerank(spark, d):
     """BM25 candidates whose document mentions what the question's entities reach within two hops (200 at most each) move up."""
-    ranked = cut(K.bm25_top_k(spark, d))
-    links = cut(K.entity_links(spark, d).where("answer_id % 100 = 0").select(F.col("answer_id").alias("query_id"), "entity"))
-    near = G.reach(K._edges(spark, d), links.select(F.col("entity").alias("source")), 2, 200, paths=False).select(F.col("source").alias("entity"), "node")
-    hood = links.join(near, "entity").select("query_id", F.col("node").alias("entity")).unionByName(links).distinct()
+    ranked = cut(K.bm25_of(K._answers(spark, d), spark, d))
+    links = cut(K.entity_links(spark, d).select(F.col("answer_id").alias("query_id"), "entity"))
+    sources = links.select(F.col("entity").alias("source"))
+    near = G.neighbourhood(K._edges(spark, d), sources, 2, 200).withColumnRenamed("node", "entity").unionByName(sources.distinct().withColumn("entity", F.col("source")))
     places = load(spark, d, "chunks").select("chunk_id", F.col("doc_id").alias("doc")).distinct()
     of_candidates = ranked.select("query_id", "doc").join(places, "doc").join(_mentions(spark, d), "chunk_id").select("query_id", "doc", "entity").distinct()
-    found = R.boost(ranked, of_candidates.join(hood, ["query_id", "entity"]), ["query_id", "doc"], "score", 2.0, "query_id", "doc")
+    asked = of_candidates.join(links.withColumnRenamed("entity", "source"), "query_id")  # a question has few entities, but they reach many
+    found = R.boost(ranked, asked.join(near, ["source", "entity"]), ["query_id", "doc"], "score", 2.0, "query_id", "doc")
     return found.select("query_id", "doc", F.round(F.col("score") + 1e-7, 4).alias("score"), "rank")
 
 

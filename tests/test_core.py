@@ -8,9 +8,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from lodestone.functions import parsing as Y, questions as Q, text as T
 from lodestone.functions.vectors import cosine
 from lodestone.operators import anchors as H, arbitration as A, chains as C, extract as X, graph as G, index as I, ingest as N, metrics as M, proofs as V, ranking as R, search as S
+from lodestone.plans import catalogue as K, evidence  # noqa: F401  (evidence registers its queries)
 from lodestone.sources import corpus, loaders
 
 
@@ -124,6 +126,39 @@ def test_bm25_keeps_common_terms(spark, monkeypatch):
     assert (1, 1) in want and S.bm25(queries, docs.where("id < 0"), 5).count() == 0
 
 
+
+def test_bm25_of_many_questions(spark, monkeypatch):
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [x + y for x in letters for y in letters[:8]]
+    texts = [" ".join(["of"] * (i % 4 > 0) + rng.choices(letters, [30 - 1.1 * j for j in range(26)], k=rng.randint(1, 12)) + rng.choices(names, k=3)) for i in range(700)]
+    asked = {i: " ".join(["of"] * (i % 2) + rng.choices(letters, k=rng.randint(0, 3)) + rng.choices(names, k=i % 3)) for i in range(150)} | {900: "of a", 901: "a of"}
+    words = [t.split() for t in texts]
+    df = {t: sum(t in w for w in words) for w in words for t in w}
+    idf = {t: math.log((len(words) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    floor, mean = 0.25 * sum(idf.values()) / len(idf), sum(map(len, words)) / len(words)
+    want = {}
+    for q, text in asked.items():
+        score = {}
+        for d, w in enumerate(words):
+            for t in set(text.split()) & set(w):
+                tf = w.count(t)
+                score[d] = score.get(d, 0) + (idf[t] if idf[t] >= 0 else floor) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))
+        for r, d in enumerate(sorted(score, key=lambda d: (-round(score[d], 9), d))[:5], 1):
+            want[q, r] = (d, round(score[d], 8))
+    docs, queries = (spark.createDataFrame(list(x), "id bigint, text string") for x in (enumerate(texts), asked.items()))
+    for blocks in ({"RUN": 8}, {"RUN": 8, "WIDE": 10**6, "ASKED_BLOCK": 40}, {"WIDE": 4, "DOC_BLOCK": 300}):
+        for name, value in blocks.items():
+            monkeypatch.setattr(S, name, value)
+        assert {(r.query_id, r["rank"]): (r.doc, round(r.score, 8)) for r in S.bm25(queries, docs, 5).collect()} == want
+
+
+def test_neighbourhoods_of_all_questions(spark):
+    asked = {r[0] for r in K.load(spark, SMALL, "selective_answers").select("answer_id", T.lookup_key(F.col("question"))).distinct().collect() if r[1]}
+    found = {r.query_id for r in K.QUERIES["neighbourhood_rerank"](spark, SMALL).collect()}
+    assert found <= asked and len(found) > 0.9 * len(asked) and any(q % 100 for q in found)
+
+
 def test_pit_ties(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3), ("b", 9)], "g string, v int")
     assert sorted((r.g, r.v, r.p) for r in R.pit(df, ["g"], "v", "p").collect()) == [("a", 1, pytest.approx(1 / 3)), ("a", 1, pytest.approx(1 / 3)), ("a", 3, pytest.approx(2.5 / 3)), ("b", 9, 0.5)]
@@ -394,6 +429,20 @@ def test_reach_without_paths_and_salts(spark, monkeypatch):
     assert cuts[0].columns == ["from", "to", "c"] and cuts[0].count() == cuts[0].distinct().count() and all("path" not in x.columns for x in cuts[:4])
 
 
+def test_neighbourhood_as_reach(spark, monkeypatch):
+    rng = random.Random(6)
+    names = [f"n{i}" for i in range(30)] + ["ñandú"]
+    rows = [(a, "r", b, "c", rng.choice([1.0, 0.9, 0.7, 0.5])) for a in names for b in ["hub", *rng.sample(names, 2)] if a != b]
+    e, src = spark.createDataFrame(rows, "subject string, predicate string, object string, chunk string, confidence double"), spark.createDataFrame([(n,) for n in [*names, "hub", "nowhere"]], "source string")
+    for hops, k in ((1, 3), (2, 6), (3, 40)):
+        show = lambda df: {(r.source, r.node) for r in df.collect()}
+        want = show(G.reach(e, src, hops, k))
+        assert show(G.neighbourhood(e, src, hops, k)) == want and len(want) > 60
+        monkeypatch.setattr(G, "GRAPH_BYTES", 0)
+        assert show(G.neighbourhood(e, src, hops, k)) == want
+        monkeypatch.undo()
+
+
 def test_chain_coherence_and_spine(spark):
     hops = spark.createDataFrame([("q", 1, "Ann Lee", "x"), ("q", 2, "Rome", "where Ann Lee lived"), ("q", 3, "1901", "nothing"), ("one", 1, "a", None), ("bad", 1, None, "x"), ("bad", 2, "y", "z")], "k string, hop int, answer string, context string")
     assert {r.k: (r.coherent, r.broken_at) for r in C.coherence(hops, "k").collect()} == {"q": (False, 2), "one": (True, None), "bad": (False, 1)}
