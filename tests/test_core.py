@@ -284,6 +284,19 @@ def test_pagerank_writes_no_ranks_down(spark, monkeypatch):
     assert few.keys() == shuffled.keys()
 
 
+def test_pagerank_of_all_questions(spark, monkeypatch):
+    asked = {r.answer_id for r in K.QUERIES["entity_links"](spark, SMALL).select("answer_id").distinct().collect()}
+    show = lambda df: {(r.query_id, r.node): r.score for r in df.collect()}
+    found = show(K.QUERIES["personalised_pagerank"](spark, SMALL))
+    assert {q for q, _ in found} == asked and any(q % 100 for q in asked)
+    own = {}
+    for (q, _), score in found.items():
+        own[q] = own.get(q, 0) + score
+    assert all(abs(x - 1) < 1e-6 for x in own.values())
+    monkeypatch.setattr(G, "KEYS_PER_SALT", 1)
+    assert show(K.QUERIES["personalised_pagerank"](spark, SMALL)) == pytest.approx(found, abs=2e-9)
+
+
 def test_cosine_of_zero(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0])], "a array<double>, b array<double>").select(cosine(F.col("a"), F.col("b"))).first()
     assert row[0] is None
