@@ -112,14 +112,15 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float
     negative, has ``floor`` times the mean weight of all terms instead, so no term is dropped. Documents are dealt into
     blocks that every block of queries meets: scores are summed where the documents lie, and a block sends its k best.
     """
-    stats = docs.where(F.length(lookup_key(F.col("text"))) > 0).select(F.size(F.split(lookup_key(F.col("text")), " ")).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    own = cut(docs.select(F.col("id").alias("doc"), lookup_key(F.col("text")).alias("key")).where(F.length("key") > 0))
+    held = own.select("doc", F.split("key", " ").alias("terms"))
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean")).first()
     n, mean = stats["n"], stats["mean"]
     weight = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    words = F.filter(F.split(lookup_key(F.col("text")), " "), lambda t: t != "")
-    terms = cut(docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", weight))
+    terms = cut(held.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", weight))
     common = floor * (terms.agg(F.avg("idf")).first()[0] or 0.0)
+    words = F.filter(F.split(lookup_key(F.col("text")), " "), lambda t: t != "")
     asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(words)).alias("term")).join(terms, "term").select("query_id", "term", F.when(F.col("idf") < 0, common).otherwise(F.col("idf")).alias("idf"))
-    held = docs.select(F.col("id").alias("doc"), words.alias("terms")).where(F.size("terms") > 0)
     n_q, n_d = (int(np.ceil(c / size)) or 1 for c, size in ((queries.count(), ASKED_BLOCK), (n, DOC_BLOCK)))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
     held = held.withColumn("db", F.pmod(F.xxhash64("doc"), F.lit(n_d)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))

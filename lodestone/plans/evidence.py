@@ -62,13 +62,15 @@ m AS (SELECT DISTINCT {key('name')} AS entity, chunk_id FROM (SELECT chunk_id, u
 r AS (SELECT query_id, doc, b.score + CASE WHEN s.doc IS NULL THEN 0 ELSE 2.0 END AS score FROM b LEFT JOIN s USING (query_id, doc)) SELECT query_id, doc, round(score + 1e-7, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc) AS rank FROM r""")
 def neighbourhood_rerank(spark, d):
     """BM25 candidates whose document mentions what the question's entities reach within two hops (200 at most each) move up."""
-    ranked = cut(K.bm25_of(K._answers(spark, d), spark, d))
-    links = cut(K.entity_links(spark, d).select(F.col("answer_id").alias("query_id"), "entity"))
+    answers, edges = cut(K._answers(spark, d).select("answer_id", "question")), cut(K._edges(spark, d))
+    ranked = cut(K.bm25_of(answers, spark, d))
+    nodes = edges.select(F.col("subject").alias("entity")).union(edges.select("object")).distinct()
+    links = cut(E.link_entities(answers, "answer_id", "question", nodes).select(F.col("answer_id").alias("query_id"), "entity"))
     sources = links.select(F.col("entity").alias("source"))
-    near = G.neighbourhood(K._edges(spark, d), sources, 2, 200).withColumnRenamed("node", "entity").unionByName(sources.distinct().withColumn("entity", F.col("source")))
+    near = G.neighbourhood(edges, sources, 2, 200).withColumnRenamed("node", "entity").unionByName(sources.distinct().withColumn("entity", F.col("source")))
     places = load(spark, d, "chunks").select("chunk_id", F.col("doc_id").alias("doc")).distinct()
-    of_candidates = ranked.select("query_id", "doc").join(places, "doc").join(_mentions(spark, d), "chunk_id").select("query_id", "doc", "entity").distinct()
-    asked = of_candidates.join(links.withColumnRenamed("entity", "source"), "query_id")  # a question has few entities, but they reach many
+    told = places.join(_mentions(spark, d), "chunk_id").select("doc", "entity").distinct()
+    asked = ranked.select("query_id", "doc").join(links.withColumnRenamed("entity", "source"), "query_id").join(told, "doc")  # a question has few entities, but they reach many
     found = R.boost(ranked, asked.join(near, ["source", "entity"]), ["query_id", "doc"], "score", 2.0, "query_id", "doc")
     return found.select("query_id", "doc", F.round(F.col("score") + 1e-7, 4).alias("score"), "rank")
 
